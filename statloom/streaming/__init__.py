@@ -1,0 +1 @@
+"""Placeholder: every operator here is a batch operator, there is no streaming work to express."""
