@@ -172,12 +172,13 @@ def norm_ppf(p: float) -> float:
     return math.copysign(z, q)
 
 
-def norm_ppf_col(p: Column) -> Column:
-    """Normal quantile as a plain Spark expression, for row-sized data."""
+@np.errstate(all="ignore")
+def norm_ppf_array(p: np.ndarray) -> np.ndarray:
+    """The normal quantile of a whole array."""
     q = p - 0.5
-    r = F.sqrt(-F.log(F.least(p, 1 - p)))
-    tail = F.when(r <= 5, _ratio(_MIDDLE, r - 1.6)).otherwise(_ratio(_FAR, r - 5))
-    return F.when(F.abs(q) <= 0.425, q * _ratio(_CENTRE, 0.180625 - q * q)).otherwise(F.signum(q) * tail)
+    r = np.sqrt(-np.log(np.minimum(p, 1 - p)))
+    tail = np.where(r <= 5, _ratio(_MIDDLE, r - 1.6), _ratio(_FAR, r - 5))
+    return np.where(np.abs(q) <= 0.425, q * _ratio(_CENTRE, 0.180625 - q * q), np.sign(q) * tail)
 
 
 def binom_tail(k: int, n: int, p: float = 0.5) -> float:
@@ -399,6 +400,14 @@ def sided_t_p(t: Column, df: Column, side: str = "two-sided") -> Column:
     return upper(t if side == "greater" else -t, df)
 
 
+def normal_quantile(p: Column) -> Column:
+    @F.pandas_udf("double")
+    def apply(part: pd.Series) -> pd.Series:
+        return pd.Series(norm_ppf_array(part.to_numpy(float)))
+
+    return apply(p.cast("double"))
+
+
 t_quantile = column_function(t_ppf)
 f_tail = column_function(f_sf)
 chi2_tail = column_function(chi2_sf)

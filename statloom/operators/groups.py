@@ -116,7 +116,7 @@ def fligner(rows: DataFrame, center: str, by: list[str] = ()) -> DataFrame:
     devs = settle(centred_deviations(rows, center, by).groupBy(*by, "grp", "dev").agg(F.sum("w").alias("n")))
     ranked = cumulate(devs, "dev", by=by, unique=False)
     rank = F.col("n_below") + (F.col("n_tied") + 1) / 2
-    score = dist.norm_ppf_col(0.5 + rank / (2 * (F.col("n_total") + 1)))
+    score = dist.normal_quantile(0.5 + rank / (2 * (F.col("n_total") + 1)))
     scored = ranked.withColumn("a", score)
     each = scored.groupBy(*by, "grp").agg(
         F.sum("n").alias("m"), F.sum(F.col("n") * F.col("a")).alias("s"), F.sum(F.col("n") * F.col("a") ** 2).alias("q")

@@ -10,6 +10,7 @@ spread over the buckets like any other.
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,6 @@ from statloom.functions.numeric import finite
 
 MAX_BUCKETS = 1024
 SAMPLE_PER_BUCKET = 64
-_FINE = 32
 
 
 def histogram(df: DataFrame, value: str, by: list[str] = (), **counts: Column) -> DataFrame:
@@ -45,7 +45,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def bucket_count(df: DataFrame) -> int:
-    return max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return 2 ** math.ceil(math.log2(parts))
 
 
 def _with_bucket(hist: DataFrame, value: str, by: list[str], weights: list[str]) -> DataFrame:
@@ -58,23 +59,24 @@ def _with_bucket(hist: DataFrame, value: str, by: list[str], weights: list[str])
     size = hist.agg(F.count_if(sum(F.col(w) for w in weights) >= 0).alias("d")).scalar()
     every = F.greatest(F.lit(1), (size / (parts * SAMPLE_PER_BUCKET)).cast("long"))
     sampled = hist.filter(F.pmod(F.xxhash64(*by, value, *weights), every) == 0)
-    points = sampled.agg(F.sort_array(F.collect_list(key)).alias("s")).select(
+    cuts = sampled.agg(F.sort_array(F.collect_list(key)).alias("s")).select(
         F.transform(
             F.sequence(F.lit(1), F.lit(parts - 1)),
             lambda i: F.get("s", (i * F.size("s") / parts).cast("int")),
-        ).alias("cuts")
-    )
-    coarse = F.filter("cuts", lambda c, i: (i + 1) % _FINE == 0)
-    cuts = points.select(F.struct("cuts", coarse.alias("coarse"))).scalar()
-    out = hist.withColumn("_cuts", cuts)
-    if parts <= 2 * _FINE:
-        bucket = F.size(F.filter("_cuts.cuts", lambda c: c < key))
-    else:
-        out = out.withColumn("_block", F.size(F.filter("_cuts.coarse", lambda c: c < key)))
-        near = F.slice("_cuts.cuts", F.col("_block") * _FINE + 1, F.lit(_FINE))
-        bucket = F.col("_block") * _FINE + F.size(F.filter(near, lambda c: c < key))
+        )
+    ).scalar()
+    # Binary search in the 2^k - 1 cut points, one generated comparison per step.
+    out = hist.withColumns({"_cuts": cuts, "_at0": F.lit(0)})
+    step, at = parts // 2, 0
+    while step:
+        here = F.col(f"_at{at}")
+        above = F.coalesce(F.get("_cuts", here + (step - 1)) < key, F.lit(False))
+        out = out.withColumn(f"_at{at + 1}", here + F.when(above, step).otherwise(0))
+        step, at = step // 2, at + 1
+    bucket = F.col(f"_at{at}")
     # Never NULL, or the join below would push a NULL test down into the scan and split the exchange.
-    return out.withColumn("_bucket", F.coalesce(bucket, F.lit(0))).drop("_cuts", "_block")
+    out = out.withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
+    return out.drop("_cuts", *[f"_at{i}" for i in range(at + 1)])
 
 
 def cumulate(

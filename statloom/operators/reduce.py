@@ -176,7 +176,7 @@ def qq_points(df: DataFrame, value: str) -> DataFrame:
     ranked = cumulate(histogram(df, value).withColumnRenamed(value, "sample"), "sample")
     rows = ranked.withColumn("place", F.explode(F.sequence(F.col("n_below") + 1, F.col("n_below") + F.col("n"))))
     p = _filliben(F.col("place").cast("double"), F.col("n_total").cast("double"))
-    return rows.select("place", dist.norm_ppf_col(p).alias("theoretical"), "sample")
+    return rows.select("place", dist.normal_quantile(p).alias("theoretical"), "sample")
 
 
 def qq_line(df: DataFrame, value: str) -> DataFrame:

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from statloom.functions import dist
 from statloom.functions.labels import DEGENERATE_CI, check_confidence, join_flags, say
 from statloom.functions.numeric import finite
-from statloom.operators.ranks import cumulate, histogram, quantile_at, settle
+from statloom.operators.ranks import bucket_count, cumulate, histogram, quantile_at, settle
 
 # Observations per block, and the most blocks one key is cut into.
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 20_000
 MAX_BLOCKS = 256
 # Cells of the in-block draw held in memory at a time.
 _CELLS = 2_000_000
@@ -41,10 +41,10 @@ def _blocks(ranked: DataFrame, keys: list[str]) -> DataFrame:
     rows = ranked.withColumn("block", block)
     sizes = rows.groupBy(*keys, "block").agg(F.sum("n").alias("m"))
     sizes = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("sizes"))
-    if keys:
-        return rows.join(sizes, keys)
-    one = sizes.scalar()
-    return rows.withColumn("sizes", one)
+    rows = rows.join(sizes, keys) if keys else rows.withColumn("sizes", sizes.select("sizes").scalar())
+    # A fixed partition count: the blocks are heavy to draw from but small in bytes, and would
+    # otherwise be coalesced into one task.
+    return rows.repartition(bucket_count(rows), *keys, "block")
 
 
 def _seed(*parts) -> list[int]:
@@ -65,6 +65,18 @@ def _chunks(total: int, width: int):
         yield start, min(total, start + step)
 
 
+def _draw_counts(rng: np.random.Generator, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows of multinomial counts: ``sizes[r]`` draws with replacement from the block."""
+    total, width = int(counts.sum()), len(counts)
+    if total > 8 * width:
+        return rng.multinomial(sizes, counts / total)
+    # Few copies per value: picking observations is cheaper than one binomial per value.
+    owner = np.repeat(np.arange(width), counts)
+    picked = owner[rng.integers(0, total, int(sizes.sum()))]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return np.bincount(row * width + picked, minlength=len(sizes) * width).reshape(len(sizes), width)
+
+
 def _order_indexes(statistic: str, n: int) -> list[int]:
     if statistic == "min":
         return [0]
@@ -88,10 +100,9 @@ def _bootstrap_block(statistic: str, n_resamples: int, seed: int, keys: list[str
         table = shared.multinomial(n, weights / n, size=n_resamples)
         mine, before = table[:, me], table[:, :me].sum(axis=1)
         own = np.random.default_rng(_seed(seed, *label, "block", me))
-        prob = counts / counts.sum()
         out = []
-        for lo, hi in _chunks(n_resamples, len(values)):
-            draw = own.multinomial(mine[lo:hi], prob)
+        for lo, hi in _chunks(n_resamples, max(len(values), int(mine.max(initial=0)))):
+            draw = _draw_counts(own, counts, mine[lo:hi])
             reps = np.arange(lo, hi)
             if statistic in ("mean", "sum", "var", "std"):
                 part = pd.DataFrame({"rep": reps, "idx": 0, "w": mine[lo:hi].astype(float)})
@@ -125,10 +136,8 @@ def bootstrap_replicates(
     keys = list(keys)
     # Sums of squares are taken around the key's mean, or large offsets would cancel.
     centre = ranked.groupBy(*keys).agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("c"))
-    if keys:
-        rows = _blocks(ranked, keys).join(centre, keys)
-    else:
-        rows = _blocks(ranked, keys).withColumn("c", centre.scalar())
+    ranked = ranked.join(centre, keys) if keys else ranked.withColumn("c", centre.scalar())
+    rows = _blocks(ranked, keys)
     linear = statistic in ("mean", "sum", "var", "std")
     if linear:
         rows = rows.withColumn("value", F.col("value") - F.col("c"))
@@ -255,8 +264,10 @@ def intervals(
         F.count("theta").alias("b"),
     )
     if method == "BCa":
-        z0 = F.when((F.col("share") > 0) & (F.col("share") < 1), dist.norm_ppf_col(F.col("share")))
-        a = F.col("u3") / 6 / F.when(F.col("u2") > 0, F.col("u2") ** 1.5)
+        inner = F.when((F.col("share") > 0) & (F.col("share") < 1), F.col("share"))
+        accel = F.col("u3") / 6 / F.when(F.col("u2") > 0, F.col("u2") ** 1.5)
+        packed = packed.withColumns({"z0": dist.normal_quantile(inner), "a": accel})
+        z0, a = F.when(~F.isnan("z0"), F.col("z0")), F.col("a")
 
         def level(z: float) -> Column:
             shifted = z0 + z
@@ -445,8 +456,8 @@ def permutation_p(
         F.sum("n_a").alias("n_draw"), F.sum(F.col("n_a") * F.col("value")).alias("s_obs"),
         (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("c"), F.sum("n").alias("nn"),
     )
-    rows = _blocks(pooled, keys).join(shape, keys).filter(F.col("nn") <= PERMUTATION_MAX)
-    rows = rows.withColumn("value", F.col("value") - F.col("c"))
+    rows = pooled.join(shape, keys).filter(F.col("nn") <= PERMUTATION_MAX)
+    rows = _blocks(rows.withColumn("value", F.col("value") - F.col("c")), keys)
     types = {f.name: f.dataType.simpleString() for f in pooled.schema}
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["rep int, s double"])
     parts = rows.groupBy(*keys, "block").applyInPandas(_shuffle_block(n_resamples, seed, keys), schema)
@@ -481,7 +492,8 @@ def sign_flip_p(hist: DataFrame, n_resamples: int, seed: int, alternative: str)
             out.append(pd.DataFrame({"rep": np.arange(lo, hi), "s": (2 * plus - n) @ dev}))
         return pd.concat(out, ignore_index=True)
 
-    reps = hist.withColumn("block", parts).groupBy("block").applyInPandas(run, "rep int, s double")
+    spread = hist.withColumn("block", parts).repartition(bucket_count(hist), "block")
+    reps = spread.groupBy("block").applyInPandas(run, "rep int, s double")
     reps = reps.groupBy("rep").agg(F.sum("s").alias("s"))
     reps = _attach_row(reps, hist.agg(F.sum("signed").alias("obs")))
     eps = F.greatest(F.abs("obs") * 1e-12, F.lit(1e-12))
