@@ -80,7 +80,7 @@ def c08(spark, sf):
 
 @query(
     "c09_height_to_cm",
-    "SELECT p_partkey, CASE WHEN p_size < 45 THEN round((p_size // 12) * 30.48 + (p_size % 12) * 2.54, 1) END AS height_cm FROM part",
+    "SELECT p_partkey, CASE WHEN p_size < 45 THEN round(((p_size // 12) * 30.48 + (p_size % 12) * 2.54)::double, 1) END AS height_cm FROM part",
 )
 def c09(spark, sf):
     size = F.col("p_size")

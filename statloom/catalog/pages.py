@@ -1 +1,192 @@
+"""Queries for page extraction."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from statloom.catalog.registry import query, table
+from statloom.plans import columns as C
+from statloom.sources import pages as H
+
+
+def _pages(spark, sf):
+    return table(spark, sf, "pages")
+
+
+def _tabled(spark, sf):
+    """Every page with a statistics table made of its own address put into the body."""
+    c = F.col
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    rows = F.concat(
+        F.lit('<table id="stats"><tr class="thead"><th data-stat="season">Season</th></tr><tr><th scope="col" data-stat="season">Season</th></tr>'),
+        F.lit('<tr><th scope="row" data-stat="season"><a href="/leagues/'), c("page_id").cast("string"), F.lit('.html">'), (c("page_id") + 1900).cast("string"),
+        F.lit('</a>*</th><td data-stat="champion"><a href="/teams/T'), c("page_id").cast("string"), F.lit('/2025.html">'), host,
+        F.lit('</a> (7)</td><td data-stat="mvp"> </td></tr><tr><td>no stat</td></tr><tr><td data-stat="season">'), host, F.lit("</td></tr></table>"),
+    )
+    return _pages(spark, sf).withColumn("html", F.concat(rows, "html"))
+
+
+_HOST = "regexp_extract(url, '^https?://([^/]+)', 1)"
+
+
+@query(
+    "h01_stat_table_rows",
+    f"""SELECT page_id, 0 AS row_no, cast(page_id + 1900 AS varchar) AS season, '/leagues/' || page_id || '.html' AS season_href, {_HOST} AS champion, CAST(NULL AS varchar) AS mvp FROM pages
+    UNION ALL SELECT page_id, 1, {_HOST}, NULL, NULL, NULL FROM pages""",
+)
+def h01(spark, sf):
+    rows = H.stat_table_rows(_tabled(spark, sf), "stats")
+    return rows.select("page_id", "row_no", *[F.try_element_at("cells", F.lit(k)).alias(k) for k in ("season", "season_href", "champion", "mvp")])
+
+
+def _boxed(spark, sf):
+    c = F.col
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    box = F.concat(
+        F.lit('<div id="info"><div id="meta"><h1><span>'), host, F.lit("</span></h1><p><strong>Team Names:</strong> "), host, F.lit(";</p><p><strong>Seasons:</strong>\n 80; 1946-47 to "),
+        (c("page_id") + 1900).cast("string"), F.lit("</p><p>none</p><p><strong>Position:</strong> Guard ▪ <strong>Shoots:</strong> Right<br>hand </p></div></div>"),
+    )
+    return _pages(spark, sf).withColumn("html", F.concat(box, "html"))
+
+
+@query(
+    "h02_meta_box",
+    f"SELECT page_id, {_HOST} AS team_names, '80; 1946-47 to ' || (page_id + 1900) AS seasons, 'Guard ▪ Shoots: Right hand' AS position FROM pages",
+)
+def h02(spark, sf):
+    out = H.meta_box(_boxed(spark, sf))
+    return out.select("page_id", *[F.try_element_at("fields", F.lit(k)).alias(k) for k in ("team_names", "seasons", "position")])
+
+
+@query("h03_label_pairs", f"SELECT page_id, {_HOST} AS team_names, 'Guard' AS position, 'Right hand' AS shoots FROM pages")
+def h03(spark, sf):
+    out = H.label_pairs(_boxed(spark, sf))
+    return out.select("page_id", *[F.try_element_at("fields", F.lit(k)).alias(k) for k in ("team_names", "position", "shoots")])
+
+
+@query(
+    "h04_snake_case",
+    r"""SELECT page_id, lower(trim(regexp_replace(regexp_replace(url, ':+$', ''), '[^\w]+', '_', 'g'), '_')) AS name FROM (SELECT page_id, replace(url, '__', '_') AS url FROM pages)""",
+)
+def h04(spark, sf):
+    return _pages(spark, sf).select("page_id", H.to_snake_case(F.concat(F.replace("url", F.lit("__"), F.lit("_")), F.lit(":"))).alias("name"))
+
+
+@query(
+    "h05_try_int",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice)::bigint END AS value FROM orders",
+)
+def h05(spark, sf):
+    cell = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("N/A "), "o_orderpriority")).otherwise(F.format_number(F.floor("o_totalprice"), 0))
+    return table(spark, sf, "orders").select("o_orderkey", H.try_int(cell).alias("value"))
+
+
+@query(
+    "h06_seasons_summary",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN cast(o_custkey % 90 AS integer) END AS "count",
+    CASE o_orderstatus WHEN 'F' THEN 'from ' || year(o_orderdate) WHEN 'O' THEN 'since ' || year(o_orderdate) END AS "range" FROM orders""",
+)
+def h06(spark, sf):
+    year = F.year("o_orderdate").cast("string")
+    cell = F.when(F.col("o_orderstatus") == "F", F.concat((F.col("o_custkey") % 90).cast("string"), F.lit("; from "), year)).when(
+        F.col("o_orderstatus") == "O", F.concat(F.lit(" since "), year, F.lit(";"))
+    ).otherwise("unknown")
+    return table(spark, sf, "orders").select("o_orderkey", H.seasons_summary(cell).alias("s")).select("o_orderkey", "s.count", "s.range")
+
+
+_LINKS = r"""links AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href,
+    unnest(range(len(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)))) AS pos FROM pages),
+    abs AS (SELECT page_id, pos, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href ELSE regexp_extract(url, '^([a-zA-Z]+://[^/?]+)', 1) || href END AS link
+    FROM links WHERE regexp_matches(href, '^(/|https?:)'))"""
+
+
+@query("h07_page_links", f"WITH {_LINKS} SELECT page_id, min(pos)::bigint AS pos, link FROM abs GROUP BY page_id, link")
+def h07(spark, sf):
+    return H.page_links(_pages(spark, sf), "^(/|https?:)").select("page_id", F.col("pos").cast("long").alias("pos"), "link")
+
+
+@query(
+    "h08_merge_links",
+    f"""WITH {_LINKS} SELECT link, min(s)::integer AS source FROM (SELECT link, 0 AS s FROM abs WHERE page_id < 100 UNION ALL SELECT link, 1 FROM abs WHERE page_id >= 100) GROUP BY 1""",
+)
+def h08(spark, sf):
+    links = H.page_links(_pages(spark, sf), "^(/|https?:)")
+    return H.merge_links([links.filter("page_id < 100"), links.filter("page_id >= 100")]).select("link", "source")
+
+
+@query(
+    "h09_href_id",
+    """SELECT page_id, split_part(list_extract(list_filter(string_split(split_part(url, '?', 1), '/'), lambda p: p <> ''), -1), '.', 1) AS last_part,
+    split_part(list_extract(list_filter(string_split(split_part(url, '?', 1), '/'), lambda p: p <> ''), -2), '.', 1) AS part_before FROM pages""",
+)
+def h09(spark, sf):
+    return _pages(spark, sf).select("page_id", H.href_id(F.col("url")).alias("last_part"), H.href_id(F.col("url"), -2).alias("part_before"))
+
+
+@query(
+    "h10_normalise_url",
+    """SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://[^/]+(?:/[^/?#]*)?') AS parent, regexp_replace(url || '#top', '#.*$', '') AS url FROM pages""",
+)
+def h10(spark, sf):
+    return _pages(spark, sf).select(
+        "page_id", H.parent_path(F.col("url"), 1).alias("parent"), H.normalize_url(F.concat("url", F.lit("#top"))).alias("url")
+    )
+
+
+def _bio_pages(spark, sf):
+    c = F.col
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    n = c("page_id").cast("string")
+    box = F.concat(
+        F.lit('<div id="info"><div id="meta"><h1><span>'), host, F.lit("</span></h1><p><strong>Position:</strong> Point Guard and Shooting Guard ▪ <strong>Shoots:</strong> Left</p>"),
+        F.lit("<p><span>6-"), (c("page_id") % 12).cast("string"), F.lit("</span>, <span>195lb</span> (198cm)</p><p><strong>Born:</strong> <a href='/friv/birthdays.cgi'>March 4</a>, <a href='/friv/birthyears.cgi'>"),
+        (c("page_id") + 1900).cast("string"), F.lit("</a></p><p><strong>College:</strong> <a href='/friv/colleges.fcgi'>"), host, F.lit("</a></p><p><strong>Draft:</strong> <a>"), host,
+        F.lit("</a>, 1st round ("), n, F.lit("th pick, "), n, F.lit("th overall), <a>2018 NBA Draft</a></p><p><strong>NBA Debut:</strong> <a>October 28, 2003</a></p>"),
+        F.lit("<p><strong>Experience:</strong> "), n, F.lit(" years</p></div></div>"),
+    )
+    return _pages(spark, sf).withColumn("html", F.concat(box, "html"))
+
+
+@query(
+    "h11_bio_fields",
+    f"""SELECT page_id, {_HOST} AS player_name, 'Point Guard, Shooting Guard' AS position, 'Left' AS shoots, '6-' || (page_id % 12) AS height, '195' AS weight, 'March' AS birthmonth, '4' AS birthday,
+    cast(page_id + 1900 AS varchar) AS birthyear, {_HOST} AS college, {_HOST} AS draft_team, '1st round (' || page_id || 'th pick, ' || page_id || 'th overall)' AS draft_pick, '2018 NBA Draft' AS draft,
+    cast(page_id AS varchar) AS experience, 'October 28, 2003' AS nba_debut FROM pages""",
+)
+def h11(spark, sf):
+    return H.bio_fields(_bio_pages(spark, sf))
+
+
+@query(
+    "h12_career_line",
+    "SELECT page_id, cast(page_id + 10 AS varchar) AS games, '20.1' AS points FROM pages",
+)
+def h12(spark, sf):
+    n = (F.col("page_id") + 10).cast("string")
+    box = F.concat(
+        F.lit("<div class='stats_pullout'><div><div><span>SUMMARY</span><p>2024-25</p><p>Career</p></div><div><span>G</span><p>5</p><p>"), n,
+        F.lit("</p></div><div><span>PTS</span><p>20.1</p></div><div><span>WS</span><p>1</p><p>-</p></div></div></div>"),
+    )
+    out = H.career_line(_pages(spark, sf).withColumn("html", F.concat(box, "html")))
+    return out.select("page_id", *[F.try_element_at("stats", F.lit(k)).alias(a) for k, a in (("Career Games", "games"), ("Career Points", "points"))])
+
+
+@query(
+    "h13_map_records",
+    f"""SELECT page_id, 'T' || page_id AS team_id, cast(page_id + 1900 AS varchar) AS season_year, {_HOST} AS champion_name FROM pages""",
+)
+def h13(spark, sf):
+    rows = H.stat_table_rows(_tabled(spark, sf), "stats")
+    # A season still under way has no champion and is skipped.
+    out = H.map_records(rows, C.PAGE_SEASONS, {"team_id": ("champion", -2)}, ["page_id"]).filter(F.col("Champion Name").isNotNull())
+    return out.select("page_id", "team_id", F.col("Season Year").alias("season_year"), F.col("Champion Name").alias("champion_name"))
+
+
+@query(
+    "h14_challenge_pages",
+    "SELECT page_id, page_id % 10 = 0 AS challenged FROM pages WHERE NOT contains(html, 'Just a moment')",
+)
+def h14(spark, sf):
+    pages = _pages(spark, sf).filter(~F.col("html").contains("Just a moment"))
+    page = F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("<title>Just a moment...</title>"), "html")).otherwise(F.col("html"))
+    return pages.select("page_id", H.is_challenge(page).alias("challenged"))

@@ -148,7 +148,7 @@ def r13(spark, sf):
 @query(
     "r14_audit",
     f"""SELECT 'lineitem' AS "table", count(*) AS rows_in, count(*) FILTER (WHERE NOT {_BLANK}) AS rows_out,
-    count(*) FILTER (WHERE {_BLANK}) AS rows_dropped, 0 AS rows_added, 'blank keys' AS reason FROM lineitem""",
+    count(*) FILTER (WHERE {_BLANK}) AS rows_dropped, 0::bigint AS rows_added, 'blank keys' AS reason FROM lineitem""",
 )
 def r14(spark, sf):
     before = _blanked(spark, sf)
@@ -219,7 +219,7 @@ def r15_candidates(spark, sf):
     """SELECT cast(year(o_orderdate) AS integer) AS season, 't' || (o_custkey % 30) AS team_id, 'p' || o_orderkey AS player_id, c_name AS player_name,
     CASE WHEN o_orderstatus = 'F' THEN 'TW' END AS roster_note, left(o_orderpriority, 1) AS position_primary,
     upper(c_mktsegment) AS birth_country, cast(o_orderdate AS date) AS birth_date,
-    CASE WHEN o_orderstatus = 'O' THEN 0 ELSE cast(o_custkey % 20 AS bigint) END AS experience_seasons, round((60 + o_custkey % 20) * 2.54, 1) AS height_cm
+    CASE WHEN o_orderstatus = 'O' THEN 0 ELSE cast(o_custkey % 20 AS bigint) END AS experience_seasons, round(((60 + o_custkey % 20) * 2.54)::double, 1) AS height_cm
     FROM orders JOIN customer ON o_custkey = c_custkey""",
 )
 def r15_rosters(spark, sf):

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+NUDGE = 1 + 1e-12
+
+
 def finite(c: Column | str) -> Column:
     """The value as a double, NULL where it is missing, unparseable, NaN or infinite."""
     x = (F.col(c) if isinstance(c, str) else c).try_cast("double")
@@ -14,10 +17,14 @@ def finite(c: Column | str) -> Column:
 
 
 def safe_ratio(num: Column, den: Column, digits: int, scale: float = 1) -> Column:
-    """num / den * scale rounded half-up; NULL instead of a division by zero."""
+    """num / den * scale rounded half-up as decimals are; NULL instead of a division by zero.
+
+    A decimal half such as 3174.735 is often a hair smaller in binary; the nudge is far below
+    any digit the inputs carry and puts it back on the half.
+    """
     den = den.cast("double")
-    ratio = num.cast("double") / F.when(den != 0, den)
-    return F.round(ratio * scale if scale != 1 else ratio, digits)
+    ratio = num.cast("double") / F.when(den != 0, den) * scale
+    return F.round(ratio * NUDGE, digits)
 
 
 def decimals_to_double(df: DataFrame) -> DataFrame:
