@@ -58,7 +58,7 @@ def t02(spark, sf):
 def t03(spark, sf):
     orders = table(spark, sf, "orders").withColumn("g", (F.col("o_custkey") % 7).cast("string"))
     rows = G.samples(orders.filter("g <> '3' or o_totalprice > 495000"), "g", "o_totalprice")
-    out = G.group_levels(rows, 100)
+    out, _ = G.group_levels(rows, 100)
     return longs(out.select("grp", "n", F.round("mean", 4).alias("mean"), F.round("var", 2).alias("var"), "pos"))
 
 

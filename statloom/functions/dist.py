@@ -172,13 +172,13 @@ def norm_ppf(p: float) -> float:
     return math.copysign(z, q)
 
 
-@np.errstate(all="ignore")
 def norm_ppf_array(p: np.ndarray) -> np.ndarray:
     """The normal quantile of a whole array."""
-    q = p - 0.5
-    r = np.sqrt(-np.log(np.minimum(p, 1 - p)))
-    tail = np.where(r <= 5, _ratio(_MIDDLE, r - 1.6), _ratio(_FAR, r - 5))
-    return np.where(np.abs(q) <= 0.425, q * _ratio(_CENTRE, 0.180625 - q * q), np.sign(q) * tail)
+    with np.errstate(all="ignore"):
+        q = p - 0.5
+        r = np.sqrt(-np.log(np.minimum(p, 1 - p)))
+        tail = np.where(r <= 5, _ratio(_MIDDLE, r - 1.6), _ratio(_FAR, r - 5))
+        return np.where(np.abs(q) <= 0.425, q * _ratio(_CENTRE, 0.180625 - q * q), np.sign(q) * tail)
 
 
 def binom_tail(k: int, n: int, p: float = 0.5) -> float:

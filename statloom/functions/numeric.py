@@ -70,3 +70,10 @@ def melt(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
     """Long form (column, value) of the finite values of several columns."""
     wide = df.select(*keep, *[finite(c).alias(c) for c in cols])
     return wide.unpivot(list(keep), cols, "column", "value")
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r as an aggregate; NULL (where Spark's own corr fails) if a column is constant."""
+    both_x, both_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.stddev_pop(both_x) * F.stddev_pop(both_y)
+    return F.covar_pop(both_x, both_y) / F.when(spread > 0, spread)

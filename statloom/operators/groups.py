@@ -23,44 +23,35 @@ def samples(df: DataFrame, group: str, value: str, order: list[str] | None = Non
     return rows.filter(F.col("grp").isin([str(o) for o in order])) if order else rows
 
 
-def group_levels(rows: DataFrame, min_group_n: int, order: list[str] | None = None, by: list[str] = ()) -> DataFrame:
-    """One row per kept group: moments, position in the group order, and per-key summary columns.
+def group_levels(rows: DataFrame, min_group_n: int, order: list[str] | None = None, by: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(levels, summary): one row per kept group, and one row per key.
 
-    Groups with fewer than ``min_group_n`` values are left out and named in ``dropped``.
+    levels: grp, n, mean, var, and the group's position in the given or alphabetical order.
+    summary: n_groups, n_min, n_max, group_sizes, comparison, and ``dropped``, the groups
+    with fewer than ``min_group_n`` values by name.
     """
     stats = rows.groupBy(*by, "grp").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var")
     )
     place = F.array_position(F.array(*[F.lit(str(o)) for o in order]), F.col("grp")) if order else F.col("grp")
-    key = by_key(stats, by)
+    stats = stats.withColumn("p", place)
     low = F.col("n") < min_group_n
-    named = F.when(low, F.struct(place.alias("p"), F.format_string("%s(n=%d)", "grp", "n").alias("t")))
-    listed = F.transform(F.sort_array(F.collect_list(named).over(key)), lambda x: x["t"])
-    stats = stats.withColumn(
-        "dropped",
-        F.when(
-            F.size(listed) > 0, F.concat(F.lit("dropped below min_group_n: "), F.array_join(listed, ", "))
-        ),
-    )
-    kept = stats.filter(~low).withColumn("pos", F.row_number().over(key.orderBy(place)))
-    entry = F.struct("pos", F.format_string("%s=%d", "grp", "n").alias("t"), F.col("grp").alias("g"))
-    every = F.sort_array(F.collect_list(entry).over(key))
-    return kept.withColumns(
-        {
-            "n_groups": F.count(F.lit(1)).over(key),
-            "n_min": F.min("n").over(key),
-            "n_max": F.max("n").over(key),
-            "group_sizes": F.array_join(F.transform(every, lambda x: x["t"]), "; "),
-            "comparison": F.array_join(F.transform(every, lambda x: x["g"]), " | "),
-        }
-    )
-
 
-SUMMARY = ["n_groups", "n_min", "n_max", "group_sizes", "comparison", "dropped"]
-
-
-def carry() -> list[Column]:
-    return [F.first(c).alias(c) for c in SUMMARY]
+    def names(keep: Column, text: Column) -> Column:
+        found = F.sort_array(F.collect_list(F.when(keep, F.struct("p", text.alias("t")))))
+        return F.transform(found, lambda x: x["t"])
+
+    dropped = names(low, F.format_string("%s(n=%d)", "grp", "n"))
+    summary = stats.groupBy(*by).agg(
+        F.count_if(~low).alias("n_groups"),
+        F.min(F.when(~low, F.col("n"))).alias("n_min"),
+        F.max(F.when(~low, F.col("n"))).alias("n_max"),
+        F.array_join(names(~low, F.format_string("%s=%d", "grp", "n")), "; ").alias("group_sizes"),
+        F.array_join(names(~low, F.col("grp")), " | ").alias("comparison"),
+        F.when(F.size(dropped) > 0, F.concat(F.lit("dropped below min_group_n: "), F.array_join(dropped, ", "))).alias("dropped"),
+    )
+    levels = stats.filter(~low).withColumn("pos", F.row_number().over(by_key(stats, by).orderBy("p"))).drop("p")
+    return levels, summary
 
 
 def keep_groups(rows: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame:
@@ -168,15 +159,13 @@ def variance_test(
         raise ValueError(f"unknown method '{method}'")
     by = list(by)
     rows = samples(df, group_col, value_col, order, by)
-    levels = group_levels(rows, min_group_n, order, by)
+    levels, summary = map(settle, group_levels(rows, min_group_n, order, by))
     if method == "bartlett":
         test = bartlett(levels, by)
     else:
         test = (levene if method == "levene" else fligner)(keep_groups(rows, levels, by), center, by)
-    shape = levels.groupBy(*by).agg(
-        *carry(), F.sum("n").alias("n"), F.max("var").alias("vmax"), F.min("var").alias("vmin")
-    )
-    out = join_by(shape, test, by).withColumn(
+    shape = levels.groupBy(*by).agg(F.sum("n").alias("n"), F.max("var").alias("vmax"), F.min("var").alias("vmin"))
+    out = join_by(join_by(shape, summary, by), test, by).withColumn(
         "max_var_ratio", F.when(F.col("vmin") > 0, F.col("vmax") / F.col("vmin"))
     )
     ratio = F.col("max_var_ratio")

@@ -21,11 +21,11 @@ def orphan_count(child: DataFrame, child_keys: list[str], parent: DataFrame, par
     The child is counted per key before the join, so a key that fills a third of the table
     travels once.
     """
-    rows = child.dropna(subset=child_keys).groupBy(*child_keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = child.dropna(subset=child_keys).groupBy(*child_keys).agg(F.count(F.lit(1)).alias("_n"))
     keys = parent.select(*[F.col(p).alias(c) for p, c in zip(parent_keys, child_keys)]).distinct()
     lost = rows.join(keys, child_keys, "left_anti")
     label = name or ",".join(child_keys)
-    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans")).select(F.lit(label).alias("constraint"), "n_orphans")
+    return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_orphans")).select(F.lit(label).alias("constraint"), "n_orphans")
 
 
 def foreign_key_report(tables: dict[str, DataFrame], keys: list[tuple[str, list[str], str, list[str]]]) -> DataFrame:
@@ -37,11 +37,11 @@ def foreign_key_report(tables: dict[str, DataFrame], keys: list[tuple[str, list[
 
 def key_check(df: DataFrame, keys: list[str], table: str = "") -> DataFrame:
     """(table, n_duplicates, n_null_keys): rows beyond the first per key, rows with an incomplete key."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     gone = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
     return counts.agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"),
-        F.coalesce(F.sum(F.when(gone, F.col("n")).otherwise(0)), F.lit(0)).alias("n_null_keys"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_duplicates"),
+        F.coalesce(F.sum(F.when(gone, F.col("_n")).otherwise(0)), F.lit(0)).alias("n_null_keys"),
     ).select(F.lit(table).alias("table"), "n_duplicates", "n_null_keys")
 
 

@@ -80,15 +80,18 @@ def _with_bucket(hist: DataFrame, value: str, by: list[str], weights: list[str])
 
 
 def cumulate(
-    hist: DataFrame, value: str, weights: list[str] = ("n",), by: list[str] = (), unique: bool = True
+    hist: DataFrame, value: str, weights: list[str] = ("n",), by: list[str] = (), unique: bool = True, write: bool = True
 ) -> DataFrame:
     """Add ``<w>_below``, ``<w>_tied`` and ``<w>_total`` for every count column.
 
     below = count on smaller values of the same key, tied = count on this value,
     total = count of the whole key. With ``unique=False`` a value may have several rows
-    (for instance one per group) and ties are summed over them.
+    (for instance one per group) and ties are summed over them. The counts are read four
+    times, so they are written out first unless ``write=False``.
     """
     by, weights = list(by), list(weights)
+    if write:
+        hist = settle(hist)
     rows = _with_bucket(hist, value, by, weights)
     sums = rows.groupBy(*by, "_bucket").agg(*[F.sum(w).alias(f"_{w}_sum") for w in weights])
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -164,10 +167,31 @@ def add_dense_rank(cells: DataFrame, value: str, out: str, by: list[str] = ()) -
 def row_place(df: DataFrame, order: list[Column], by: list[str] = (), out: str = "place") -> DataFrame:
     """1-based place of every row in a unique order within its key, spread over ordered buckets."""
     rows = df.withColumns({"_key": F.struct(*order), "_w": F.lit(1)})
-    placed = cumulate(rows, "_key", ["_w"], by)
+    placed = cumulate(rows, "_key", ["_w"], by, write=False)
     return placed.withColumn(out, F.col("_w_below") + 1).drop("_key", "_w", "_w_below", "_w_tied", "_w_total")
 
 
+def running_extreme(
+    rows: DataFrame, value: str, measure: str, out: str, by: list[str] = (), smallest_above: bool = False
+) -> DataFrame:
+    """Running maximum of ``measure`` up to each value, or its minimum from each value on.
+
+    Like ``cumulate``: inside ordered buckets first, then over one row per bucket.
+    """
+    by = list(by)
+    placed = _with_bucket(rows, value, by, ["n"])
+    agg = F.min if smallest_above else F.max
+    frame = (Window.currentRow, Window.unboundedFollowing) if smallest_above else (Window.unboundedPreceding, Window.currentRow)
+    rest = (1, Window.unboundedFollowing) if smallest_above else (Window.unboundedPreceding, -1)
+    ends = placed.groupBy(*by, "_bucket").agg(agg(measure).alias("_end"))
+    chain = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(*rest)
+    ends = ends.withColumn("_outside", agg("_end").over(chain)).drop("_end")
+    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(*frame)
+    joined = placed.withColumn("_inside", agg(measure).over(inside)).join(ends, [*by, "_bucket"])
+    both = F.least("_inside", "_outside") if smallest_above else F.greatest("_inside", "_outside")
+    return joined.withColumn(out, both).drop("_bucket", "_inside", "_outside")
+
+
 def smallest_gap(df: DataFrame, value: str) -> DataFrame:
     """(n_distinct, min_gap): distinct values and the smallest step between neighbours."""
     rows = _with_bucket(histogram(df, value).withColumnRenamed(value, "value"), "value", [], ["n"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.functions import dist
-from statloom.functions.numeric import finite, melt, numeric_columns
+from statloom.functions.numeric import correlation, finite, melt, numeric_columns
 from statloom.operators import resample
 from statloom.operators.ranks import cumulate, histogram, quantile_at, settle
 from statloom.operators.resample import _attach_row
@@ -174,7 +174,17 @@ def _filliben(i: Column, n: Column) -> Column:
 def qq_points(df: DataFrame, value: str) -> DataFrame:
     """(place, theoretical, sample): every observation against its normal order-statistic median."""
     ranked = cumulate(histogram(df, value).withColumnRenamed(value, "sample"), "sample")
-    rows = ranked.withColumn("place", F.explode(F.sequence(F.col("n_below") + 1, F.col("n_below") + F.col("n"))))
+    # A hot value stands for many points: it is split into runs of 10,000, which are spread
+    # over the tasks before the points themselves are written out.
+    run = 10_000
+    last = F.col("n") - 1
+    rows = ranked.withColumn("far", F.explode(F.sequence(F.lit(0), (last / (run * run)).cast("long"))))
+    left = last - F.col("far") * run * run
+    rows = rows.withColumn("near", F.explode(F.sequence(F.lit(0), F.least((left / run).cast("long"), F.lit(run - 1)))))
+    rows = rows.repartition("sample", "far", "near")
+    start = (F.col("far") * run + F.col("near")) * run
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.least(last - start, F.lit(run - 1)))))
+    rows = rows.withColumn("place", F.col("n_below") + start + F.col("step") + 1)
     p = _filliben(F.col("place").cast("double"), F.col("n_total").cast("double"))
     return rows.select("place", dist.normal_quantile(p).alias("theoretical"), "sample")
 
@@ -184,7 +194,7 @@ def qq_line(df: DataFrame, value: str) -> DataFrame:
     return qq_points(df, value).agg(
         F.regr_slope("sample", "theoretical").alias("slope"),
         F.regr_intercept("sample", "theoretical").alias("intercept"),
-        F.corr("sample", "theoretical").alias("r"),
+        correlation(F.col("sample"), F.col("theoretical")).alias("r"),
     )
 
 
@@ -231,7 +241,7 @@ def trendline(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFr
     rows = df.select((F.col(group) if group else F.lit("all")).cast("string").alias("group"), finite(x).alias("x"), finite(y).alias("y")).dropna()
     s = rows.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
-        F.corr("x", "y").alias("r"), F.min("x").alias("x_min"), F.max("x").alias("x_max"),
+        correlation(F.col("x"), F.col("y")).alias("r"), F.min("x").alias("x_min"), F.max("x").alias("x_max"),
     ).filter("n >= 3")
     r = F.col("r")
     t = r * F.sqrt((F.col("n") - 2) / F.when(F.abs(r) < 1, 1 - r * r))

@@ -135,12 +135,12 @@ def standardised_gap(df: DataFrame, group: str, stratum: str, value: str, a: str
 def overlap(df: DataFrame, entity: str, group: str) -> DataFrame:
     """(group, n_rows, n_shared_rows, pct_shared): rows of entities seen in more than one group."""
     # Counted per (entity, group) first; an entity then has one row per group it appears in.
-    per = df.groupBy(entity, group).agg(F.count(F.lit(1)).alias("n"))
-    spread = per.groupBy(entity).agg(F.count(F.lit(1)).alias("n_groups"))
+    per = df.groupBy(entity, group).agg(F.count(F.lit(1)).alias("_n"))
+    spread = per.groupBy(entity).agg(F.count(F.lit(1)).alias("_groups"))
     rows = per.join(spread, entity)
-    shared = F.sum(F.when(F.col("n_groups") > 1, F.col("n")).otherwise(0))
+    shared = F.sum(F.when(F.col("_groups") > 1, F.col("_n")).otherwise(0))
     return rows.groupBy(F.col(group).alias("group")).agg(
-        F.sum("n").alias("n_rows"), shared.alias("n_shared_rows"), (shared / F.sum("n") * 100).alias("pct_shared")
+        F.sum("_n").alias("n_rows"), shared.alias("n_shared_rows"), (shared / F.sum("_n") * 100).alias("pct_shared")
     )
 
 

@@ -1,6 +1,6 @@
 """Resampling spread over blocks of the value histogram.
 
-Every task draws the same replicate-by-block table from the seed, so it knows how many of
+Every task repeats the same replicate-by-block draws from the seed, so it knows how many of
 the drawn observations fall into its own block without any exchange; it then draws inside
 the block only. What leaves a task is one row per replicate (or per order statistic that
 falls into the block), whatever the number of observations.
@@ -9,7 +9,7 @@ falls into the block), whatever the number of observations.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,10 @@ STATISTICS = ("mean", "median", "std", "var", "min", "max", "sum")
 
 
 def _blocks(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """Number the blocks of each key and attach the sizes of all of them as an array."""
+    """Number the blocks of each key and attach the sizes of all of them as an array.
+
+    For keys of at most PERMUTATION_MAX observations, so a block stays small.
+    """
     parts = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_total") / BLOCK_ROWS)))
     block = F.floor(F.col("n_below") * parts / F.col("n_total")).cast("int")
     rows = ranked.withColumn("block", block)
@@ -85,21 +88,59 @@ def _order_indexes(statistic: str, n: int) -> list[int]:
     return sorted({(n - 1) // 2, n // 2})
 
 
-def _bootstrap_block(statistic: str, n_resamples: int, seed: int, keys: list[str]) -> Callable:
+def _tree_blocks(ranked: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """Blocks of about BLOCK_ROWS observations as leaves of a tree with MAX_BLOCKS branches.
+
+    Every row gets its leaf and, per level, the sizes of the branches it was chosen from:
+    enough to repeat the draws that lead to the leaf. Returns the rows and the depth.
+    """
+    largest = ranked.agg(F.max("n_total")).first()[0] or 1
+    depth = 1
+    while MAX_BLOCKS**depth * BLOCK_ROWS < largest and depth < 4:
+        depth += 1
+    parts = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS**depth), F.ceil(F.col("n_total") / BLOCK_ROWS)))
+    leaf = F.floor(F.col("n_below").cast("decimal(38,0)") * parts / F.col("n_total")).cast("long")
+    rows = ranked.withColumn("block", leaf)
+    sizes = rows.groupBy(*keys, "block").agg(F.sum("n").alias("m"))
+    for level in range(depth):
+        branch = (F.col("block") / MAX_BLOCKS ** (depth - 1 - level)).cast("long")
+        parent = (F.col("block") / MAX_BLOCKS ** (depth - level)).cast("long") if level else F.lit(0).cast("long")
+        at = sizes.select(*keys, parent.alias("_parent"), branch.alias("branch"), "m")
+        at = at.groupBy(*keys, "_parent", "branch").agg(F.sum("m").alias("m"))
+        at = at.groupBy(*keys, "_parent").agg(F.sort_array(F.collect_list(F.struct("branch", "m"))).alias(f"sizes{level}"))
+        rows = rows.withColumn("_parent", parent).join(at, [*keys, "_parent"]).drop("_parent")
+    # A fixed partition count: the blocks are heavy to draw from but small in bytes, and would
+    # otherwise be coalesced into one task.
+    return rows.repartition(bucket_count(rows), *keys, "block"), depth
+
+
+def _leaf_counts(pdf: pd.DataFrame, depth: int, n_resamples: int, seed: int, label: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(draws that fall into this leaf, draws that fall before it) for every replicate."""
+    leaf = int(pdf["block"].iloc[0])
+    mine = before = None
+    for level in range(depth):
+        sizes = [(s["branch"], s["m"]) for s in pdf[f"sizes{level}"].iloc[0]]
+        weights = np.array([m for _, m in sizes], dtype=float)
+        branch = leaf // MAX_BLOCKS ** (depth - 1 - level)
+        me = [b for b, _ in sizes].index(branch)
+        if level == 0:
+            mine, before = np.full(n_resamples, int(weights.sum())), np.zeros(n_resamples, dtype=np.int64)
+        rng = np.random.default_rng(_seed(seed, *label, "level", level, branch // MAX_BLOCKS if level else 0))
+        table = rng.multinomial(mine, weights / weights.sum())
+        before = before + table[:, :me].sum(axis=1)
+        mine = table[:, me]
+    return mine, before
+
+
+def _bootstrap_block(statistic: str, n_resamples: int, seed: int, keys: list[str], depth: int) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
         values = pdf["value"].to_numpy(float)
         counts = pdf["n"].to_numpy(np.int64)
-        sizes = [(s["block"], s["m"]) for s in pdf["sizes"].iloc[0]]
-        numbers = [b for b, _ in sizes]
-        weights = np.array([m for _, m in sizes], dtype=float)
-        n = int(weights.sum())
-        me = numbers.index(int(pdf["block"].iloc[0]))
+        n = int(pdf["n_total"].iloc[0])
         label = [str(pdf[k].iloc[0]) for k in keys]
-        shared = np.random.default_rng(_seed(seed, *label))
-        table = shared.multinomial(n, weights / n, size=n_resamples)
-        mine, before = table[:, me], table[:, :me].sum(axis=1)
-        own = np.random.default_rng(_seed(seed, *label, "block", me))
+        mine, before = _leaf_counts(pdf, depth, n_resamples, seed, label)
+        own = np.random.default_rng(_seed(seed, *label, "block", int(pdf["block"].iloc[0])))
         out = []
         for lo, hi in _chunks(n_resamples, max(len(values), int(mine.max(initial=0)))):
             draw = _draw_counts(own, counts, mine[lo:hi])
@@ -137,14 +178,14 @@ def bootstrap_replicates(
     # Sums of squares are taken around the key's mean, or large offsets would cancel.
     centre = ranked.groupBy(*keys).agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("c"))
     ranked = ranked.join(centre, keys) if keys else ranked.withColumn("c", centre.scalar())
-    rows = _blocks(ranked, keys)
+    rows, depth = _tree_blocks(ranked, keys)
     linear = statistic in ("mean", "sum", "var", "std")
     if linear:
         rows = rows.withColumn("value", F.col("value") - F.col("c"))
     types = {f.name: f.dataType.simpleString() for f in ranked.schema}
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["rep int, idx long, w double, s1 double, s2 double"])
     parts = rows.groupBy(*keys, "block").applyInPandas(
-        _bootstrap_block(statistic, n_resamples, seed, keys), schema
+        _bootstrap_block(statistic, n_resamples, seed, keys, depth), schema
     )
     if not linear:
         return parts.groupBy(*keys, "rep").agg(F.avg("s1").alias("theta"))
@@ -433,9 +474,15 @@ def _shuffle_block(n_resamples: int, seed: int, keys: list[str]) -> Callable:
         shared = np.random.default_rng(_seed(seed, *label, "shuffle"))
         table = shared.multivariate_hypergeometric(weights, int(pdf["n_draw"].iloc[0]), size=n_resamples, method="marginals")
         own = np.random.default_rng(_seed(seed, *label, "shuffle", me))
-        sums = np.empty(n_resamples)
+        total, sums = int(counts.sum()), np.empty(n_resamples)
+        # Few copies per value: picking observations is cheaper than one draw per value.
+        single = np.repeat(values, counts) if total <= 8 * len(counts) else None
         for r in range(n_resamples):
-            sums[r] = own.multivariate_hypergeometric(counts, int(table[r, me]), method="marginals") @ values
+            take = int(table[r, me])
+            if single is not None:
+                sums[r] = single[own.choice(total, take, replace=False, shuffle=False)].sum()
+            else:
+                sums[r] = own.multivariate_hypergeometric(counts, take, method="marginals") @ values
         res = pd.DataFrame({"rep": np.arange(n_resamples), "s": sums})
         for k in reversed(keys):
             res.insert(0, k, pdf[k].iloc[0])
@@ -508,42 +555,29 @@ def sign_flip_p(hist: DataFrame, n_resamples: int, seed: int, alternative: str)
 
 
 def fixed_size_sample(ranked: DataFrame, size: int, seed: int, keys: list[str]) -> DataFrame:
-    """(keys…, value, k): ``size`` observations drawn without replacement, all of a smaller key."""
+    """(keys…, value, k): ``size`` observations drawn without replacement, all of a smaller key.
+
+    The drawn positions follow from the seed and the key's total, so every batch of the
+    ranked histogram can tell by itself how many of them fall on each of its values.
+    """
     keys = list(keys)
-    small = ranked.filter(F.col("n_total") <= size).select(*keys, "value", F.col("n").alias("k"))
     types = {f.name: f.dataType.simpleString() for f in ranked.schema}
     schema = ", ".join([f"`{c}` {types[c]}" for c in keys] + ["value double, k long"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("value")
-        sizes = [(s["block"], s["m"]) for s in pdf["sizes"].iloc[0]]
-        me = [b for b, _ in sizes].index(int(pdf["block"].iloc[0]))
-        label = [str(pdf[c].iloc[0]) for c in keys]
-        left_n, left_m = size, sum(m for _, m in sizes)
-        shared = np.random.default_rng(_seed(seed, *label, "sample"))
-        take = 0
-        for i, (_, m) in enumerate(sizes):  # binomially thinned towards an exact total
-            take = _hyper(shared, m, left_m - m, left_n)
-            if i == me:
-                break
-            left_n, left_m = left_n - take, left_m - m
-        own = np.random.default_rng(_seed(seed, *label, "sample", me))
-        counts = pdf["n"].to_numpy(np.int64)
-        positions = np.sort(own.choice(int(counts.sum()), size=take, replace=False)) if take else []
-        got = np.bincount(np.searchsorted(np.cumsum(counts), positions, side="right"), minlength=len(counts))
-        res = pd.DataFrame({"value": pdf["value"].to_numpy(float), "k": got})[lambda d: d["k"] > 0]
-        for c in reversed(keys):
-            res.insert(0, c, pdf[c].iloc[0])
-        return res
-
-    big = _blocks(ranked.filter(F.col("n_total") > size), keys)
-    return small.unionByName(big.groupBy(*keys, "block").applyInPandas(run, schema))
-
-
-def _hyper(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    if draws <= 0:
-        return 0
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, draws))
-    # Beyond numpy's range the few draws barely deplete the block: binomial, kept feasible.
-    return int(np.clip(rng.binomial(draws, good / (good + bad)), max(0, draws - bad), min(good, draws)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            pdf["k"] = pdf["n"]
+            for label, part in pdf.groupby([*keys, "n_total"], dropna=False, sort=False):
+                total = int(label[-1])
+                if total <= size:
+                    continue
+                if label not in drawn:
+                    rng = np.random.default_rng(_seed(seed, *label[:-1], "sample"))
+                    drawn[label] = np.sort(rng.choice(total, size=size, replace=False))
+                start = part["n_below"].to_numpy(np.int64)
+                ends = start + part["n"].to_numpy(np.int64)
+                pdf.loc[part.index, "k"] = np.searchsorted(drawn[label], ends) - np.searchsorted(drawn[label], start)
+            yield pdf.loc[pdf["k"] > 0, [*keys, "value", "k"]]
+
+    return ranked.select(*keys, "value", "n", "n_below", "n_total").mapInPandas(run, schema)

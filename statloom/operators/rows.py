@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.text import TOTAL_TEAM_ID, clean_id, position_code, split_positions, strip
+from statloom.operators.ranks import row_place
 
 SOURCE_ROW = "_src_row"
 
@@ -42,15 +43,16 @@ def add_stint_columns(df: DataFrame, season: str, player: str, team: str, source
     The combined line (team 'tot') gets stint 0 and is primary where it exists; otherwise the
     first club is. ``source_row`` gives the order the source lists the rows in.
     """
-    combined = F.coalesce(F.col(team) == TOTAL_TEAM_ID, F.lit(False))
-    key = Window.partitionBy(season, player)
-    flagged = df.withColumn("_combined", combined)
-    order = Window.partitionBy(season, player).orderBy("_combined", *source_row)
-    # Clubs sort before the combined line, so one window numbers them without a second shuffle.
-    stint = F.when(F.col("_combined"), F.lit(0)).otherwise(F.row_number().over(order))
-    out = flagged.withColumns({"stint": stint, "_has": F.max("_combined").over(key)})
+    rows = df.withColumn("_combined", F.coalesce(F.col(team) == TOTAL_TEAM_ID, F.lit(False)))
+    # Ordered buckets over (key, order) instead of a sort per player: a key of any size is spread.
+    order = [F.col(c).alias(f"o{i}") for i, c in enumerate(source_row)]
+    placed = row_place(rows, order, [season, player, "_combined"], "_place")
+    totals = rows.groupBy(season, player).agg(F.max("_combined").alias("_has"))
+    totals = totals.select(F.col(season).alias("_s"), F.col(player).alias("_p"), "_has")
+    out = placed.join(totals, F.col(season).eqNullSafe(F.col("_s")) & F.col(player).eqNullSafe(F.col("_p")))
+    out = out.withColumn("stint", F.when(F.col("_combined"), F.lit(0)).otherwise(F.col("_place").cast("int")))
     primary = F.col("_combined") | (~F.col("_has") & (F.col("stint") == 1))
-    return out.withColumn("is_primary", primary).drop("_combined", "_has")
+    return out.withColumn("is_primary", primary).drop("_combined", "_has", "_place", "_s", "_p")
 
 
 def collect_keys(tables: list[DataFrame], key: str, out: str | None = None) -> DataFrame:
