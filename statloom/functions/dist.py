@@ -396,7 +396,8 @@ def column_function(scalar: Callable[..., float], *fixed) -> Callable[..., Colum
 def sided_t_p(t: Column, df: Column, side: str = "two-sided") -> Column:
     upper = column_function(t_sf)
     if side == "two-sided":
-        return F.least(F.lit(1.0), 2 * upper(F.abs(t), df))
+        p = 2 * upper(F.abs(t), df)
+        return F.when(p > 1, 1.0).otherwise(p)
     return upper(t if side == "greater" else -t, df)
 
 

@@ -46,7 +46,7 @@ def read_source(spark: SparkSession, folder: str, stem: str, **opts) -> DataFram
 def write_table(df: DataFrame, path: str, keys: list[str] = (), fmt: str = "parquet") -> None:
     """Write rows in key order: parquet by default, or UTF-8 CSV with a header."""
     out = (df.orderBy(*keys) if keys else df).write.mode("overwrite")
-    out.option("header", True).option("lineSep", "\n").csv(path) if fmt == "csv" else out.parquet(path)
+    out.option("header", True).option("escape", '"').option("lineSep", "\n").csv(path) if fmt == "csv" else out.parquet(path)
 
 
 def load_declared(
