@@ -27,7 +27,7 @@ N = "1.000000000001"
     per AS (SELECT o_custkey, count(*) AS n_orders, sum(revenue) AS revenue, sum(qty) AS qty FROM spend GROUP BY 1),
     busiest AS (SELECT c_nationkey, max(n) AS nation_max_orders FROM (SELECT c_nationkey, c_custkey, count(*) AS n
     FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1)
-    SELECT row_number() OVER (ORDER BY n_orders DESC, revenue DESC, c_custkey) AS place, c_custkey, c_name, n_orders, round(revenue, 2) AS revenue,
+    SELECT row_number() OVER (ORDER BY n_orders DESC, revenue DESC, c_custkey) AS place, c_custkey, c_name, n_orders, round(revenue, 4) AS revenue,
     round(revenue / nullif(qty, 0) * {N}, 2) AS revenue_per_unit, round(n_orders::double / nullif(nation_max_orders, 0) * {N}, 4) AS activity
     FROM customer JOIN per ON o_custkey = c_custkey LEFT JOIN busiest USING (c_nationkey) ORDER BY place LIMIT 100""",
 )
@@ -53,7 +53,7 @@ def flagship(spark, sf):
     top = df.orderBy(*order).limit(100)
     return top.select(
         F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long").alias("place"),
-        "c_custkey", "c_name", "n_orders", F.round("revenue", 2).alias("revenue"),
+        "c_custkey", "c_name", "n_orders", F.round("revenue", 4).alias("revenue"),
         safe_ratio(F.col("revenue"), F.col("qty"), 2).alias("revenue_per_unit"),
         safe_ratio(F.col("n_orders"), F.col("nation_max_orders"), 4).alias("activity"),
     )

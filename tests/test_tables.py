@@ -30,11 +30,16 @@ def test_stints(spark):
     assert [r["is_primary"] for r in out] == [True, False, False, True, True]
 
 
-def test_stints_of_one_huge_key(spark):
+def test_stints_of_one_huge_key(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT_ROWS", 1000)
     df = spark.range(30_000).select(F.lit(1).alias("s"), F.lit("p").alias("p"), F.lit("t").alias("t"), F.col("id").alias("_src_row"))
-    out = R.add_stint_columns(df, "s", "p", "t")
-    assert out.filter(F.col("stint") != F.col("_src_row") + 1).count() == 0
-    assert out.filter("is_primary").count() == 1
+    usual = spark.createDataFrame([(1, "q", "tot", 5), (1, "q", "t", 6), (None, "q", "t", 7)], "s int, p string, t string, _src_row long")
+    out = R.add_stint_columns(df.unionByName(usual), "s", "p", "t").cache()
+    huge = out.filter("p = 'p'")
+    assert huge.count() == 30_000 and huge.filter(F.col("stint") != F.col("_src_row") + 1).count() == 0
+    assert huge.filter("is_primary").count() == 1
+    rest = out.filter("p = 'q'").orderBy("_src_row").collect()
+    assert [(r["stint"], r["is_primary"]) for r in rest] == [(0, True), (1, False), (1, True)]
 
 
 def test_dimension_and_audit(spark):
