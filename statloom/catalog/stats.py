@@ -472,8 +472,10 @@ def t33(spark, sf):
 
 @query(
     "t33_yates",
-    f"""{_table_sql('labels', 'quality', 'toxic')} SELECT 'chi_square' AS test, t::bigint AS n, round(yates, 6) AS statistic, round(chi2, 6) AS chi2_uncorrected,
-    (SELECT round(max(o) FILTER (WHERE a = 0 AND b = 0)::double * max(o) FILTER (WHERE a = 1 AND b = 1) / (max(o) FILTER (WHERE a = 0 AND b = 1) * max(o) FILTER (WHERE a = 1 AND b = 0)), 6) FROM g) AS odds_ratio FROM x""",
+    f"""{_table_sql('labels', 'quality', 'toxic')}, d AS (SELECT max(o) FILTER (WHERE a = 0 AND b = 0)::double * max(o) FILTER (WHERE a = 1 AND b = 1)
+    / (max(o) FILTER (WHERE a = 0 AND b = 1) * max(o) FILTER (WHERE a = 1 AND b = 0)) AS odds FROM g)
+    SELECT CASE WHEN below > 20 OR mine < 1 THEN 'fisher_exact' ELSE 'chi_square' END AS test, t::bigint AS n,
+    round(CASE WHEN below > 20 OR mine < 1 THEN odds ELSE yates END, 6) AS statistic, round(chi2, 6) AS chi2_uncorrected, round(odds, 6) AS odds_ratio FROM x, d""",
 )
 def t33_yates(spark, sf):
     out = K.association_test(table(spark, sf, "labels"), "quality", "toxic")
