@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query, table
-from statloom.llm import bpe, token_counts
+from statloom.llm import bpe, quality, token_counts
 
 
 @query("op2_bpe")
@@ -22,6 +22,15 @@ def op2_bpe(spark, sf):
     )
 
 
+@query("op6_quality")
+def op6_quality(spark, sf):
+    """A quality score of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf, "labels").filter(~quality.held_out("doc_id")))
+    scored = quality.classify(docs, model).withColumn("held_out", quality.held_out("doc_id"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark, sf):
     """Token counts of every document."""
