@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query, table
-from statloom.llm import bpe, quality, token_counts
+from statloom.llm import bpe, ngram_join, quality, token_counts
 
 
 @query("op2_bpe")
@@ -31,6 +31,12 @@ def op6_quality(spark, sf):
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op8_ngram_join")
+def op8_ngram_join(spark, sf):
+    """The near-duplicate group of every document."""
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark, sf):
     """Token counts of every document."""
