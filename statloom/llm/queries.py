@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query, table
-from statloom.llm import bpe, ngram_join, quality, token_counts
+from statloom.llm import bpe, ngram_join, quality, token_counts, url_lm
 
 
 @query("op2_bpe")
@@ -37,6 +37,17 @@ def op8_ngram_join(spark, sf):
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
 
 
+#: The rules of the URL query.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+@query("op9_url_filter", url_lm.judge_sql(URL_RULES))
+def op9_url_filter(spark, sf):
+    """A verdict for every page's URL."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return url_lm.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark, sf):
     """Token counts of every document."""
