@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query, table
-from statloom.llm import bpe, ngram_join, quality, token_counts, url_lm
+from statloom.llm import bpe, imatch, ngram_join, quality, token_counts, url_lm
 
 
 @query("op2_bpe")
@@ -22,6 +22,12 @@ def op2_bpe(spark, sf):
     )
 
 
+@query("op4_imatch")
+def op4_imatch(spark, sf):
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return imatch.edit_report(table(spark, sf, "documents"))
+
+
 @query("op6_quality")
 def op6_quality(spark, sf):
     """A quality score of every document, learnt from the labels that are not held out."""
