@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query, table
-from statloom.llm import bpe, imatch, ngram_join, quality, token_counts, url_lm
+from statloom.llm import bpe, imatch, mixing, ngram_join, pii, quality, token_counts, url_lm
 
 
 @query("op2_bpe")
@@ -28,6 +28,19 @@ def op4_imatch(spark, sf):
     return imatch.edit_report(table(spark, sf, "documents"))
 
 
+#: Sources and topics are evened out, languages get fixed shares; half of the tokens are kept.
+MIX_TARGETS = {"source": 0.7, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": 0.9}
+MIX_FRACTION = 0.5
+
+
+@query("op5_mixing", mixing.mix_sql(MIX_TARGETS, MIX_FRACTION))
+def op5_mixing(spark, sf):
+    """Every document's probability and whether the sample holds it."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.with_probability(docs, MIX_TARGETS, MIX_FRACTION)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
 @query("op6_quality")
 def op6_quality(spark, sf):
     """A quality score of every document, learnt from the labels that are not held out."""
@@ -43,6 +56,17 @@ def op8_ngram_join(spark, sf):
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
 
 
+#: In production the key comes from a secret store.
+PII_KEY = "surrogate-key-of-the-given-tables"
+
+
+@query("op7_pii")
+def op7_pii(spark, sf):
+    """Every document with its personal data replaced."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return pii.replace_entities(docs, PII_KEY)
+
+
 #: The rules of the URL query.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
