@@ -6,7 +6,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query, table
-from statloom.llm import bpe, imatch, mixing, ngram_join, pii, quality, token_counts, url_lm
+from statloom.llm import bpe, embeddings, imatch, mixing, ngram_join, pii, quality, token_counts, url_lm, warc
+
+
+@query("op1_embedding_dedup")
+def op1_embedding_dedup(spark, sf):
+    """Links and groups of all embeddings."""
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
 
 
 @query("op2_bpe")
@@ -22,6 +28,14 @@ def op2_bpe(spark, sf):
     )
 
 
+@query("op3_warc_revisits", warc.crawl_sql())
+def op3_warc_revisits(spark, sf):
+    """The not-modified answers of a crawl of all pages, resolved."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    found = warc.resolve_revisits(warc.crawl_of(pages))
+    return found.withColumn("headers", warc.headers_text(F.col("headers")))
+
+
 @query("op4_imatch")
 def op4_imatch(spark, sf):
     """Fingerprints of every document and of its edited text, and how alike they are."""
