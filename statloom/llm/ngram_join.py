@@ -13,10 +13,11 @@ shingle keeps those, and adds the one-deletion neighbourhoods of the segments wi
 each counts double, as it also finds a segment that differs by one shingle. Only where that is
 not enough, segments of common shingles are indexed too.
 
-Verification: sets that share a key form a group; in rounds, each group's smallest id is compared
-with the others exactly. As the Jaccard distance is a metric, sets within 0.2 of it need not be
-compared with sets beyond 0.4 of it; they leave the group, joined. What is left elects the next
-one, until every pair is compared, joined or excluded. No pairs of a group are ever expanded.
+Verification: sets that share a key form a group, which is compared exactly, in rounds. First its
+smallest id meets the others. Then whoever already hangs together through links need not meet
+again, and as the Jaccard distance is a metric, sets within 0.2 of the first one need not meet
+sets beyond 0.4 of it. Some sets outside the group's largest part meet the others and leave,
+round by round, until each group is one part. No pairs of a group are ever expanded at once.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm.components import components
@@ -41,6 +42,8 @@ SEGMENTS = 0.35
 #: A shingle is common from this count or this share of documents on; it steers costs, never results.
 COMMON_COUNT, COMMON_SHARE = 32, 1 / 4096
 BATCH_BYTES = 4 << 20
+#: Sets of a group that are compared with its others in one round; the rest follow in the next.
+LEADS = 32
 #: Keys that a task holds before it hands them on, and keys in a bucket of the index.
 KEYS_AT_ONCE, BUCKET_KEYS = 4_000_000, 2_000_000
 _U = np.uint64
@@ -272,35 +275,52 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     several = found.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id", F.lit(True).alias("several"))
     several = stage.put(several, "several")
 
-    links, turn = [], 0
-    while True:
-        lead = postings.groupBy("gid").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-        pairs = postings.join(lead, "gid").filter("id <> lead").select("gid", "lead", "id")
-        pairs = stage.put(pairs, f"pairs-{turn}")
-        if pairs.isEmpty():
-            break
+    links = []
+
+    def compared(pairs: DataFrame, step: str) -> DataFrame:
+        """``(lead, id, linked, near)`` of distinct pairs; the links are kept."""
         sides = pairs.select("lead", "id").distinct().join(found, "id")
         other = found.select(F.col("id").alias("lead"), F.col("shingles").alias("lead_shingles"), F.col("n").alias("lead_n"))
         # Sizes too far apart already prove a distance beyond 0.4.
         sides = sides.join(other, "lead").filter("10 * least(n, lead_n) >= 6 * greatest(n, lead_n)")
-        both = F.size(F.array_intersect("shingles", "lead_shingles"))
         union = F.col("n") + F.col("lead_n") - F.col("both")
-        tested = sides.select("lead", "id", "n", "lead_n", both.alias("both")).select(
+        tested = sides.select("lead", "id", "n", "lead_n", F.size(F.array_intersect("shingles", "lead_shingles")).alias("both")).select(
             "lead", "id", (F.col("both") * 100 >= union * 80).alias("linked"), (F.col("both") * 10 >= union * 6).alias("near")
         )
-        tested = tested.groupBy("lead", "id").agg(F.max("linked").alias("linked"), F.max("near").alias("near"))
-        tested = stage.put(tested, f"tested-{turn}")
+        tested = stage.put(tested.groupBy("lead", "id").agg(F.max("linked").alias("linked"), F.max("near").alias("near")), step)
         links.append(tested.filter("linked").select("lead", "id"))
-        rest = (
-            pairs.join(tested, ["lead", "id"], "left")
-            .join(several, "id", "left")
-            .na.fill(False, ["linked", "near", "several"])
-        )
-        unsure = rest.filter("near and not linked").select("gid").distinct().withColumn("unsure", F.lit(True))
-        rest = rest.join(unsure, "gid", "left").filter("not linked or several or coalesce(unsure, false)")
+        return tested
+
+    # First round: every group against its smallest id, which tells who is within 0.2 and 0.4 of it.
+    lead = postings.groupBy("gid").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    pairs = stage.put(postings.join(lead, "gid").filter("id <> lead").select("gid", "lead", "id"), "pairs")
+    tested = compared(pairs, "tested-0")
+    rest = pairs.join(tested, ["lead", "id"], "left").join(several, "id", "left")
+    place = F.when(F.col("several").isNotNull() | (F.col("near") & ~F.col("linked")), "near").when(F.col("linked"), "linked").otherwise("far")
+    postings = stage.put(rest.select("gid", "id", place.alias("place")), "postings-1")
+
+    turn = 0
+    while True:
+        # What already hangs together need not be compared; nor sets within 0.2 and beyond 0.4 of the first.
         turn += 1
-        postings = stage.put(rest.select("gid", "id"), f"postings-{turn}")
-        stage.drop(f"pairs-{turn - 1}")
+        known = components(reduce(DataFrame.unionByName, links), "lead", "id", stage, f"round-{turn}")
+        here = postings.join(known.withColumnRenamed("node", "id"), "id", "left")
+        here = stage.put(here.select("gid", "id", "place", F.coalesce("component", "id").alias("part")), f"here-{turn}")
+        parts = here.groupBy("gid", "part").agg(F.count(F.lit(1)).alias("k"))
+        parts = parts.groupBy("gid").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        here = here.join(parts.filter("parts > 1"), "gid")
+        first = Window.partitionBy("gid").orderBy("id")
+        leads = here.filter("part <> main").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= LEADS)
+        leads = stage.put(leads.select("gid", F.col("id").alias("lead"), F.col("part").alias("lead_part"), F.col("place").alias("lead_place"), "rank"), f"leads-{turn}")
+        if leads.isEmpty():
+            break
+        apart = F.array_sort(F.array("place", "lead_place")) == F.array(F.lit("far"), F.lit("linked"))
+        ranks = leads.select("gid", F.col("lead").alias("id"), F.col("rank").alias("own_rank"))
+        left = here.join(ranks, ["gid", "id"], "left")
+        pairs = left.join(leads, "gid").filter((F.col("part") != F.col("lead_part")) & ~apart & (F.col("own_rank").isNull() | (F.col("own_rank") > F.col("rank"))))
+        compared(pairs, f"tested-{turn}")
+        postings = stage.put(left.filter("own_rank is null").select("gid", "id", "place"), f"postings-{turn + 1}")
+        stage.drop(f"here-{turn}", f"leads-{turn}", f"postings-{turn}")
     # A key with several texts stands in several classes.
     links.append(member.filter("id <> rep").join(several, "id", "left_semi").select(F.col("rep").alias("lead"), "id"))
     edges = reduce(DataFrame.unionByName, links)
