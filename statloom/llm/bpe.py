@@ -14,8 +14,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,7 +28,9 @@ from statloom.llm.rows import packed, unpacked
 LEAF_CHARS = 32_768
 FIRST_WINDOW = 64
 #: Distinct words remembered in one task before the memory is emptied; it changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Rows that are decoded at a time.
+ROWS_AT_ONCE = 500
 ENCODED_AT_ONCE = 4096
 BATCH_BYTES = 4 << 20
 #: A space after a non-space, or a change between ASCII letters and digits.
@@ -51,25 +53,26 @@ class Encoder:
         self.by_word = any(x["behavior"] == "Removed" and x["invert"] for x in split) and not any(
             set(" .,") & set(t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]
         )
-        self.known: dict[str, list[int]] = {"": []}
+        self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> Iterator[list[int]]:
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), ENCODED_AT_ONCE):
             for x in self.library.encode_batch_fast(texts[i : i + ENCODED_AT_ONCE], add_special_tokens=False):
-                yield x.ids
+                yield np.asarray(x.ids, np.int32).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as packed 32-bit numbers."""
         if not self.by_word:
             return list(self._ids(texts))
         words = [pieces(text, easy) for text, easy in zip(texts, plain(pa.array(texts, pa.string())).tolist())]
         distinct = set().union(*words)
         if len(self.known) + len(distinct) > REMEMBERED:
-            self.known = {"": []}
+            self.known = {}
         new = [x for x in distinct if x not in self.known]
         self.known.update(zip(new, self._ids(new)))
-        return [list(chain.from_iterable(map(self.known.__getitem__, x))) for x in words]
+        return [b"".join(map(self.known.__getitem__, x)) for x in words]
 
-    def joined(self, left: tuple[str, list[int]], right: tuple[str, list[int]]) -> tuple[str, list[int]]:
+    def joined(self, left: tuple[str, bytes], right: tuple[str, bytes]) -> tuple[str, bytes]:
         """The tokens of two neighbouring parts as one."""
         (a, a_ids), (b, b_ids) = left, right
         size = FIRST_WINDOW
@@ -86,20 +89,25 @@ class Encoder:
                 return a + b, self.encode([a + b])[0]
             size *= 2
 
-    def tree(self, parts: list[tuple[str, list[int]]]) -> list[int]:
+    def tree(self, parts: list[tuple[str, bytes]]) -> bytes:
         while len(parts) > 1:
             parts = [self.joined(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0][1]
 
 
+def packed_lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]) // 4
+    values = pa.array(np.frombuffer(b"".join(ids), np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def encoded(text: Column | str, path: str) -> Column:
     """``array<int>`` of the ids of a text, encoded in one piece; null is empty."""
 
     def ids(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path)
         for array in arrays:
-            texts = runs(pc.fill_null(array, ""), BATCH_BYTES)
-            out = [pa.array(encoder.encode(run.to_pylist()), pa.list_(pa.int32())) for run in texts]
+            out = [packed_lists(encoder.encode(run.to_pylist())) for run in runs(pc.fill_null(array, ""), BATCH_BYTES)]
             yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return F.arrow_udf(ids, "array<int>")(text)
@@ -113,26 +121,36 @@ def decoded(ids: Column | str, path: str, skip_special_tokens: bool = False) ->
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        names = None
+        size, names = library.get_vocab_size(with_added_tokens=True), None
         if library.decoder is None and not skip_special_tokens:  # then the library joins the tokens by spaces
-            size = library.get_vocab_size(with_added_tokens=True)
-            names = [library.id_to_token(i) for i in range(size)]
+            names = pa.array([library.id_to_token(i) for i in range(size)], pa.string())
         for array in arrays:
-            rows = [x or [] for x in array.to_pylist()]
-            if names is not None and all(0 <= i < len(names) and names[i] is not None for x in rows for i in (min(x, default=0), max(x, default=0))):
-                out = [" ".join(map(names.__getitem__, x)) for x in rows]
-            else:
-                out = library.decode_batch(rows, skip_special_tokens=skip_special_tokens)
-            yield pa.array(out, pa.string())
+            out = []
+            for i in range(0, len(array), ROWS_AT_ONCE):
+                rows = array.slice(i, ROWS_AT_ONCE)
+                known = pc.min_max(rows.flatten()).as_py()
+                if names is None or names.null_count or not 0 <= (known["min"] or 0) <= (known["max"] or 0) < size:
+                    ids = [x or [] for x in rows.to_pylist()]
+                    out.append(pa.array(library.decode_batch(ids, skip_special_tokens=skip_special_tokens), pa.string()))
+                    continue
+                ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(rows), 0).to_pylist()])
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(rows.flatten()))
+                out.append(pc.binary_join(tokens, " "))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return F.arrow_udf(texts, "string")(ids)
 
 
 def _put_together(path: str):
+    at_hand: list[Encoder] = []  # one for all texts of a task
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not at_hand:
+            at_hand.append(Encoder(path))
         pdf = pdf.sort_values("i")
-        parts = list(zip(pdf["part"], [x.tolist() for x in pdf["ids"]]))
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "ids": [Encoder(path).tree(parts)]})
+        parts = [(text, np.asarray(ids, np.int32).tobytes()) for text, ids in zip(pdf["part"], pdf["ids"])]
+        whole = np.frombuffer(at_hand[0].tree(parts), np.int32)
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "ids": [whole]})
 
     return merge
 
