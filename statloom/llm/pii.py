@@ -96,7 +96,7 @@ def _parts(found: Column) -> Column:
     """
     kind = kind_of(found)
     digits = F.regexp_replace(found, "[^0-9]", "")
-    valid = _check_digit(digits) == F.substring(digits, F.length(digits), F.lit(1))
+    valid = _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, F.length(digits), F.lit(1))
     large = F.exists(F.split(found, r"\."), lambda x: x.cast("int") > 255)
     kind = F.when((kind == "card") & ~valid, "literal").when((kind == "ipv4") & large, "literal").otherwise(kind)
     given = F.when(F.substring_index(F.regexp_replace(found, r"\. ", " "), " ", 1).isin(_WOMEN), "given_f").otherwise("given_m")
