@@ -144,7 +144,7 @@ def with_next(df: DataFrame, key: str, order: list[Column], values: list[str]) -
     shares = [i / parts for i in range(1, parts)]
     bounds = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * parts))).first()[0] if shares else []
     bounds = sorted(set(bounds or []))
-    tops = sorted(r[0] for r in df.groupBy(_rank(bounds, F.col(key))).agg(F.max(key)).select(f"max({key})").collect())
+    tops = sorted(r[0] for r in df.select(_rank(bounds, F.col(key)).alias("_range"), key).groupBy("_range").agg(F.max(key).alias("top")).select("top").collect())
     if not tops:
         return df.withColumns({f"next_{v}": F.col(v) for v in values})
     own = F.least(_rank(tops, F.col(key)), F.lit(len(tops) - 1))
