@@ -11,12 +11,12 @@ spread over the buckets like any other.
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.numeric import finite
+from statloom.operators.stage import shared_folder
 
 MAX_BUCKETS = 1024
 SAMPLE_PER_BUCKET = 64
@@ -34,13 +34,9 @@ def settle(df: DataFrame) -> DataFrame:
 
     The folder is the one the session names; only a local session without one gets its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            return df
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="statloom-checkpoint-"))
+    folder = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -165,10 +161,14 @@ def add_dense_rank(cells: DataFrame, value: str, out: str, by: list[str] = ()) -
 
 
 def row_place(df: DataFrame, order: list[Column], by: list[str] = (), out: str = "place") -> DataFrame:
-    """1-based place of every row in a unique order within its key, spread over ordered buckets."""
-    rows = df.withColumns({"_key": F.struct(*order), "_w": F.lit(1)})
-    placed = cumulate(rows, "_key", ["_w"], by, write=False)
-    return placed.withColumn(out, F.col("_w_below") + 1).drop("_key", "_w", "_w_below", "_w_tied", "_w_total")
+    """1-based place of every row within its key, spread over ordered buckets; no two rows share one.
+
+    Rows tied in the order are placed by a hash of their values.
+    """
+    rows = df.withColumns({"_key": F.struct(*order), "_w": F.lit(1), "_tie": F.xxhash64(*df.columns)})
+    placed = cumulate(rows, "_key", ["_w"], by, unique=False, write=False)
+    among = F.row_number().over(Window.partitionBy(*by, "_key").orderBy("_tie"))
+    return placed.withColumn(out, F.col("_w_below") + among).drop("_key", "_tie", "_w", "_w_below", "_w_tied", "_w_total")
 
 
 def running_extreme(

@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.text import TOTAL_TEAM_ID, clean_id, position_code, split_positions, strip
-from statloom.operators.ranks import row_place, settle
+from statloom.operators.ranks import row_place
 
 SOURCE_ROW = "_src_row"
-# A key with more rows than this is not left to one task.
-HOT_ROWS = 1_000_000
 
 
 def with_source_row(df: DataFrame, name: str = SOURCE_ROW, from_files: bool = False) -> DataFrame:
@@ -43,39 +41,21 @@ def add_stint_columns(df: DataFrame, season: str, player: str, team: str, source
     """Number a player's clubs within a season and mark one row per player-season as primary.
 
     The combined line (team 'tot') gets stint 0 and is primary where it exists; otherwise the
-    first club is. ``source_row`` gives the order the source lists the rows in.
+    first club is. ``source_row`` gives the order the source lists the rows in; rows tied in it are
+    ordered by a hash of their values, so that every club has a stint of its own.
     """
-    keys = [season, player]
     rows = df.withColumn("_combined", F.coalesce(F.col(team) == TOTAL_TEAM_ID, F.lit(False)))
-    sizes = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.max("_combined").alias("_has")))
-    largest = sizes.agg(F.max("_size")).first()[0] or 0
-    if largest <= HOT_ROWS:
-        out = _numbered(rows, keys, source_row)
-    else:
-        named = sizes.select(F.col(season).alias("_s"), F.col(player).alias("_p"), "_size", "_has")
-        same = F.col(season).eqNullSafe(F.col("_s")) & F.col(player).eqNullSafe(F.col("_p"))
-        usual = rows.join(named.filter(F.col("_size") > HOT_ROWS), same, "left_anti")
-        hot = rows.join(named.filter(F.col("_size") > HOT_ROWS), same).drop("_s", "_p", "_size")
-        # Ordered buckets over (key, order) instead of a sort per player spread the hot keys.
-        order = [F.col(c).alias(f"o{i}") for i, c in enumerate(source_row)]
-        placed = row_place(hot, order, [*keys, "_combined"], "_place")
-        placed = placed.withColumn("_place", F.col("_place").cast("int"))
-        out = _numbered(usual, keys, source_row).unionByName(placed)
-    out = out.withColumn("stint", F.when(F.col("_combined"), F.lit(0)).otherwise(F.col("_place")))
+    # Ordered buckets over (key, order) spread a key of any size; tied rows get places of their own.
+    order = [F.col(c).alias(f"o{i}") for i, c in enumerate(source_row)]
+    placed = row_place(rows, order, [season, player, "_combined"], "_place")
+    has = rows.groupBy(F.col(season).alias("_s"), F.col(player).alias("_p")).agg(F.max("_combined").alias("_has"))
+    same = F.col(season).eqNullSafe(F.col("_s")) & F.col(player).eqNullSafe(F.col("_p"))
+    out = placed.join(has, same).drop("_s", "_p")
+    out = out.withColumn("stint", F.when(F.col("_combined"), F.lit(0)).otherwise(F.col("_place").cast("int")))
     primary = F.col("_combined") | (~F.col("_has") & (F.col("stint") == 1))
     return out.withColumn("is_primary", primary).drop("_combined", "_has", "_place")
 
 
-def _numbered(rows: DataFrame, keys: list[str], source_row: list[str]) -> DataFrame:
-    """Places within (key, combined) and whether the key has a combined line; one shuffle for both.
-
-    Clubs sort before the combined line, so they are numbered from 1 within the whole key.
-    """
-    key = Window.partitionBy(*keys)
-    place = F.row_number().over(key.orderBy("_combined", *source_row))
-    return rows.withColumns({"_place": place, "_has": F.max("_combined").over(key)})
-
-
 def collect_keys(tables: list[DataFrame], key: str, out: str | None = None) -> DataFrame:
     """Distinct non-null keys over all tables that carry the column."""
     parts = [t.select(F.col(key).alias(out or key)) for t in tables if key in t.columns]

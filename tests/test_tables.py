@@ -30,8 +30,15 @@ def test_stints(spark):
     assert [r["is_primary"] for r in out] == [True, False, False, True, True]
 
 
-def test_stints_of_one_huge_key(spark, monkeypatch):
-    monkeypatch.setattr(R, "HOT_ROWS", 1000)
+def test_tied_stints_are_distinct(spark):
+    rows = [(1, "p", "a", 5), (1, "p", "b", 5), (1, "p", "c", 6), (1, "p", "b", 5)]
+    df = spark.createDataFrame(rows, "season int, player string, team string, _src_row long")
+    out = R.add_stint_columns(df, "season", "player", "team").collect()
+    assert sorted(r["stint"] for r in out) == [1, 2, 3, 4] and sum(r["is_primary"] for r in out) == 1
+    assert [r["stint"] for r in out if r["team"] == "c"] == [4]
+
+
+def test_stints_of_one_huge_key(spark):
     df = spark.range(30_000).select(F.lit(1).alias("s"), F.lit("p").alias("p"), F.lit("t").alias("t"), F.col("id").alias("_src_row"))
     usual = spark.createDataFrame([(1, "q", "tot", 5), (1, "q", "t", 6), (None, "q", "t", 7)], "s int, p string, t string, _src_row long")
     out = R.add_stint_columns(df.unionByName(usual), "s", "p", "t").cache()
