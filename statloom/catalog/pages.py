@@ -94,8 +94,10 @@ def h06(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", H.seasons_summary(cell).alias("s")).select("o_orderkey", "s.count", "s.range")
 
 
-_LINKS = r"""links AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href,
-    unnest(range(len(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)))) AS pos FROM pages),
+_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))[^>]*>(.*?)</a>"""
+_FORMS = ", ".join(f"unnest(regexp_extract_all(html, '{_HREF}', {i})) AS h{i}" for i in (1, 2, 3))
+_LINKS = rf"""found AS (SELECT page_id, url, {_FORMS}, unnest(range(len(regexp_extract_all(html, '{_HREF}', 1)))) AS pos FROM pages),
+    links AS (SELECT page_id, url, concat(h1, h2, h3) AS href, pos FROM found),
     abs AS (SELECT page_id, pos, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href ELSE regexp_extract(url, '^([a-zA-Z]+://[^/?]+)', 1) || href END AS link
     FROM links WHERE regexp_matches(href, '^(/|https?:)'))"""
 
@@ -184,9 +186,7 @@ def h13(spark, sf):
 
 @query(
     "h14_challenge_pages",
-    "SELECT page_id, page_id % 10 = 0 AS challenged FROM pages WHERE NOT contains(html, 'Just a moment')",
+    "SELECT page_id, " + " OR ".join(f"contains(html, '{m}')" for m in C.CHALLENGE_MARKERS) + " AS challenged FROM pages",
 )
 def h14(spark, sf):
-    pages = _pages(spark, sf).filter(~F.col("html").contains("Just a moment"))
-    page = F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("<title>Just a moment...</title>"), "html")).otherwise(F.col("html"))
-    return pages.select("page_id", H.is_challenge(page).alias("challenged"))
+    return _pages(spark, sf).select("page_id", H.is_challenge(F.col("html")).alias("challenged"))

@@ -10,14 +10,6 @@ from statloom.operators import quality as D
 from statloom.operators.rows import add_stint_columns
 
 
-@query("d01_expected_tables", "SELECT * FROM (VALUES ('refunds', 'missing'), ('d01_orders', 'unexpected')) t(\"table\", status)")
-def d01(spark, sf):
-    table(spark, sf, "orders").createOrReplaceTempView("d01_orders")
-    table(spark, sf, "customer").createOrReplaceTempView("d01_customer")
-    found = [t.name for t in spark.catalog.listTables() if t.name.startswith("d01_")]
-    return D.expected_tables(spark, found, ["d01_customer", "refunds"])
-
-
 @query(
     "d02_orphans",
     """SELECT 'orders(o_custkey) -> customer(c_custkey)' AS "constraint", count(*) AS n_orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)

@@ -57,12 +57,14 @@ def r04(spark, sf):
 
 @query(
     "r05_complete_dimension",
-    """SELECT k AS custkey, c_name, c_name IS NOT NULL AS has_detail FROM (SELECT c_custkey AS k FROM customer WHERE c_mktsegment <> 'BUILDING'
-    UNION SELECT o_custkey FROM orders UNION SELECT -1) LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON k = c_custkey""",
+    """SELECT k AS custkey, c_name, c_name IS NOT NULL AS has_detail FROM (SELECT c_custkey AS k FROM customer
+    UNION SELECT CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END FROM orders UNION SELECT -1) LEFT JOIN customer ON k = c_custkey""",
 )
 def r05(spark, sf):
-    detail = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("custkey"), "c_name")
-    used = table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"))
+    detail = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
+    # Orders still in part point at keys that no customer has.
+    key = F.when(F.col("o_orderstatus") == "P", -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    used = table(spark, sf, "orders").select(key.alias("custkey"))
     return R.complete_dimension(detail, "custkey", used, "has_detail", ["-1"])
 
 
@@ -245,17 +247,17 @@ def r15_rosters(spark, sf):
 
 @query(
     "r15_teams_and_seasons",
-    """SELECT 't' || s AS team_id, CASE WHEN s < 25 THEN 'Team ' || s END AS team_name, false AS is_aggregate, s < 25 AS has_detail
-    FROM (SELECT DISTINCT o_custkey % 30 AS s FROM orders) UNION ALL SELECT 'tot', 'Multiple Teams (season total)', true, false""",
+    """SELECT 't' || s AS team_id, CASE WHEN d THEN 'Team ' || s END AS team_name, false AS is_aggregate, d AS has_detail
+    FROM (SELECT s, bool_or(d) AS d FROM (SELECT o_custkey % 30 AS s, true AS d FROM orders UNION ALL SELECT o_custkey % 35, false FROM orders) GROUP BY s) UNION ALL SELECT 'tot', 'Multiple Teams (season total)', true, false""",
 )
 def r15_teams(spark, sf):
     c = F.col
     orders = table(spark, sf, "orders").withColumn("club", c("o_custkey") % 30)
-    totals = orders.filter("club < 25").groupBy(F.year("o_orderdate").alias("Season"), "club").agg(F.count(F.lit(1)).alias("G"))
+    totals = orders.groupBy(F.year("o_orderdate").alias("Season"), "club").agg(F.count(F.lit(1)).alias("G"))
     counts = [n for n in B.C.TEAM_TOTALS if n not in ("season", "teamname", "teamid", "g")]
     raw = totals.select(
         c("Season").cast("string").alias("Season"), F.concat(F.lit("Team "), c("club").cast("string")).alias("TeamName"),
         F.concat(F.lit(" T"), c("club").cast("string")).alias("TeamId"), c("G").cast("string").alias("G"), *[F.lit("1").alias(n) for n in counts],
     )
-    used = orders.select(F.concat(F.lit("T"), c("club").cast("string")).alias("team_id"))
+    used = orders.select(F.concat(F.lit("T"), (c("o_custkey") % 35).cast("string")).alias("team_id"))
     return B.teams(raw, used)

@@ -96,13 +96,6 @@ def s07(spark, sf):
     return files.rebuild(spark, scratch(spark, "layer"), steps, base, protected=[sf])["by_nation"]
 
 
-@query("s08_list_tables", "SELECT * FROM (VALUES ('s08_orders', 'TEMPORARY'), ('s08_lineitem', 'TEMPORARY')) t(name, kind)")
-def s08(spark, sf):
-    for n in ("orders", "lineitem"):
-        table(spark, sf, n).createOrReplaceTempView(f"s08_{n}")
-    return files.list_tables(spark).filter(F.col("name").startswith("s08_"))
-
-
 @query(
     "s09_parameter_query",
     """SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders

@@ -52,12 +52,13 @@ def t02(spark, sf):
 
 @query(
     "t03_group_split",
-    """WITH g AS (SELECT o_custkey % 7 || '' AS grp, o_totalprice AS v FROM orders WHERE o_custkey % 7 <> 3 OR o_totalprice > 495000)
+    """WITH g AS (SELECT CASE WHEN o_custkey % 7 = 3 AND o_totalprice <= 495000 THEN '7' ELSE o_custkey % 7 || '' END AS grp, o_totalprice AS v FROM orders)
     SELECT grp, count(*) AS n, round(avg(v), 4) AS mean, round(var_samp(v), 2) AS "var", row_number() OVER (ORDER BY grp) AS pos FROM g GROUP BY 1 HAVING count(*) >= 100""",
 )
 def t03(spark, sf):
-    orders = table(spark, sf, "orders").withColumn("g", (F.col("o_custkey") % 7).cast("string"))
-    rows = G.samples(orders.filter("g <> '3' or o_totalprice > 495000"), "g", "o_totalprice")
+    sevenths = F.col("o_custkey") % 7
+    group = F.when((sevenths == 3) & (F.col("o_totalprice") <= 495000), "7").otherwise(sevenths.cast("string"))
+    rows = G.samples(table(spark, sf, "orders").withColumn("g", group), "g", "o_totalprice")
     out, _ = G.group_levels(rows, 100)
     return longs(out.select("grp", "n", F.round("mean", 4).alias("mean"), F.round("var", 2).alias("var"), "pos"))
 

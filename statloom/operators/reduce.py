@@ -144,11 +144,13 @@ def box_stats(df: DataFrame, value: str, group: str | None = None, whis: float =
     return out.withColumn("pct_outliers", F.col("n_outliers") / F.col("n") * 100)
 
 
-def ecdf(df: DataFrame, value: str, group: str | None = None, top_groups: int = 10) -> DataFrame:
-    """(group, value, n, cum, ecdf): one step per distinct value, for the largest groups."""
+def ecdf(df: DataFrame, value: str, group: str | None = None, top_groups: int | None = None) -> DataFrame:
+    """(group, value, n, cum, ecdf): one step per distinct value; ``top_groups`` asks for the largest groups only."""
     rows = df.select((F.col(group) if group else F.lit("all")).cast("string").alias("group"), finite(value).alias("value"))
     if group:
-        sizes = rows.filter(F.col("group").isNotNull()).groupBy("group").count()
+        rows = rows.filter(F.col("group").isNotNull())
+    if group and top_groups is not None:
+        sizes = rows.groupBy("group").count()
         largest = sizes.orderBy(F.col("count").desc(), "group").limit(top_groups).select("group")
         rows = rows.join(F.broadcast(largest), "group", "left_semi")
     ranked = cumulate(histogram(rows, "value", ["group"]), "value", by=["group"])
@@ -221,17 +223,17 @@ def missing_bar(df: DataFrame, ignore_cols: list[str] | None = None, include_com
     return out.orderBy(F.col("pct_missing").desc(), "column")
 
 
-def missing_matrix(df: DataFrame, order_col: str, sample_n: int = 500, cols: list[str] | None = None) -> DataFrame:
-    """(row, column, missing) for evenly spaced rows in the order of ``order_col`` (a unique key)."""
+def missing_matrix(df: DataFrame, order_col: str, sample_n: int | None = None, cols: list[str] | None = None) -> DataFrame:
+    """(row, column, missing) of all rows in the order of ``order_col`` (a unique key), or of ``sample_n`` evenly spaced ones."""
     cols = cols or [c for c in df.columns if c != order_col]
     flags = df.select(order_col, F.lit(1).alias("_w"), *[F.col(c).isNull().alias(f"m_{i}") for i, c in enumerate(cols)])
     placed = cumulate(flags, order_col, ["_w"])
-    n = F.col("_w_total")
-    # floor(i·(n-1)/(m-1)) for i = 0 … m-1, or every row when there are few.
-    m = sample_n
-    slot = F.ceil(F.col("_w_below") * (m - 1) / F.greatest(n - 1, F.lit(1)))
-    hit = F.floor(slot * (n - 1) / (m - 1)) == F.col("_w_below")
-    kept = placed.filter((n <= m) | hit)
+    kept = placed
+    if sample_n is not None:
+        # floor(i·(n-1)/(m-1)) for i = 0 … m-1, or every row when there are few.
+        n, m = F.col("_w_total"), sample_n
+        slot = F.ceil(F.col("_w_below") * (m - 1) / F.greatest(n - 1, F.lit(1)))
+        kept = placed.filter((n <= m) | (F.floor(slot * (n - 1) / (m - 1)) == F.col("_w_below")))
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m_{i}").alias("missing")) for i, c in enumerate(cols)])
     return kept.select(F.col("_w_below").alias("row"), F.explode(each).alias("e")).select("row", "e.column", "e.missing")
 
@@ -391,9 +393,12 @@ _STEPS = {
 
 
 def time_resample(
-    df: DataFrame, date_col: str, value: str | None = None, freq: str = "D", agg: str = "mean", group: str | None = None, top_groups: int = 8
+    df: DataFrame, date_col: str, value: str | None = None, freq: str = "D", agg: str = "mean", group: str | None = None, top_groups: int | None = None
 ) -> DataFrame:
-    """(group, period, value): one row per calendar period from first to last; empty periods stay NULL."""
+    """(group, period, value): one row per calendar period from first to last; empty periods stay NULL.
+
+    ``top_groups`` asks for the largest groups only.
+    """
     if value is None and agg != "count":
         raise ValueError("value_col=None only supports agg='count' (rows per period).")
     if agg not in ("mean", "median", "sum", "count"):
@@ -404,7 +409,7 @@ def time_resample(
         (F.col(group) if group else F.lit("all")).cast("string").alias("group"), F.date_trunc(unit, stamp).alias("period"),
         (finite(value) if value else F.lit(1.0)).alias("value"),
     ).dropna()
-    if group:
+    if group and top_groups is not None:
         largest = rows.groupBy("group").count().orderBy(F.col("count").desc(), "group").limit(top_groups).select("group")
         rows = rows.join(F.broadcast(largest), "group", "left_semi")
     if agg == "median":

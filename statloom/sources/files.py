@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.operators.rows import with_source_row
+from statloom.operators.stage import Stage
 
 
 def _path(spark: SparkSession, path: str):
@@ -24,10 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def read_table(spark: SparkSession, path: str, source_row: bool = False, multi_line: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, source_row: bool = False, multi_line: bool = True) -> DataFrame:
     """CSV with a header, every column as text (types are decided by the cleaning, not guessed).
 
-    Quoted line breaks need ``multi_line``, which gives up splitting a file between tasks.
+    A quoted cell may hold line breaks, so one file is one task; ``multi_line=False`` splits
+    files between tasks and is for files known to have a row on every line.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("encoding", "UTF-8")
     df = reader.option("multiLine", multi_line).option("inferSchema", False).csv(path)
@@ -50,16 +52,20 @@ def write_table(df: DataFrame, path: str, keys: list[str] = (), fmt: str = "parq
 
 
 def load_declared(
-    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", encoding: str = "UTF-8", null_token: str = ""
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", encoding: str = "UTF-8", null_token: str = "", multi_line: bool = True
 ) -> DataFrame:
-    """Load a CSV against a declared schema, matching columns by header name; a bad value fails the load."""
-    header = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path).columns
+    """Load a CSV against a declared schema, matching columns by header name; a bad value fails the load.
+
+    ``multi_line`` as in ``read_table``.
+    """
+    raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", multi_line)
+    header = raw.option("escape", '"').csv(path).columns
     declared = {f.name: f for f in schema}
     unknown = [c for c in header if c not in declared]
     if unknown:
         raise ValueError(f"{path}: columns not in the declared schema: {unknown}")
     in_file = T.StructType([T.StructField(c, declared[c].dataType) for c in header])
-    reader = spark.read.schema(in_file).option("header", True).option("sep", sep).option("encoding", encoding)
+    reader = spark.read.schema(in_file).option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", multi_line)
     df = reader.option("nullValue", null_token).option("mode", "FAILFAST").option("escape", '"').csv(path)
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in header]
     return df.select("*", *missing).select(*[f.name for f in schema])
@@ -76,14 +82,19 @@ def restore_integers(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def load_all(spark: SparkSession, folder: str, schemas: dict[str, T.StructType], order: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Load tables parents first; a missing or empty file is skipped and says so in the report."""
+    """Load tables parents first; a missing or empty file is skipped and says so in the report.
+
+    Each table is parsed once, into the session's shared folder, and counted there: a bad value
+    in any column fails the load, whatever columns are read later.
+    """
     tables, report = {}, []
+    stage = Stage(spark, "load")
     for name in order:
         path = posixpath.join(folder, f"{name}.csv")
         if not exists(spark, path):
             report.append((name, 0, "missing"))
             continue
-        df = load_declared(spark, path, schemas[name])
+        df = stage.put(load_declared(spark, path, schemas[name]), name)
         rows = df.count()
         report.append((name, rows, "loaded" if rows else "empty"))
         if rows:
@@ -98,7 +109,11 @@ def rebuild(
     base: dict[str, DataFrame],
     protected: list[str] = (),
 ) -> dict[str, DataFrame]:
-    """Build a layer in order, all or nothing: into a staging folder first, swapped in when complete."""
+    """Build a layer in order, all or nothing: into a staging folder first, swapped in when complete.
+
+    The old layer is moved aside and only deleted once the new one is in its place; if the move
+    of the new one fails, the old one is moved back.
+    """
     target = target.rstrip("/")
     if any(target == p.rstrip("/") or p.rstrip("/").startswith(target + "/") for p in protected):
         raise ValueError(f"refusing to rebuild over the protected layer {target}")
@@ -118,10 +133,16 @@ def rebuild(
         raise
     hstaging, fs = _path(spark, staging)
     htarget, _ = _path(spark, target)
-    if fs.exists(htarget):
-        fs.delete(htarget, True)
+    hold, _ = _path(spark, f"{staging}_old")
+    had = fs.exists(htarget)
+    if had and not fs.rename(htarget, hold):
+        raise OSError(f"could not move {target} aside; the new layer is in {staging}")
     if not fs.rename(hstaging, htarget):
+        if had:
+            fs.rename(hold, htarget)
         raise OSError(f"could not move {staging} to {target}")
+    if had:
+        fs.delete(hold, True)
     return {name: spark.read.parquet(f"{target}/{name}") for name, _ in builders}
 
 

@@ -280,3 +280,48 @@ def test_links_once_per_page(spark):
     pages = spark.createDataFrame([(1, "http://h.org/p", html)], "page_id long, url string, html string")
     got = [(r["link"], r["text"]) for r in H.page_links(pages, "^/", skip_text=["Skip"]).orderBy("pos").collect()]
     assert got == [("http://h.org/a", "One"), ("http://h.org/b", "Two")]
+
+
+def test_links_in_every_quote_form(spark):
+    html = "<a href='/a'>One</a><a data-href=\"/no\" HREF = \"/b\">Two</a><a class=x href=/c>Three</a>"
+    pages = spark.createDataFrame([(1, "http://h.org/p", html)], "page_id long, url string, html string")
+    got = [(r["link"], r["text"]) for r in H.page_links(pages).orderBy("pos").collect()]
+    assert got == [("http://h.org/a", "One"), ("http://h.org/b", "Two"), ("http://h.org/c", "Three")]
+
+
+def test_merged_links_keep_the_first_place_by_number(spark):
+    schema = "page_id long, pos int, link string, text string"
+    first = spark.createDataFrame([(1, 10, "u", "tenth"), (1, 9, "u", "ninth"), (10, 0, "v", "later"), (9, 5, "v", "sooner")], schema)
+    second = spark.createDataFrame([(1, 0, "u", "other list"), (1, 0, "w", "own")], schema)
+    got = {r["link"]: (r["text"], r["source"]) for r in H.merge_links([first, second]).collect()}
+    assert got == {"u": ("ninth", 0), "v": ("sooner", 0), "w": ("own", 1)}
+
+
+def test_quoted_line_breaks_and_failing_loads(spark, tmp_path):
+    (tmp_path / "notes.csv").write_text('id,note\n1,"a\nb"\n2,c\n')
+    assert sorted(map(tuple, files.read_table(spark, str(tmp_path / "notes.csv")).collect())) == [("1", "a\nb"), ("2", "c")]
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("note", T.StringType())])
+    tables, report = files.load_all(spark, str(tmp_path), {"notes": schema}, ["notes"])
+    assert [tuple(r) for r in report.collect()] == [("notes", 2, "loaded")] and tables["notes"].count() == 2
+    (tmp_path / "notes.csv").write_text("id,note\n1,a\nxx,b\n")
+    with pytest.raises(Exception, match="MALFORMED|xx|FAILFAST|Malformed"):
+        files.load_all(spark, str(tmp_path), {"notes": schema}, ["notes"])
+
+
+def test_a_rebuild_replaces_the_old_layer_whole(spark, tmp_path):
+    target = f"{tmp_path}/layer"
+    base = {"n": spark.range(3)}
+    files.rebuild(spark, target, [("old", lambda t: t["n"])], base)
+    files.rebuild(spark, target, [("new", lambda t: t["n"].filter("id > 0"))], base)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["layer"]
+    assert [p.name for p in (tmp_path / "layer").iterdir() if p.is_dir()] == ["new"]
+    with pytest.raises(ValueError):
+        files.rebuild(spark, target, [("bad", lambda t: (_ for _ in ()).throw(ValueError("no")))], base)
+    assert spark.read.parquet(f"{target}/new").count() == 2
+
+
+def test_catalog_listings(spark):
+    spark.range(2).createOrReplaceTempView("listed_orders")
+    assert ("listed_orders", "TEMPORARY") in [tuple(r) for r in files.list_tables(spark).collect()]
+    got = D.expected_tables(spark, ["orders", "customer"], ["customer", "refunds"])
+    assert sorted(map(tuple, got.collect())) == [("orders", "unexpected"), ("refunds", "missing")]
