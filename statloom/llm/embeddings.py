@@ -3,8 +3,8 @@
 Equal vectors count once. Every vector has a home, the cell of the nearest centroid, and visits
 the cells whose border with its home passes within ``margin`` of it. Two unit vectors with cosine
 0.95 are at most 0.3163 apart, so one of them lies within 0.1582 of the border between their
-homes: that margin loses no pair. Across a border the distance is spread over all dimensions, so
-the default, which visits far fewer cells, is already four standard deviations of it in 64.
+homes: that margin loses no pair, whatever the vectors' true dimension, and ``margin_of`` derives
+it from the threshold.
 
 Within a cell, blocks of bounded size are multiplied pairwise; a task hands on one row per linked
 vector - how many it links to, and the smallest vector it hangs together with there - and no pairs.
@@ -23,13 +23,17 @@ from statloom.llm.components import components
 from statloom.operators.stage import Stage
 
 THRESHOLD = 0.95
-MARGIN = 0.08
 #: Cells: the root of the number of distinct vectors, to this bound; fitted on so many vectors per
 #: cell, those with the smallest hashes. Larger cells are compared in more blocks.
 MAX_CELLS, FIT_PER_CELL, FIT_ROUNDS = 16_384, 16, 6
 BLOCK = 1024
 
 
+def margin_of(threshold: float) -> float:
+    """Half the greatest distance of two linked unit vectors, rounded up in the fourth place."""
+    return (math.floor(math.sqrt(max(1 - threshold, 0) / 2) * 1e4) + 1) / 1e4
+
+
 def usable(vector: Column) -> Column:
     """Not null, no null or non-finite component, not all zero."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -128,15 +132,18 @@ def _linked(threshold: float):
 
 
 def near_duplicates(
-    df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, margin: float = MARGIN
+    df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
+    margin: float | None = None,
 ) -> DataFrame:
     """A row per vector: ``key``, ``n_links``, ``component_id``, ``kept``.
 
     ``n_links`` counts the other rows at a cosine of ``threshold`` or more, ``component_id`` is the
     smallest key reachable by links, and ``kept`` marks its own row. Vectors that are null, zero
     or hold null or non-finite components link with nothing, nor do rows without a key; vectors
-    of different lengths are not compared. Rows of one key belong to one component.
+    of different lengths are not compared. Rows of one key belong to one component. ``margin`` is
+    ``margin_of(threshold)`` unless given; a smaller one loses links.
     """
+    margin = margin_of(threshold) if margin is None else margin
     spark = df.sparkSession
     stage = Stage(spark, "embeddings")
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
@@ -157,13 +164,17 @@ def near_duplicates(
     fields = "d1 long, d2 long, id long, k long, vector array<double>, dim int, home int, visits array<int>"
     dealt = stage.put(one.mapInArrow(_assign(centre, margin), fields), "dealt")
     members = dealt.select("id", "k", "vector", "dim", "home", "visits", F.explode(F.concat(F.array("home"), F.col("visits"))).alias("cell"))
-    # The number of blocks of each cell; a row per cell and length, bounded by the number of cells.
-    blocks = members.groupBy("cell", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # The numbers of blocks of each cell, of those at home and of its visitors; a row per cell and
+    # length, bounded by the number of cells. Two visitors are compared elsewhere, if at all.
+    at_home = F.col("cell") == F.col("home")
+    sizes = {"own": F.count_if(at_home), "guests": F.count_if(~at_home)}
+    blocks = members.groupBy("cell", "dim").agg(*[F.ceil(n / BLOCK).cast("int").alias(c) for c, n in sizes.items()]).filter("own > 0")
     members = members.join(F.broadcast(blocks) if cells <= MAX_CELLS else blocks, ["cell", "dim"])
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    members = members.withColumn("block", F.when(at_home, deal(F.col("own"))).otherwise(F.col("own") + deal(F.greatest("guests", F.lit(1)))))
+    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("own") - 1 + F.when(at_home, F.col("guests")).otherwise(0))))
     members = members.withColumns({"b1": F.least("block", "with"), "b2": F.greatest("block", "with")})
-    found = members.drop("with", "blocks").groupBy("cell", "dim", "b1", "b2").applyInArrow(_linked(threshold), "id long, links long, root long")
+    found = members.drop("with", "own", "guests").groupBy("cell", "dim", "b1", "b2").applyInArrow(_linked(threshold), "id long, links long, root long")
     found = stage.put(found, "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     member = good.join(one.select("d1", "d2", F.col("id").alias("rep"), "k"), ["d1", "d2"]).select("id", "rep", "k")

@@ -170,6 +170,26 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rank", [3, 8, 64])
+def test_embeddings_default_margin_loses_nothing(spark, rank):
+    rng = np.random.default_rng(rank)
+    base = rng.normal(size=(64, rank))
+    x = rng.normal(size=(1500, rank))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.normal(size=x.shape)
+    other -= (other * x).sum(1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.97, size=(1500, 1))
+    x = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * other]) @ np.linalg.qr(base)[0].T
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    want = groups([(int(a), int(b)) for a, b in zip(*np.nonzero(link))], range(len(x)))
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (link[i].sum(), want[i]) for i in range(len(x))}
+
+
 def test_imatch(spark, docs, odd):
     for df in (docs, odd.filter("doc_id is not null").dropDuplicates(["doc_id"]), odd.limit(0)):
         rows = sorted(texts_of(df).items(), reverse=True)
