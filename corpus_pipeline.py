@@ -53,10 +53,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, their number, and whether decoding and encoding again gives them back."""
+    """Ids of every document, their number, their text, and whether encoding that gives them back."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode(docs, path)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    stage = Stage(spark, "tokenized")
+    coded = bpe.decode(bpe.encode(docs, path).select("doc_id", "lang", "source", "ids"), path)
+    again = bpe.encode(stage.put(coded, "decoded"), path, text="decoded", ids="again")
+    return again.select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded",
+        (F.col("ids") == F.col("again")).alias("round_trip"),
+    )
 
 
 STAGES = [

@@ -322,3 +322,19 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in final.collect()}
     assert ids and ids <= {r.doc_id for r in kept.collect()}
     assert math.isclose(final.count(), len(ids))
+
+
+def check_tokens(coded):
+    library = Tokenizer.from_file(WORD)
+    for r in coded.collect():
+        assert (r.n_tokens, r.decoded) == (len(r.ids), library.decode(list(r.ids), skip_special_tokens=False))
+        assert r.round_trip == (library.encode(r.decoded, add_special_tokens=False).ids == list(r.ids))
+
+
+def test_pipeline_tokens(spark, odd):
+    import corpus_pipeline
+
+    coded = corpus_pipeline.tokenized(spark, odd, SF)
+    assert coded.count() == odd.count()
+    assert {r.round_trip for r in coded.collect()} >= {True}
+    check_tokens(coded)
