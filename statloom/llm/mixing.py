@@ -47,14 +47,18 @@ def words_of(text: Column) -> Column:
 def _shares(cells: DataFrame, margin: str, target: float | Mapping[str, float]) -> DataFrame:
     """``cells`` with the target share of each one's value of ``margin``."""
     held = F.sum("tokens").over(Window.partitionBy(margin)).cast("double")
+    listed = F.col(margin).isin(list(target)) if isinstance(target, Mapping) else F.lit(True)
     if isinstance(target, Mapping):
         given = F.coalesce(*[F.when(F.col(margin) == v, F.lit(float(s))) for v, s in target.items()], F.lit(0.0))
     else:
         given = F.pow(held, F.lit(float(target)))
     # Each value counts once: its cells' parts of it sum to 1.
     cells = cells.withColumn("_given", given).withColumn("_once", F.col("_given") * F.col("tokens") / held)
-    total = cells.agg(F.sum("_once").alias("t")).first().t
-    return cells.withColumn(f"share_{margin}", F.col("_given") / F.lit(total or 1.0)).drop("_given", "_once")
+    total, inside, whole = cells.agg(F.sum("_once"), F.sum(F.when(listed, F.col("tokens"))), F.sum("tokens")).first()
+    # Values left out keep their share of the corpus; those listed divide what is left.
+    rest = (inside or 0) / whole if whole else 1.0
+    share = F.when(listed, F.col("_given") / F.lit(total or 1.0) * F.lit(rest)).otherwise(held / F.lit(float(whole or 1)))
+    return cells.withColumn(f"share_{margin}", share).drop("_given", "_once")
 
 
 def raked(cells: DataFrame, targets: Targets, fraction: float, stage: Stage, rounds: int = ROUNDS) -> DataFrame:
@@ -90,8 +94,9 @@ def with_probability(
 ) -> DataFrame:
     """All rows and columns with ``topic``, ``n_tokens``, ``probability`` and ``kept``.
 
-    ``targets`` gives each margin either shares by value (values left out get none) or an
-    exponent: the shares of the corpus to that power. ``fraction`` is the part of all tokens to
+    ``targets`` gives each margin either shares by value or an exponent: the shares of the corpus
+    to that power. Values left out, null included, keep their corpus share, and the given shares
+    divide the rest; a value is excluded by a share of 0. ``fraction`` is the part of all tokens to
     keep. A margin is a column of the table or one of ``columns`` (default: ``topic`` from the
     text). Null margins are a value of their own, the empty one; null texts have no tokens and
     are kept with the cell's probability (``fraction`` in a cell without any). Rows of one key

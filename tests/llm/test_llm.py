@@ -220,6 +220,19 @@ def test_mixing(spark, docs, odd):
     assert mixing.with_probability(odd.limit(0), {"source": 0.5}, 0.5).count() == 0
 
 
+def test_mixing_keeps_values_left_out(spark):
+    from statloom.llm.queries import MIX_FRACTION, MIX_TARGETS
+
+    langs = ["en"] * 40 + ["de"] * 20 + ["fr", "es"] * 10 + ["it"] * 12 + [None] * 8
+    rows = [(i, lang, "web", "some words of prose here") for i, lang in enumerate(langs)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    got = {r.lang: r.probability for r in mixing.with_probability(df, MIX_TARGETS, MIX_FRACTION).collect()}
+    assert abs(got["it"] - 0.5) < 0.01 and abs(got[None] - 0.5) < 0.01
+    assert all(p > 0 for p in got.values())
+    none = mixing.with_probability(df, {"lang": {"en": 1.0, "it": 0.0}}, 0.5).filter("lang = 'it'").agg(F.max("probability")).first()
+    assert none[0] == 0
+
+
 def test_quality(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
