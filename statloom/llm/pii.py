@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates, in DataFrame expressions alone.
 
 Entities are found by one pattern: mail and network addresses, phone, card and identity numbers,
-keys, passwords, and names after a form of address. Each is replaced by a surrogate of its kind,
+keys, passwords, and names after a form of address, with every other mention of their parts in the
+same document. Each is replaced by a surrogate of its kind,
 drawn from a keyed hash of its normal form, so an entity has the same surrogate in every document
 and every spelling, and nobody without the key can tell which. The surrogate keeps the format:
 letters stay letters, digits digits, separators and case stay, card numbers pass their check, and
@@ -27,7 +28,9 @@ _SYLLABLES = {
 _ENDINGS = {("latin", "given_m"): "n", ("latin", "given_f"): "na", ("latin", "surname"): "ker", ("cyrillic", "given_m"): "н", ("cyrillic", "given_f"): "на", ("cyrillic", "surname"): "ко"}
 
 _ADDRESS = "|".join(_MEN + _WOMEN)
-_NAME = r"\p{Lu}\p{Ll}+"
+_NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:[-'’]?\p{Lu}\p{Ll}+)*"
+#: A word that may be a later mention of a found name.
+_MENTION = rf"(?<!\p{{L}}){_NAME}(?!\p{{L}})"
 #: What each kind looks like; the first that fits a find names its kind.
 KINDS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
@@ -43,6 +46,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 _DIGITS = ("phone", "ssn", "card")
+_NAMES = ("given_f", "given_m", "surname")
 #: Without one of these, no kind can be in a text; cheaper to look for than the pattern.
 _HINT = rf"[0-9@=]|(?:{_ADDRESS})\.? \p{{Lu}}"
 
@@ -184,10 +188,26 @@ def surrogates(entities: DataFrame, key: str, stage: Stage) -> DataFrame:
         turn += 1
 
 
+def _mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``(key, gaps, more)``: what lies between the finds of a text, untitled names replaced.
+
+    ``names`` gives the ``new`` form of each ``word`` that is part of a name found in the text.
+    """
+    gaps = texts.select("key", F.posexplode(F.split("text", PATTERN, -1)).alias("pos", "gap"))
+    words = gaps.select("key", "pos", F.posexplode(F.regexp_extract_all("gap", F.lit(_MENTION), 0)).alias("i", "word"))
+    words = words.join(names, ["key", "word"], "left").withColumn("made", F.coalesce("new", "word"))
+    filled = words.groupBy("key", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "made"))), lambda x: x["made"]).alias("made"), F.count("new").alias("more"))
+    between = F.split("gap", _MENTION, -1)
+    joined = F.array_join(F.transform(between, lambda g, i: F.concat(g, F.coalesce(F.get("made", i), F.lit("")))), "")
+    gaps = gaps.join(filled, ["key", "pos"], "left").select("key", "pos", joined.alias("gap"), F.coalesce("more", F.lit(0)).alias("more"))
+    return gaps.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gap"))), lambda x: x["gap"]).alias("gaps"), F.sum("more").alias("more"))
+
+
 def replace_entities(df: DataFrame, key: str, text: str = "text", count: str = "n_entities") -> DataFrame:
     """All rows and columns, entities in ``text`` replaced, with their number in ``count``.
 
-    Texts without an entity stay as they are, null stays null (with 0 entities). ``key`` is the
+    Words of a text that equal a given name or surname found in it are replaced alike; one that is
+    both counts as a given name. Texts without an entity stay as they are, null stays null (with 0 entities). ``key`` is the
     secret behind the surrogates. Equal texts get equal results; repeated rows stay; a column
     named like ``count`` is replaced; an empty table stays empty.
     """
@@ -205,9 +225,15 @@ def replace_entities(df: DataFrame, key: str, text: str = "text", count: str = "
     # What one text holds, in order; as long as the text at most.
     whole = made.groupBy("key", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "new"))), lambda x: x["new"]), "").alias("new"), F.max((F.col("kind") != "literal").cast("long")).alias("n"))
     whole = whole.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("news"), F.sum("n").alias("n"))
-    gaps = F.split("text", PATTERN, -1)
+    gaps, more = F.split("text", PATTERN, -1), F.lit(0)
+    named = made.filter(F.col("kind").isin(*_NAMES))
+    if not parts.filter(F.col("kind").isin(*_NAMES)).isEmpty():
+        names = stage.put(named.groupBy("key", F.col("raw").alias("word")).agg(F.min(F.struct("kind", "new"))["new"].alias("new")), "names")
+        texts = hits.join(names.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+        whole = whole.join(_mentions(texts, names), "key", "left")
+        gaps, more = F.coalesce("gaps", gaps), F.coalesce("more", F.lit(0))
     joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("news", i), F.lit("")))), "")
-    changed = hits.join(whole, "key").select("row", joined.alias("text"), "n")
+    changed = hits.join(whole, "key").select("row", joined.alias("text"), (F.col("n") + more).alias("n"))
     same = rows.filter(~has).select("row", "text", F.lit(0).cast("long").alias("n"))
     # Columns keep their places: the text is replaced, the count comes last.
     out = changed.unionByName(same)

@@ -269,6 +269,25 @@ def test_pii(spark):
     assert pii.replace_entities(df.limit(0), "secret").count() == 0
 
 
+def test_pii_replaces_untitled_mentions(spark):
+    text = "Smith? Mrs. Anna Smith came. Anna Smith said, card 4111 1111 1111 1112, that Smith's left; Smithson, Annas. Mr. Jean-Luc O'Brien-McCoy met Jean-Luc and O'Brien-McCoy"
+    rows = [(1, text), (2, text), (3, "Anna Smith, call (555) 123-4567"), (4, "Mr Jones and Jones"), (5, "Anna Smith")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_entities(df, "secret").collect()}
+    given, last = got[1].text.split("Mrs. ")[1].split(" came")[0].split()
+    man, name = got[1].text.split("Mr. ")[1].split(" met")[0].split()
+    assert not {given, last, man, name} & {"Anna", "Smith", "Jean-Luc", "O'Brien-McCoy"}
+    assert got[1].text == (
+        f"{last}? Mrs. {given} {last} came. {given} {last} said, card 4111 1111 1111 1112, that {last}'s left; Smithson, Annas. "
+        f"Mr. {man} {name} met {man} and {name}"
+    )
+    assert got[2].text == got[1].text
+    assert got[3].text.startswith("Anna Smith, call (") and "123-4567" not in got[3].text  # not found in that document
+    jones = got[4].text.split()
+    assert jones[1] == jones[3] != "Jones" and got[4].n_entities == 2
+    assert (got[5].text, got[5].n_entities) == ("Anna Smith", 0)
+
+
 def test_pii_surrogates_stay_distinct(spark):
     from statloom.operators.stage import Stage
 
