@@ -89,7 +89,8 @@ URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "b
 def op9_url_filter(spark, sf):
     """A verdict for every page's URL."""
     pages = table(spark, sf, "pages").select("page_id", "url")
-    return url_lm.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    # Its SQL counterpart models host and path alone.
+    return url_lm.judge(pages, URL_RULES, whole=False).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op10_token_counts")

@@ -312,6 +312,16 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_lm.judge(df, {}).collect()} == {"allow"}
 
 
+def test_url_filter_reads_the_whole_url(spark):
+    urls = [f"http://a.org/p?sort=good{i}" for i in range(40)] + [f"http://b.net/p?sort=xxxx{i}" for i in range(40)]
+    odd = ["http://c.io/p?sort=good7", "http://c.io/p?sort=xxxx7", "sort=good3", "sort=xxxx3", "http://c.io/p#good5", "http://c.io/p#xxxx5", None]
+    df = spark.createDataFrame(list(enumerate(odd + urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_lm.judge(df, {"org/": "allow", "net/": "block"}).collect()}
+    assert len(got) == len(odd + urls) and got[6].score is not None
+    for good, bad in ((0, 1), (2, 3), (4, 5)):
+        assert got[good].score > got[bad].score and got[good].host == got[bad].host
+
+
 def test_warc(spark):
     h = lambda **kw: {k.replace("_", "-"): v for k, v in kw.items()}
     rows = [
