@@ -15,6 +15,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: ASCII characters that are neither letters nor digits: what lies between terms.
+NO_TERM = np.ones(256, bool)
+NO_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,9 +46,10 @@ class Words(NamedTuple):
 
 
 class WordHasher:
-    """Words between ASCII white space; the tables of powers grow with the longest batch."""
+    """Words between bytes that are ``outside``; the tables of powers grow with the longest batch."""
 
-    def __init__(self):
+    def __init__(self, outside: np.ndarray = _SPACE):
+        self.outside = outside
         self.power = self.inverse = np.ones(0, np.uint64)
 
     def __call__(self, texts: pa.Array) -> Words:
@@ -56,7 +60,7 @@ class WordHasher:
         first = ends - ends[0] if len(texts) else np.zeros(1, np.int64)
         if size + 1 > len(self.power):
             self.power, self.inverse = _powers(_BASE, size + 1), _powers(_INVERSE, size + 1)
-        inside = ~_SPACE[raw]
+        inside = ~self.outside[raw]
         edge = np.zeros(size + 1, bool)  # a text starts here or the last one ends
         edge[first] = True
         before = np.concatenate([[False], inside[:-1]]) if size else inside

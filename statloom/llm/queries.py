@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query, table
-from statloom.llm import bpe, embeddings, imatch, mixing, ngram_join, pii, quality, token_counts, url_lm, warc
+from statloom.llm import bpe, embeddings, imatch, licenses, mixing, negatives, ngram_join, pii, quality, search, token_counts, url_lm, warc
 
 
 @query("op1_embedding_dedup")
@@ -99,3 +99,23 @@ def op10_token_counts(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.count_tokens(docs, path).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op11_ranked_search", search.search_sql())
+def op11_ranked_search(spark, sf):
+    """The ten best documents of every benchmark item."""
+    return search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_hard_negatives", negatives.mine_sql())
+def op12_hard_negatives(spark, sf):
+    """The hard negatives of every fiftieth vector, one label in seven moved."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_license_scan")
+def op13_license_scan(spark, sf):
+    """The licences that every document names."""
+    found = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
