@@ -87,31 +87,26 @@ def model(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
 def judge(
     df: DataFrame, rules: Mapping[str, str], url: str = "url", order: int = ORDER, folds: int = FOLDS,
-    whole: bool = True,
 ) -> DataFrame:
     """All rows and columns with ``host``, ``path``, ``rule``, ``score`` and ``verdict``.
 
-    ``rules`` maps ``host/path`` to ``allow`` or ``block``; the models read the whole URL, or with
-    ``whole=False``, as ``judge_sql`` does, its host and path alone. A null URL or one without ``://`` has
-    an empty host and path, fits no rule and is judged by the models like any other. Equal URLs
+    ``rules`` maps ``host/path`` to ``allow`` or ``block``; the models read the whole URL, scheme,
+    query and fragment included (null as empty). A null URL or one without ``://`` has an empty host and path, fits no rule and is judged by the models like any other. Equal URLs
     are counted once and judged alike; repeated rows stay. If the rules accept or reject nothing
     there is nothing to compare: the score is null and the verdict ``allow``. Columns of the
     result's names are replaced; an empty table stays empty.
     """
     stage = Stage(df.sparkSession, "url-lm")
-    rows = packed(df, host=host_of(F.col(url)), path=path_of(F.col(url)), url=F.coalesce(F.col(url), F.lit("")))
-    rows = rows.withColumn("text", F.col("url") if whole else F.concat("host", "path")).drop("url")
-    unit = ["text"] if whole else ["host", "path"]
+    rows = packed(df, host=host_of(F.col(url)), path=path_of(F.col(url)), text=F.coalesce(F.col(url), F.lit("")))
     urls = rows.select("host", "path", "text").distinct().withColumn("rule", rule_of("host", "path", rules))
     allowed = [r for r, v in rules.items() if v == "allow"]
-    # Of host and path, one text may come from two pairs of host and path only without a slash between; the pair is the key.
     urls = urls.select(
-        "host", "path", "text", F.col("rule").isin(allowed).alias("yes"),
+        "text", F.col("rule").isin(allowed).alias("yes"),
         (F.conv(F.substring(F.md5("text"), 1, 4), 16, 10).cast("long") % folds == 0).alias("kept_back"),
     )
     urls = stage.put(urls, "urls")
     told = F.col("yes").isNotNull() & ~F.col("kept_back")
-    spread = urls.select(*unit, F.explode(_grams(F.col("text"), order)).alias("gram"), (told & F.col("yes")).alias("yes"), (told & ~F.col("yes")).alias("no"))
+    spread = urls.select("text", F.explode(_grams(F.col("text"), order)).alias("gram"), (told & F.col("yes")).alias("yes"), (told & ~F.col("yes")).alias("no"))
     counts = [F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in ("yes", "no")]
     grams = stage.put(spread.groupBy("gram").agg(*counts), "grams")
     size, n_yes, n_no = grams.agg(F.count(F.lit(1)), *counts).first()
@@ -123,11 +118,11 @@ def judge(
     ratios = stage.put(model(grams, order), "ratios")
     if size * GRAM_BYTES <= BROADCAST_BYTES:
         ratios = F.broadcast(ratios)
-    scores = spread.select(*unit, "gram").join(ratios, "gram").groupBy(*unit)
+    scores = spread.select("text", "gram").join(ratios, "gram").groupBy("text")
     scores = stage.put(scores.agg(F.round(F.avg("ratio"), 9).alias("score")), "scores")
-    middle = calibrated(scores.join(urls.filter("kept_back and yes is not null"), unit))
+    middle = calibrated(scores.join(urls.filter("kept_back and yes is not null"), "text"))
     verdict = F.coalesce(by_rule, F.when(F.col("score") >= middle, "allow").otherwise("block"))
-    rows = rows.join(scores, unit)
+    rows = rows.join(scores, "text")
     return unpacked(rows, df, **result, score=F.col("score"), verdict=verdict)
 
 
@@ -158,17 +153,17 @@ def judge_sql(rules: Mapping[str, str], order: int = ORDER, folds: int = FOLDS)
         value = lambda c: f"CASE WHEN n_{c} > 0 THEN (s.{c} + t_{c} * {low(c)})::DOUBLE / (n_{c} + t_{c}) ELSE {low(c)} END AS p_{c}"  # noqa: E731, B023
         join = f" JOIN level{k - 1} b ON b.g = substr(s.g, 2, {k})" if k else ""
         levels.append(f"level{k} AS (SELECT s.g, {value('yes')}, {value('no')} FROM seen{k} s JOIN total{k} t ON t.context = substr(s.g, 1, {k}){join})")
-    return f"""WITH parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '{_PARTS}', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+    return f"""WITH parts AS (SELECT page_id, coalesce(url, '') AS text, coalesce(translate(regexp_extract(url, '{_PARTS}', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
   coalesce(regexp_extract(url, '{_PARTS}', 2), '') AS path FROM pages),
 ruled AS (SELECT *, {rule} AS rule FROM parts),
-urls AS (SELECT DISTINCT host, path, host || path AS text, CASE WHEN rule IS NOT NULL THEN rule IN ({allowed}) END AS yes,
-  ('0x' || substr(md5(host || path), 1, 4))::BIGINT % {folds} = 0 AS kept_back FROM ruled),
+urls AS (SELECT DISTINCT text, CASE WHEN rule IS NOT NULL THEN rule IN ({allowed}) END AS yes,
+  ('0x' || substr(md5(text), 1, 4))::BIGINT % {folds} = 0 AS kept_back FROM ruled),
 places AS (SELECT *, unnest(range(1, length(text) + 2)) AS place FROM urls),
-spread AS (SELECT host, path, yes, kept_back, substr({pad} || text || chr(3), place, {order + 1}) AS gram FROM places),
+spread AS (SELECT text, yes, kept_back, substr({pad} || text || chr(3), place, {order + 1}) AS gram FROM places),
 grams AS (SELECT gram, sum((yes IS NOT NULL AND yes AND NOT kept_back)::INT) AS yes, sum((yes IS NOT NULL AND NOT yes AND NOT kept_back)::INT) AS no FROM spread GROUP BY 1),
 {", ".join(levels)},
-scores AS (SELECT host, path, round(avg(ln(p_yes) - ln(p_no)), 9) AS score FROM spread JOIN level{order} ON g = gram GROUP BY 1, 2),
+scores AS (SELECT text, round(avg(ln(p_yes) - ln(p_no)), 9) AS score FROM spread JOIN level{order} ON g = gram GROUP BY 1),
 middle AS (SELECT round((avg(score) FILTER (WHERE yes) + avg(score) FILTER (WHERE NOT yes)) / 2, 6) AS m
-  FROM scores JOIN urls USING (host, path) WHERE kept_back AND yes IS NOT NULL)
+  FROM scores JOIN urls USING (text) WHERE kept_back AND yes IS NOT NULL)
 SELECT page_id, host, path, rule, coalesce(CASE rule {verdicts} END, CASE WHEN score >= coalesce(m, 0) THEN 'allow' ELSE 'block' END) AS verdict
-FROM ruled JOIN scores USING (host, path), middle"""
+FROM ruled JOIN scores USING (text), middle"""
