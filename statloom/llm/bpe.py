@@ -27,12 +27,13 @@ from statloom.llm.rows import packed, unpacked
 
 LEAF_CHARS = 32_768
 FIRST_WINDOW = 64
-#: Distinct words remembered in one task before the memory is emptied; it changes no result.
-REMEMBERED = 400_000
+#: Bytes of distinct words and their ids remembered in one task before the memory is emptied; it
+#: changes no result. Each word takes some bytes beside its characters.
+REMEMBERED, BESIDE = 48 << 20, 200
 #: Rows that are decoded at a time.
 ROWS_AT_ONCE = 500
 ENCODED_AT_ONCE = 4096
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: A space after a non-space, or a change between ASCII letters and digits.
 _EDGE = re.compile(r"(?<=\S)(?= )|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
@@ -54,6 +55,10 @@ class Encoder:
             set(" .,") & set(t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]
         )
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), ENCODED_AT_ONCE):
@@ -66,10 +71,12 @@ class Encoder:
             return list(self._ids(texts))
         words = [pieces(text, easy) for text, easy in zip(texts, plain(pa.array(texts, pa.string())).tolist())]
         distinct = set().union(*words)
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED:
+            self.forget()
         new = [x for x in distinct if x not in self.known]
-        self.known.update(zip(new, self._ids(new)))
+        for word, ids in zip(new, self._ids(new)):
+            self.known[word] = ids
+            self.held += len(word) + len(ids) + BESIDE
         return [b"".join(map(self.known.__getitem__, x)) for x in words]
 
     def joined(self, left: tuple[str, bytes], right: tuple[str, bytes]) -> tuple[str, bytes]:
@@ -109,6 +116,7 @@ def encoded(text: Column | str, path: str) -> Column:
         for array in arrays:
             out = [packed_lists(encoder.encode(run.to_pylist())) for run in runs(pc.fill_null(array, ""), BATCH_BYTES)]
             yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        encoder.forget()  # the worker may stay for other stages
 
     return F.arrow_udf(ids, "array<int>")(text)
 
@@ -124,6 +132,8 @@ def decoded(ids: Column | str, path: str, skip_special_tokens: bool = False) ->
         size, names = library.get_vocab_size(with_added_tokens=True), None
         if library.decoder is None and not skip_special_tokens:  # then the library joins the tokens by spaces
             names = pa.array([library.id_to_token(i) for i in range(size)], pa.string())
+            if not names.null_count:
+                library = None  # loaded again for ids that are not in it
         for array in arrays:
             out = []
             for i in range(0, len(array), ROWS_AT_ONCE):
@@ -131,6 +141,7 @@ def decoded(ids: Column | str, path: str, skip_special_tokens: bool = False) ->
                 known = pc.min_max(rows.flatten()).as_py()
                 if names is None or names.null_count or not 0 <= (known["min"] or 0) <= (known["max"] or 0) < size:
                     ids = [x or [] for x in rows.to_pylist()]
+                    library = library or Tokenizer.from_file(path)
                     out.append(pa.array(library.decode_batch(ids, skip_special_tokens=skip_special_tokens), pa.string()))
                     continue
                 ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(rows), 0).to_pylist()])

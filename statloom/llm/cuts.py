@@ -38,13 +38,16 @@ def plain(texts: pa.Array) -> np.ndarray:
 
 
 def pieces(text: str, plain: bool = False) -> list[str]:
-    """The text cut before every space that follows a non-space and every [.,] that follows a letter."""
+    """The text cut before every space that follows a non-space and every [.,] that follows a letter.
+
+    The letter must still end in one when it is lower-cased, as some tokenizers do first.
+    """
     if plain:
         return text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").split("\0")
     out = [""]
     for part in re.split(r"(?=[ .,])", text):
         last = out[-1][-1:]
-        if part[:1] == " " and last and not last.isspace() or part[:1] in (".", ",") and last.isalpha():
+        if part[:1] == " " and last and not last.isspace() or part[:1] in (".", ",") and last.lower()[-1:].isalpha():
             out.append(part)
         else:
             out[-1] += part

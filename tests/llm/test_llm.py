@@ -58,6 +58,25 @@ def test_bpe_round(spark, docs, odd):
             assert r.decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_words_are_cut_where_their_lower_case_still_ends_in_a_letter():
+    coder, library = bpe.Encoder(WORD), Tokenizer.from_file(WORD)
+    rng = random.Random(8)
+    texts = ["HABERLER GELDİ.", "İ.", "İ, İ .İ.", "ΑΣ. ΑΣ,Α", "Straße. ẞ, ŉ. ǰ,", "É. é, e\u0301. ﬁ."]
+    texts += ["".join(rng.choice("aİiI.,  éΣßŉA1'") for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    for text, got in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(got, np.int32).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_bpe_forgets_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 2000)
+    coder = bpe.Encoder(WORD)
+    for i in range(40):
+        coder.encode([f"word{i} other{i * 7}"])
+        assert coder.held <= 2000 + 2 * (20 + 40 + bpe.BESIDE)
+    coder.forget()
+    assert not coder.known and coder.held == 0
+
+
 def test_bpe_joins_anywhere():
     rng, coder = random.Random(5), bpe.Encoder(WORD)
     alphabet = list("abAB12 é́Σ's漢.!\n") + ["<|endoftext|>", "<|startoftext|>", "  "]
