@@ -53,7 +53,7 @@ def _shares(cells: DataFrame, margin: str, target: float | Mapping[str, float])
     else:
         given = F.pow(held, F.lit(float(target)))
     # Each value counts once: its cells' parts of it sum to 1.
-    cells = cells.withColumn("_given", given).withColumn("_once", F.col("_given") * F.col("tokens") / held)
+    cells = cells.withColumn("_given", given).withColumn("_once", F.when(held > 0, F.col("_given") * F.col("tokens") / held))
     total, inside, whole = cells.agg(F.sum("_once"), F.sum(F.when(listed, F.col("tokens"))), F.sum("tokens")).first()
     # Values left out keep their share of the corpus; those listed divide what is left.
     rest = (inside or 0) / whole if whole else 1.0
@@ -82,6 +82,12 @@ def raked(cells: DataFrame, targets: Targets, fraction: float, stage: Stage, rou
     return cells.select(*targets, F.round(share, 6).alias("probability"))
 
 
+def described(df: DataFrame, *columns: str, text: str = "text") -> DataFrame:
+    """``columns`` of a table with the ``topic`` and ``n_tokens`` of each text: what mixing needs of it."""
+    words = F.coalesce(words_of(F.col(text)), F.lit(0)).cast("long")
+    return df.select(*columns, topic_of(F.coalesce(F.col(text), F.lit(""))).alias("topic"), words.alias("n_tokens"))
+
+
 def draw(key: Column, seed: int = 0) -> Column:
     """A number from 0 to 1 that depends on the key and the seed alone."""
     text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")))
@@ -127,11 +133,13 @@ def mix_sql(targets: Targets, fraction: float, seed: int = 0, rounds: int = ROUN
     for m, target in targets.items():
         if isinstance(target, Mapping):
             given = "CASE " + " ".join(f"WHEN {m} = '{v}' THEN {float(s)!r}::DOUBLE" for v, s in target.items()) + " ELSE 0 END"
+            listed = f"{m} IN ({', '.join(repr(v) for v in target)})"
         else:
-            given = f"pow(held, {float(target)!r}::DOUBLE)"
+            given, listed = f"pow(held, {float(target)!r}::DOUBLE)", "true"
         steps += [f"held_{m} AS (SELECT *, (sum(tokens) OVER (PARTITION BY {m}))::DOUBLE AS held FROM {last})",
                   f"given_{m} AS (SELECT *, {given} AS given FROM held_{m})",
-                  f"share_{m} AS (SELECT * EXCLUDE (held, given), given / (SELECT sum(given * tokens / held) FROM given_{m}) AS share_{m} FROM given_{m})"]
+                  f"share_{m} AS (SELECT * EXCLUDE (held, given), CASE WHEN {listed} THEN given / (SELECT sum(given * tokens / held) FROM given_{m} WHERE held > 0) "
+                  f"* (SELECT coalesce(sum(tokens) FILTER (WHERE {listed}), 0)::DOUBLE / sum(tokens) FROM given_{m}) ELSE held / (SELECT sum(tokens) FROM given_{m}) END AS share_{m} FROM given_{m})"]
         last = f"share_{m}"
     steps.append(f"w0 AS (SELECT *, tokens * {fraction!r}::DOUBLE AS w FROM {last})")
     last, i = "w0", 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query, table
 from statloom.llm import bpe, embeddings, imatch, licenses, mixing, negatives, ngram_join, pii, quality, search, token_counts, url_lm, warc
+from statloom.operators.stage import Stage
 
 
 @query("op1_embedding_dedup")
@@ -50,8 +51,9 @@ MIX_FRACTION = 0.5
 @query("op5_mixing", mixing.mix_sql(MIX_TARGETS, MIX_FRACTION))
 def op5_mixing(spark, sf):
     """Every document's probability and whether the sample holds it."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    mixed = mixing.with_probability(docs, MIX_TARGETS, MIX_FRACTION)
+    # The texts are read once; what mixing needs of them is written.
+    docs = Stage(spark, "mixing-input").put(mixing.described(table(spark, sf, "documents"), "doc_id", "source", "lang"), "documents")
+    mixed = mixing.with_probability(docs, MIX_TARGETS, MIX_FRACTION, columns={"topic": F.col("topic")}, tokens=F.col("n_tokens"))
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
 
 

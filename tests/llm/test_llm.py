@@ -252,6 +252,50 @@ def test_mixing_keeps_values_left_out(spark):
     assert none[0] == 0
 
 
+def test_mixing_values_without_words(spark):
+    """A language without words, all texts empty, and no row at all: every row has a probability."""
+    rows = [(1, "en", "a", "some words"), (2, "it", "a", ""), (3, "it", "b", None), (4, "en", "b", "more words here")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    targets = {"source": 0.7, "lang": {"en": 0.6, "it": 0.4}, "topic": 0.9}
+    for some in (df, df.filter("lang = 'it'"), df.limit(0)):
+        got = mixing.with_probability(some, targets, 0.5).collect()
+        assert len(got) == some.count() and all(0 <= r.probability <= 1 for r in got)
+    assert {r.doc_id: r.probability for r in mixing.with_probability(df, targets, 0.5).collect()}[2] == 0.5
+
+
+def test_mixing_meets_the_margins(spark):
+    """Expected tokens meet every margin's targets when no cell is short, against raking in numpy."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "en" if a < 0.8 else "de", f"s{min(int(-np.log(b)), 3)}", "word " * int(n)) for i, (a, b, n) in enumerate(zip(rng.random(3000), rng.random(3000), rng.integers(1, 40, 3000)))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    out = mixing.with_probability(df, {"lang": {"en": 0.65, "de": 0.35}, "source": 0.8}, 0.3).collect()
+    total = sum(r.n_tokens for r in out)
+    held = collections.Counter()
+    for r in out:
+        held[r.source] += r.n_tokens
+    want = {("lang", "en"): 0.65, ("lang", "de"): 0.35} | {("source", s): n**0.8 / sum(m**0.8 for m in held.values()) for s, n in held.items()}
+    for (margin, value), share in want.items():
+        got = sum(r.n_tokens * r.probability for r in out if r[margin] == value) / (0.3 * total)
+        assert abs(got - share) < 1e-3, (margin, value, got, share)
+
+
+def test_mixing_sql_gives_values_left_out_their_share(spark, tmp_path):
+    import duckdb
+
+    langs = ["en"] * 40 + ["de"] * 20 + ["fr", "es"] * 10 + ["it"] * 12 + [None] * 8
+    df = spark.createDataFrame([(i, lang, "web", "some words of prose here") for i, lang in enumerate(langs)], "doc_id long, lang string, source string, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    from statloom.llm.queries import MIX_FRACTION, MIX_TARGETS
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.execute(mixing.mix_sql(MIX_TARGETS, MIX_FRACTION))
+    names = [d[0] for d in rel.description]
+    want = {r[names.index("doc_id")]: r[names.index("probability")] for r in rel.fetchall()}
+    got = {r.doc_id: r.probability for r in entry.queries()["op5_mixing"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in got)
+
+
 def test_quality(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
