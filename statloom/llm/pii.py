@@ -7,7 +7,10 @@ drawn from a keyed hash of its normal form, so an entity has the same surrogate
 and every spelling, and nobody without the key can tell which. The surrogate keeps the format:
 letters stay letters, digits digits, separators and case stay, card numbers pass their check, and
 names keep gender (from the form of address) and script. The table of distinct entities is checked:
-a surrogate that two entities share, or that is itself an entity of the corpus, is drawn again.
+a surrogate that two entities share, or that is itself an entity of the corpus, is drawn again,
+from a space that grows with the attempts where the format allows it. Numbers of fixed length have
+no such space: if nearly all of them are entities, a surrogate may after ``NOT_REAL`` attempts be
+another entity, and after ``SHARED`` one may serve two.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 _DIGITS = ("phone", "ssn", "card")
+#: Attempts from which a surrogate grows, may be another entity, and may be shared.
+GROWS, NOT_REAL, SHARED = 3, 16, 32
 _NAMES = ("given_f", "given_m", "surname")
 #: Without one of these, no kind can be in a text; cheaper to look for than the pattern.
 _HINT = rf"[0-9@=]|(?:{_ADDRESS})\.? \p{{Lu}}"
@@ -93,6 +98,14 @@ def _check_digit(digits: Column) -> Column:
     return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
+def _iban_digits(country: Column, account: Column) -> Column:
+    """The two digits that make an account number pass its check (remainder by 97)."""
+    chars = F.split(F.concat(account, country, F.lit("00")), "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(chars, F.lit(0), lambda r, c: F.pmod(r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97)))
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
 def _parts(found: Column) -> Column:
     """A find as parts with a kind each; only names have several, literal ones between.
 
@@ -131,7 +144,13 @@ def _drawn(kind: Column, normal: Column, key: str, attempt: Column) -> Column:
     user, domain = F.substring_index(normal, "@", 1), F.substring_index(normal, "@", -1)
     labels, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.substring_index(domain, ".", -1)
     domain_seed = F.concat_ws("|", F.lit(key), F.lit("domain"), domain)
-    email = F.concat(_alike(user, stream), F.lit("@"), _alike(labels, F.concat(F.sha2(domain_seed, 512), F.lit("0000"))), F.lit("."), top)
+    # Later attempts add letters; signs alone, as of a mask, give letters from the first on.
+    more = F.transform(F.sequence(F.lit(1), F.greatest(attempt - GROWS, F.lit(1))), lambda i: _pick("abcdefghijklmnopqrstuvwxyz", _number(stream, i + 40)))
+    more = F.when(attempt > GROWS, F.array_join(more, "")).otherwise("")
+    signs = F.array_join(F.transform(F.split(normal, ""), lambda c, i: _pick("abcdefghijklmnopqrstuvwxyz", _number(stream, i))), "")
+    free = F.concat(F.when(normal.rlike("[A-Za-z0-9]"), _alike(normal, stream)).otherwise(signs), more)
+    country, account = F.substring(normal, 1, 2), _alike(F.substring(normal, F.lit(5), F.length(normal)), stream)
+    email = F.concat(_alike(user, stream), more, F.lit("@"), _alike(labels, F.concat(F.sha2(domain_seed, 512), F.lit("0000"))), F.lit("."), top)
     cyrillic = normal.rlike(r"\p{IsCyrillic}")
 
     def name(script: str) -> Column:
@@ -144,9 +163,9 @@ def _drawn(kind: Column, normal: Column, key: str, attempt: Column) -> Column:
         F.when(kind == "card", F.concat(body, _check_digit(body))).when(kind == "phone", phone).when(kind == "ssn", digits)
         .when(kind == "ipv4", ip).when(kind == "email", email).when(kind == "hex_key", _alike(normal, stream, "abcdef"))
         .when(kind == "aws_key", F.concat(F.substring(normal, 1, 4), _alike(F.substring(normal, F.lit(5), F.lit(16)), stream)))
-        .when(kind == "iban", F.concat(F.substring(normal, 1, 2), _alike(F.substring(normal, F.lit(3), F.length(normal)), stream)))
+        .when(kind == "iban", F.concat(country, _iban_digits(country, account), account))
         .when(kind.isin("given_m", "given_f", "surname"), F.when(cyrillic, name("cyrillic")).otherwise(name("latin")))
-        .otherwise(_alike(normal, stream))
+        .otherwise(free)
     )
 
 
@@ -166,15 +185,22 @@ def _formatted(kind: Column, raw: Column, surrogate: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str, stage: Stage) -> DataFrame:
-    """``(kind, normal, surrogate)`` of distinct entities: one each, none shared, none itself an entity."""
+    """``(kind, normal, surrogate)`` of distinct entities: one each, none shared, none itself an entity.
+
+    Formats too narrow for that end as the module says. Drawing is spread over tasks by entity.
+    """
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entities = entities.select("kind", "normal").distinct().withColumn("attempt", F.lit(0))
+    entities = stage.put(entities.repartition(tasks, "kind", "normal"), "entities")
     real = entities.select("kind", F.col("normal").alias("surrogate"), F.lit(True).alias("real"))
-    table = entities.withColumn("surrogate", _drawn(F.col("kind"), F.col("normal"), key, F.col("attempt")))
+    # Few bytes but much work: rows must not be gathered by size, so they are dealt by number.
+    table = entities.repartition(tasks, "kind", "normal").withColumn("surrogate", _drawn(F.col("kind"), F.col("normal"), key, F.col("attempt")))
     turn = 0
     while True:
         table = stage.put(table, f"surrogates-{turn}")
         first = table.groupBy("kind", "surrogate").agg(F.min("normal").alias("owner"), F.count(F.lit(1)).alias("n"))
-        taken = first.join(real, ["kind", "surrogate"], "left").filter("n > 1 or real")
+        taken = first.join(real, ["kind", "surrogate"], "left").withColumn("real", F.col("real") & F.lit(turn < NOT_REAL))
+        taken = taken.filter(F.col("real") | ((F.col("n") > 1) & F.lit(turn < SHARED)))
         taken = stage.put(taken.select("kind", "surrogate", "owner", F.coalesce("real", F.lit(False)).alias("real")), f"taken-{turn}")
         if taken.isEmpty():
             return table.select("kind", "normal", "surrogate")
@@ -183,7 +209,7 @@ def surrogates(entities: DataFrame, key: str, stage: Stage) -> DataFrame:
         lost = F.col("owner").isNotNull() & (F.col("real") | (F.col("owner") != F.col("normal")))
         attempt = (F.col("attempt") + F.when(lost, 1).otherwise(0)).alias("attempt")
         drawn = F.when(F.col("lost"), _drawn(F.col("kind"), F.col("normal"), key, F.col("attempt"))).otherwise(F.col("surrogate"))
-        table = again.select("kind", "normal", attempt, "surrogate", F.coalesce(lost, F.lit(False)).alias("lost"))
+        table = again.select("kind", "normal", attempt, "surrogate", F.coalesce(lost, F.lit(False)).alias("lost")).repartition(tasks, "kind", "normal")
         table = table.select("kind", "normal", "attempt", drawn.alias("surrogate"))
         turn += 1
 

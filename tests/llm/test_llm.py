@@ -361,6 +361,41 @@ def test_pii_surrogates_stay_distinct(spark):
     assert not {r.surrogate for r in table} & {x for x, _ in ips}
 
 
+def test_pii_ends_where_the_surrogates_run_out(spark):
+    """Masks, and formats whose every value is an entity, end with distinct surrogates that are no entities."""
+    rows = [(1, "login password=**** ok"), (2, "password=!!!! and password=***"), (3, "password=****")]
+    rows += [(10 + i, f"password={i}---") for i in range(10)] + [(30 + i, f"mail {c}@x.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_entities(df, "secret").collect()}
+    assert got[1].startswith("login password=") and got[1].endswith(" ok") and "*" not in got[1] and "!" not in got[2]
+    assert got[1].split()[1] == got[3]  # one entity, one surrogate
+    for low, high, n in ((10, 20, 10), (30, 56, 26)):
+        new, old = {got[i] for i in range(low, high)}, {t for i, t in rows if low <= i < high}
+        assert len(new) == n and not new & old
+
+
+def test_pii_every_number_of_a_format_is_an_entity(spark, monkeypatch):
+    from statloom.operators.stage import Stage
+
+    monkeypatch.setattr(pii, "NOT_REAL", 2)
+    monkeypatch.setattr(pii, "SHARED", 5)
+    full = [("".join(map(str, (i, j))), "ssn") for i in range(10) for j in range(10)]
+    table = pii.surrogates(spark.createDataFrame(full, "normal string, kind string"), "k", Stage(spark, "test")).collect()
+    assert len(table) == 100 and {r.surrogate for r in table} <= {x for x, _ in full}
+
+
+def test_pii_account_numbers_pass_their_check(spark):
+    def rest(iban):
+        iban = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+    texts = ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.replace_entities(df, "secret").collect():
+        assert rest(texts[r.doc_id]) == 1 and rest(r.text) == 1
+        assert r.text[:2] == texts[r.doc_id][:2] and len(r.text) == len(texts[r.doc_id]) and r.text != texts[r.doc_id]
+
+
 def test_url_filter(spark):
     rules = {"org/": "allow", "a.org/x": "block", "net/": "block"}
     urls = ["http://A.org/xy?q", "http://b.a.org/y#f", "http://aorg/x", "no scheme", None, "https://good.net", "https://good.net/p", "ftp://x.org"]
