@@ -29,7 +29,7 @@ LEAF_CHARS = 32_768
 FIRST_WINDOW = 64
 #: Bytes of distinct words and their ids remembered in one task before the memory is emptied; it
 #: changes no result. Each word takes some bytes beside its characters.
-REMEMBERED, BESIDE = 48 << 20, 200
+REMEMBERED, BESIDE = 96 << 20, 200
 #: Rows that are decoded at a time.
 ROWS_AT_ONCE = 500
 ENCODED_AT_ONCE = 4096
@@ -122,31 +122,28 @@ def encoded(text: Column | str, path: str) -> Column:
 
 
 def decoded(ids: Column | str, path: str, skip_special_tokens: bool = False) -> Column:
-    """The text of an array of ids as the library decodes it; null is empty."""
+    """The text of an array of ids as the library decodes it; null is empty, unknown ids are left out."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    library = Tokenizer.from_file(path)
+    if library.decoder is None and not skip_special_tokens:
+        # The library then joins the tokens by spaces, which needs no more than their names.
+        names = json.dumps([library.id_to_token(i) for i in range(library.get_vocab_size(with_added_tokens=True))])
+        names = F.from_json(F.lit(names), "array<string>")
+        return F.coalesce(F.array_join(F.transform(ids, lambda i: F.when(i >= 0, F.get(names, i))), " "), F.lit(""))
 
     def texts(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        size, names = library.get_vocab_size(with_added_tokens=True), None
-        if library.decoder is None and not skip_special_tokens:  # then the library joins the tokens by spaces
-            names = pa.array([library.id_to_token(i) for i in range(size)], pa.string())
-            if not names.null_count:
-                library = None  # loaded again for ids that are not in it
         for array in arrays:
             out = []
             for i in range(0, len(array), ROWS_AT_ONCE):
-                rows = array.slice(i, ROWS_AT_ONCE)
-                known = pc.min_max(rows.flatten()).as_py()
-                if names is None or names.null_count or not 0 <= (known["min"] or 0) <= (known["max"] or 0) < size:
-                    ids = [x or [] for x in rows.to_pylist()]
-                    library = library or Tokenizer.from_file(path)
-                    out.append(pa.array(library.decode_batch(ids, skip_special_tokens=skip_special_tokens), pa.string()))
-                    continue
-                ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(rows), 0).to_pylist()])
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(rows.flatten()))
-                out.append(pc.binary_join(tokens, " "))
+                rows = [x or [] for x in array.slice(i, ROWS_AT_ONCE).to_pylist()]
+                out.append(pa.array(library.decode_batch(rows, skip_special_tokens=skip_special_tokens), pa.string()))
             yield pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return F.arrow_udf(texts, "string")(ids)
