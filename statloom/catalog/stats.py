@@ -19,6 +19,7 @@ from statloom.operators import normality as N
 from statloom.operators import ranks
 from statloom.operators import resample as B
 from statloom.operators import summary as S
+from statloom.operators.mergeable import share_above, skewness, variation
 
 
 def _lines(spark, sf):
@@ -245,6 +246,22 @@ def t18_std(spark, sf):
     return B.bootstrap_ci(table(spark, sf, "orders"), "o_totalprice", "o_orderstatus", "std", n_resamples=999, method="percentile")
 
 
+@query("t18_bootstrap_variation")
+def t18_variation(spark, sf):
+    return B.bootstrap_ci(_lines(spark, sf), "l_extendedprice", "l_returnflag", variation, n_resamples=999)
+
+
+@query(
+    "t18_mergeable_estimates",
+    """WITH m AS (SELECT l_returnflag AS "group", l_extendedprice AS v, avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS m FROM lineitem)
+    SELECT "group", count(*) AS n, round(avg((v - m) * (v - m) * (v - m)) / pow(avg((v - m) * (v - m)), 1.5), 6) AS estimate, round(avg((v > 50000)::INT), 6) AS share FROM m GROUP BY 1""",
+)
+def t18_estimates(spark, sf):
+    skew = B.bootstrap_ci(_lines(spark, sf), "l_extendedprice", "l_returnflag", skewness, n_resamples=99)
+    above = B.bootstrap_ci(_lines(spark, sf), "l_extendedprice", "l_returnflag", share_above(50_000), n_resamples=99)
+    return rounded(skew.select("group", "n", "estimate").join(above.select("group", F.col("estimate").alias("share")), "group"))
+
+
 _Z = 1.959963984540054
 _PROPORTION = "WITH g AS (SELECT l_suppkey AS k, count(*) FILTER (WHERE l_returnflag = 'R') AS s, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT *, s / n AS p FROM g) SELECT cast(k AS varchar) AS label, s AS successes, n, round(p, 6) AS proportion, {0} FROM p"
 _WALD = f"round(greatest(0, p - {_Z} * sqrt(p * (1 - p) / n)), 6) AS ci_low, round(least(1, p + {_Z} * sqrt(p * (1 - p) / n)), 6) AS ci_high"
@@ -495,6 +512,28 @@ def t33_fisher(spark, sf):
     return rounded(K.association_test(df, "long", "good").select("n", "odds_ratio"))
 
 
+@query(
+    "t33_many_levels",
+    """WITH o AS (SELECT l_partkey AS a, l_suppkey AS b, count(*) AS o FROM lineitem GROUP BY 1, 2), r AS (SELECT a, sum(o) AS r FROM o GROUP BY 1), c AS (SELECT b, sum(o) AS c FROM o GROUP BY 1),
+    t AS (SELECT sum(o)::double AS t FROM o), rn AS (SELECT r, count(*) AS m FROM r GROUP BY 1), cn AS (SELECT c, count(*) AS k FROM c GROUP BY 1),
+    s AS (SELECT (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM c) AS nc, (SELECT sum(m * k) FROM rn, cn, t WHERE r * c / t < 5) AS below, (SELECT t * (sum(o * o / (r::double * c)) - 1) FROM o JOIN r USING (a) JOIN c USING (b), t GROUP BY t) AS chi2)
+    SELECT t::bigint AS n, ((nr - 1) * (nc - 1))::bigint AS dof, round(chi2, 4) AS statistic, round((SELECT min(r) FROM r) * (SELECT min(c) FROM c) / t, 6) AS min_expected, round(100.0 * below / (nr * nc), 1)::double AS pct_cells_below_min,
+    round(sqrt(chi2 / t / (least(nr, nc) - 1)), 6) AS effect_size FROM s, t""",
+)
+def t33_many_levels(spark, sf):
+    out = K.association_test(_lines(spark, sf), "l_partkey", "l_suppkey", bias_correction=False)
+    return rounded(out.select("n", "dof", F.round("statistic", 4).alias("statistic"), "min_expected", "pct_cells_below_min", "effect_size"))
+
+
+@query(
+    "t34_residuals_observed_cells",
+    """WITH o AS (SELECT l_partkey AS row, l_suppkey AS col, count(*) AS observed FROM lineitem GROUP BY 1, 2)
+    SELECT row, col, observed, round(e, 6) AS expected, round((observed - e) / sqrt(e), 6) AS residual FROM (SELECT *, sum(observed) OVER (PARTITION BY row) * sum(observed) OVER (PARTITION BY col) / sum(observed) OVER ()::double AS e FROM o)""",
+)
+def t34_observed_cells(spark, sf):
+    return rounded(K.contingency_residuals(_lines(spark, sf), "l_partkey", "l_suppkey", "standardized", zeros=False).drop("kind"))
+
+
 def _residual_sql(expr: str, kind: str) -> str:
     return f"{_table_sql('documents', 'lang', 'source')} SELECT a AS row, b AS col, o::bigint AS observed, round(e, 6) AS expected, round({expr}, 6) AS residual, '{kind}' AS kind FROM g, x"
 
@@ -570,6 +609,22 @@ def t38_spearman(spark, sf):
     return rounded(R.partial_correlation(_lines(spark, sf), "l_quantity", "l_extendedprice", "l_discount", "spearman").select("n", "r_zero_order", "r"))
 
 
+@query(
+    "t38_partial_many_levels",
+    """WITH d AS (SELECT l_quantity - avg(l_quantity) OVER k AS x, l_extendedprice - avg(l_extendedprice) OVER k AS y FROM lineitem WINDOW k AS (PARTITION BY l_orderkey))
+    SELECT count(*) AS n, (SELECT count(DISTINCT l_orderkey) - 1 FROM lineitem)::int AS n_covar_terms, round(corr(x, y), 6) AS r, (SELECT round(corr(l_quantity, l_extendedprice), 6) FROM lineitem) AS r_zero_order FROM d""",
+)
+def t38_many_levels(spark, sf):
+    lines = _lines(spark, sf).withColumn("order", F.concat(F.lit("order "), "l_orderkey"))
+    return rounded(R.partial_correlation(lines, "l_quantity", "l_extendedprice", "order").select("n", "n_covar_terms", "r", "r_zero_order"))
+
+
+@query("t38_partial_two_factors")
+def t38_two_factors(spark, sf):
+    lines = _lines(spark, sf).select("l_quantity", "l_extendedprice", "l_discount", F.concat(F.lit("s"), "l_suppkey").alias("supplier"), "l_returnflag")
+    return R.partial_correlation(lines, "l_quantity", "l_extendedprice", ["l_discount", "supplier", "l_returnflag"])
+
+
 @query("t38_partial_categorical")
 def t38_categorical(spark, sf):
     return R.partial_correlation(_lines(spark, sf), "l_quantity", "l_extendedprice", ["l_discount", "l_returnflag"])

@@ -8,6 +8,7 @@ falls into the block), whatever the number of observations.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -21,35 +22,17 @@ from statloom.functions.labels import DEGENERATE_CI, check_confidence, join_flag
 from statloom.functions.numeric import finite
 from statloom.operators.ranks import bucket_count, cumulate, histogram, quantile_at, settle
 
-# Observations per block, and the most blocks one key is cut into.
+# Observations per leaf block, and the branches of the tree of blocks above them.
 BLOCK_ROWS = 20_000
 MAX_BLOCKS = 256
 # Cells of the in-block draw held in memory at a time.
 _CELLS = 2_000_000
-# Above this many observations the shuffle draw gives way to its normal limit, and says so.
-PERMUTATION_MAX = 100_000_000
 # A Python statistic needs its sample in one piece; beyond this it is refused, not cut.
 CALLABLE_MAX = 1_000_000
 
 STATISTICS = ("mean", "median", "std", "var", "min", "max", "sum")
 
 
-def _blocks(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """Number the blocks of each key and attach the sizes of all of them as an array.
-
-    For keys of at most PERMUTATION_MAX observations, so a block stays small.
-    """
-    parts = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_total") / BLOCK_ROWS)))
-    block = F.floor(F.col("n_below") * parts / F.col("n_total")).cast("int")
-    rows = ranked.withColumn("block", block)
-    sizes = rows.groupBy(*keys, "block").agg(F.sum("n").alias("m"))
-    sizes = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("sizes"))
-    rows = rows.join(sizes, keys) if keys else rows.withColumn("sizes", sizes.select("sizes").scalar())
-    # A fixed partition count: the blocks are heavy to draw from but small in bytes, and would
-    # otherwise be coalesced into one task.
-    return rows.repartition(bucket_count(rows), *keys, "block")
-
-
 def _seed(*parts) -> list[int]:
     return [abs(hash_text(str(p))) for p in parts]
 
@@ -88,17 +71,19 @@ def _order_indexes(statistic: str, n: int) -> list[int]:
     return sorted({(n - 1) // 2, n // 2})
 
 
-def _tree_blocks(ranked: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+def _tree_blocks(ranked: DataFrame, keys: list[str], whole: Column | None = None) -> tuple[DataFrame, int]:
     """Blocks of about BLOCK_ROWS observations as leaves of a tree with MAX_BLOCKS branches.
 
     Every row gets its leaf and, per level, the sizes of the branches it was chosen from:
-    enough to repeat the draws that lead to the leaf. Returns the rows and the depth.
+    enough to repeat the draws that lead to the leaf. Keys that are ``whole`` get one block.
+    Returns the rows and the depth.
     """
     largest = ranked.agg(F.max("n_total")).first()[0] or 1
     depth = 1
-    while MAX_BLOCKS**depth * BLOCK_ROWS < largest and depth < 4:
+    while MAX_BLOCKS**depth * BLOCK_ROWS < largest:
         depth += 1
-    parts = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS**depth), F.ceil(F.col("n_total") / BLOCK_ROWS)))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n_total") / BLOCK_ROWS))
+    parts = parts if whole is None else F.when(whole, 1).otherwise(parts)
     leaf = F.floor(F.col("n_below").cast("decimal(38,0)") * parts / F.col("n_total")).cast("long")
     rows = ranked.withColumn("block", leaf)
     sizes = rows.groupBy(*keys, "block").agg(F.sum("n").alias("m"))
@@ -114,19 +99,93 @@ def _tree_blocks(ranked: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     return rows.repartition(bucket_count(rows), *keys, "block"), depth
 
 
-def _leaf_counts(pdf: pd.DataFrame, depth: int, n_resamples: int, seed: int, label: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(draws that fall into this leaf, draws that fall before it) for every replicate."""
+def _with_replacement(rng: np.random.Generator, sizes: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    return rng.multinomial(draws, sizes / sizes.sum())
+
+
+def _without_replacement(rng: np.random.Generator, sizes: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Rows of how ``draws[r]`` observations taken without replacement fall on parts of these sizes."""
+    out, left, rest = np.empty((len(draws), len(sizes)), np.int64), draws.astype(np.int64), int(sizes.sum())
+    for j, size in enumerate(sizes.tolist()):
+        rest -= size
+        out[:, j] = left if not rest else hypergeometric(rng, size, rest, left)
+        left = left - out[:, j]
+    return out
+
+
+# The library's generator takes populations below this.
+_LIBRARY_POPULATION = 1_000_000_000
+_LOG_FACTORIALS = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 1024)))])
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: np.ndarray) -> np.ndarray:
+    """Good ones among ``draws[r]`` taken without replacement, for populations of any size."""
+    if good + bad < _LIBRARY_POPULATION:
+        return rng.hypergeometric(good, bad, draws)
+    few, total = min(good, bad), good + bad
+    # Taking the smaller side of the draw gives the same law from the other end.
+    side = np.minimum(draws, total - draws)
+    found = np.zeros(len(draws), np.int64)
+    for i in range(10):
+        found += (side < 10) & (side > i) & (rng.random(len(draws)) * (total - i) < few - found)
+    many = np.flatnonzero(side >= 10)
+    found[many] = _by_ratio(rng, few, total, side[many])
+    found = np.where(side == draws, found, few - found)
+    return found if few == good else draws - found
+
+
+def _by_ratio(rng: np.random.Generator, few: int, total: int, draws: np.ndarray) -> np.ndarray:
+    """Hypergeometric numbers by the ratio of uniforms, accepted by their exact log-probability."""
+    out, share = np.zeros(len(draws), np.int64), few / total
+    middle = draws * share + 0.5
+    spread = np.sqrt((total - draws) / (total - 1) * draws * share * (1 - share) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    mode = np.floor((draws + 1.0) * (few + 1.0) / (total + 2.0))
+    top = np.minimum(np.minimum(draws, few) + 1.0, np.floor(middle + 16 * spread))
+    open_ = np.arange(len(draws))
+    while len(open_):
+        u, v = 1 - rng.random(len(open_)), rng.random(len(open_))
+        at = middle[open_] + width[open_] * (v - 0.5) / u
+        inside = (at >= 0) & (at < top[open_])
+        z, m, k = np.floor(np.where(inside, at, mode[open_])), mode[open_], draws[open_].astype(float)
+        log_ratio = -(_log_rise(m, z) + _log_rise(few - m, few - z) + _log_rise(k - m, k - z) + _log_rise(total - few - k + m, total - few - k + z))
+        taken = inside & (2 * np.log(u) <= log_ratio)
+        out[open_[taken]] = z[taken].astype(np.int64)
+        open_ = open_[~taken]
+    return out
+
+
+def _log_rise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log(b! / a!), in one piece where both are large so that nothing cancels."""
+    def log_factorial(x):
+        large = np.maximum(x, 1023.0)
+        series = (large + 0.5) * np.log(large) - large + 0.5 * math.log(2 * math.pi) + 1 / (12 * large) - 1 / (360 * large**3)
+        return np.where(x < 1024, _LOG_FACTORIALS[np.minimum(x, 1023).astype(np.int64)], series)
+
+    x, y = np.maximum(a, 1.0), np.maximum(b, 1.0)
+    step = (y + 0.5) * np.log1p((y - x) / x) + (y - x) * (np.log(x) - 1) + (1 / y - 1 / x) / 12 - (1 / y**3 - 1 / x**3) / 360
+    return np.where((a >= 1024) & (b >= 1024), step, log_factorial(b) - log_factorial(a))
+
+
+def _leaf_counts(
+    pdf: pd.DataFrame, depth: int, n_resamples: int, seed: int, label: list[str], draws: int | None = None,
+    split: Callable = _with_replacement, name: str = "level",
+) -> tuple[np.ndarray, np.ndarray]:
+    """(draws that fall into this leaf, draws that fall before it) for every replicate.
+
+    ``draws`` observations are drawn per replicate, by default as many as there are.
+    """
     leaf = int(pdf["block"].iloc[0])
     mine = before = None
     for level in range(depth):
         sizes = [(s["branch"], s["m"]) for s in pdf[f"sizes{level}"].iloc[0]]
-        weights = np.array([m for _, m in sizes], dtype=float)
+        weights = np.array([m for _, m in sizes], np.int64)
         branch = leaf // MAX_BLOCKS ** (depth - 1 - level)
         me = [b for b, _ in sizes].index(branch)
         if level == 0:
-            mine, before = np.full(n_resamples, int(weights.sum())), np.zeros(n_resamples, dtype=np.int64)
-        rng = np.random.default_rng(_seed(seed, *label, "level", level, branch // MAX_BLOCKS if level else 0))
-        table = rng.multinomial(mine, weights / weights.sum())
+            mine, before = np.full(n_resamples, int(weights.sum()) if draws is None else draws), np.zeros(n_resamples, dtype=np.int64)
+        rng = np.random.default_rng(_seed(seed, *label, name, level, branch // MAX_BLOCKS if level else 0))
+        table = split(rng, weights, mine)
         before = before + table[:, :me].sum(axis=1)
         mine = table[:, me]
     return mine, before
@@ -387,19 +446,29 @@ def bootstrap_ci(
     min_group_n: int = 2,
     random_state: int = 0,
 ) -> DataFrame:
-    """Bootstrap interval of a named statistic or a Python callable, one row per group."""
+    """Bootstrap interval of a statistic, one row per group.
+
+    ``statistic`` is one of ``STATISTICS`` or a :class:`~statloom.operators.mergeable.Mergeable`,
+    both of which work on groups of any size, or a plain callable, which needs each group whole.
+    """
+    from statloom.operators.mergeable import Mergeable, estimates_and_replicates
+
     check_confidence(confidence)
     named = isinstance(statistic, str)
+    parts = isinstance(statistic, Mergeable)
     if named and statistic not in STATISTICS:
         raise ValueError(f"statistic must be a callable or one of {STATISTICS}, got '{statistic}'.")
     group = F.col(group_col).cast("string") if group_col else F.lit("all")
     rows = df.select(group.alias("group"), finite(value_col).alias("value"))
     rows = rows.filter(F.col("group").isNotNull() & F.col("value").isNotNull())
-    if named:
+    if named or parts:
         ranked = settle(cumulate(histogram(rows, "value", ["group"]), "value", by=["group"]))
         ranked = ranked.filter(F.col("n_total") >= (min_group_n if group_col else 1))
-        est = estimates_and_jackknife(ranked, statistic, ["group"])
-        reps = bootstrap_replicates(ranked, statistic, n_resamples, random_state, ["group"])
+        if parts:
+            est, reps = estimates_and_replicates(ranked, statistic, n_resamples, random_state, ["group"])
+        else:
+            est = estimates_and_jackknife(ranked, statistic, ["group"])
+            reps = bootstrap_replicates(ranked, statistic, n_resamples, random_state, ["group"])
         out = intervals(reps, est, method, confidence, ["group"])
     else:
         sizes = rows.groupBy("group").count().filter(F.col("count") >= min_group_n)
@@ -414,7 +483,7 @@ def bootstrap_ci(
     )
     return out.select(
         "group",
-        F.lit(statistic if named else getattr(statistic, "__name__", "custom")).alias("statistic"),
+        F.lit(statistic if named else statistic.name if parts else getattr(statistic, "__name__", "custom")).alias("statistic"),
         "n",
         F.col("theta_hat").alias("estimate"),
         F.when(ok, F.col("ci_low")).alias("ci_low"),
@@ -461,29 +530,27 @@ def difference_ci(
     )
 
 
-def _shuffle_block(n_resamples: int, seed: int, keys: list[str]) -> Callable:
+def _shuffle_block(n_resamples: int, seed: int, keys: list[str], depth: int) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
         values = pdf["value"].to_numpy(float)
         counts = pdf["n"].to_numpy(np.int64)
-        sizes = [(s["block"], s["m"]) for s in pdf["sizes"].iloc[0]]
-        numbers = [b for b, _ in sizes]
-        weights = np.array([m for _, m in sizes], dtype=np.int64)
-        me = numbers.index(int(pdf["block"].iloc[0]))
-        label = [str(pdf[k].iloc[0]) for k in keys]
-        shared = np.random.default_rng(_seed(seed, *label, "shuffle"))
-        table = shared.multivariate_hypergeometric(weights, int(pdf["n_draw"].iloc[0]), size=n_resamples, method="marginals")
-        own = np.random.default_rng(_seed(seed, *label, "shuffle", me))
-        total, sums = int(counts.sum()), np.empty(n_resamples)
-        # Few copies per value: picking observations is cheaper than one draw per value.
-        single = np.repeat(values, counts) if total <= 8 * len(counts) else None
-        for r in range(n_resamples):
-            take = int(table[r, me])
-            if single is not None:
-                sums[r] = single[own.choice(total, take, replace=False, shuffle=False)].sum()
+        n_draw, total = int(pdf["n_draw"].iloc[0]), int(counts.sum())
+        if pdf["ways"].iloc[0] <= n_resamples:
+            # Few enough relabellings to go through them all.
+            every = np.repeat(values, counts)
+            sums = np.array([every[list(c)].sum() for c in itertools.combinations(range(total), n_draw)])
+        else:
+            label = [str(pdf[k].iloc[0]) for k in keys]
+            mine, _ = _leaf_counts(pdf, depth, n_resamples, seed, label, n_draw, _without_replacement, "shuffle")
+            own = np.random.default_rng(_seed(seed, *label, "shuffle", "block", int(pdf["block"].iloc[0])))
+            if total <= 8 * len(counts):
+                # Few copies per value: picking observations is cheaper than one draw per value.
+                every = np.repeat(values, counts)
+                sums = np.array([every[own.choice(total, take, replace=False, shuffle=False)].sum() for take in mine.tolist()])
             else:
-                sums[r] = own.multivariate_hypergeometric(counts, take, method="marginals") @ values
-        res = pd.DataFrame({"rep": np.arange(n_resamples), "s": sums})
+                sums = np.concatenate([_without_replacement(own, counts, mine[lo:hi]) @ values for lo, hi in _chunks(n_resamples, len(counts))])
+        res = pd.DataFrame({"rep": np.arange(len(sums)), "s": sums})
         for k in reversed(keys):
             res.insert(0, k, pdf[k].iloc[0])
         return res
@@ -491,67 +558,82 @@ def _shuffle_block(n_resamples: int, seed: int, keys: list[str]) -> Callable:
     return run
 
 
+def _ways(n: Column, k: Column) -> Column:
+    """How many ways there are to take k of n; from 2^63 on it only says that there are many."""
+    few = F.least(k, n - k)
+    product = F.aggregate(F.sequence(F.lit(1), F.least(few, F.lit(64)).cast("int")), F.lit(1.0), lambda t, i: t * (n - few + i) / i)
+    return F.when(few == 0, 1.0).otherwise(product)
+
+
+def _tail_p(reps: DataFrame, alternative: str, keys: list[str]) -> DataFrame:
+    """(keys…, p_perm) from the sums ``s``, the observed one, and whether all ways were gone through."""
+    # Sums of the same numbers in another order may differ in the last digits.
+    eps = F.greatest(F.abs("obs") * 1e-12, F.lit(1e-12))
+    tails = reps.groupBy(*keys).agg(
+        F.count_if(F.col("s") >= F.col("obs") - eps).alias("up"),
+        F.count_if(F.col("s") <= F.col("obs") + eps).alias("down"),
+        F.count(F.lit(1)).alias("b"),
+        F.max((~F.col("exact")).cast("int")).alias("own"),
+    )
+    # Of drawn relabellings the observed one is counted as one more.
+    up, down = ((F.col(c) + F.col("own")) / (F.col("b") + F.col("own")) for c in ("up", "down"))
+    p = {"greater": up, "less": down}.get(alternative, F.least(F.lit(1.0), 2 * F.least(up, down)))
+    return tails.select(*keys, p.alias("p_perm"))
+
+
 def permutation_p(
     pooled: DataFrame, n_resamples: int, seed: int, alternative: str, keys: list[str]
 ) -> DataFrame:
-    """Permutation p-value of the difference in means per pair.
+    """Permutation p-value of the difference in means per pair, at every size.
 
-    ``pooled`` is the ranked histogram of both groups with n, n_a (first group's count).
+    ``pooled`` is the ranked histogram of both groups with n, n_a (first group's count). A
+    relabelling takes the first group's number of observations without replacement; how many come
+    from each block follows from splits down the tree of block sizes, so no block needs another.
+    If there are at most ``n_resamples`` relabellings, all are gone through and the p-value is exact.
     """
     keys = list(keys)
     shape = pooled.groupBy(*keys).agg(
         F.sum("n_a").alias("n_draw"), F.sum(F.col("n_a") * F.col("value")).alias("s_obs"),
         (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("c"), F.sum("n").alias("nn"),
     )
-    rows = pooled.join(shape, keys).filter(F.col("nn") <= PERMUTATION_MAX)
-    rows = _blocks(rows.withColumn("value", F.col("value") - F.col("c")), keys)
+    shape = shape.withColumn("ways", _ways(F.col("nn"), F.col("n_draw")))
+    rows = pooled.join(shape.select(*keys, "n_draw", "c", "ways"), keys)
+    exact = F.col("ways") <= n_resamples
+    rows, depth = _tree_blocks(rows.withColumn("value", F.col("value") - F.col("c")), keys, exact)
     types = {f.name: f.dataType.simpleString() for f in pooled.schema}
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["rep int, s double"])
-    parts = rows.groupBy(*keys, "block").applyInPandas(_shuffle_block(n_resamples, seed, keys), schema)
+    parts = rows.groupBy(*keys, "block").applyInPandas(_shuffle_block(n_resamples, seed, keys, depth), schema)
     reps = parts.groupBy(*keys, "rep").agg(F.sum("s").alias("s"))
-    reps = reps.join(shape.withColumn("obs", F.col("s_obs") - F.col("n_draw") * F.col("c")), keys)
-    # Sums of the same numbers in another order may differ in the last digits.
-    eps = F.greatest(F.abs("obs") * 1e-12, F.lit(1e-12))
-    tails = reps.groupBy(*keys).agg(
-        F.count_if(F.col("s") >= F.col("obs") - eps).alias("up"),
-        F.count_if(F.col("s") <= F.col("obs") + eps).alias("down"),
-        F.count(F.lit(1)).alias("b"),
-    )
-    up, down = (F.col("up") + 1) / (F.col("b") + 1), (F.col("down") + 1) / (F.col("b") + 1)
-    p = {"greater": up, "less": down}.get(alternative, F.least(F.lit(1.0), 2 * F.least(up, down)))
-    return tails.select(*keys, p.alias("p_perm"))
+    shape = shape.withColumns({"obs": F.col("s_obs") - F.col("n_draw") * F.col("c"), "exact": exact})
+    return _tail_p(reps.join(shape.select(*keys, "obs", "exact"), keys), alternative, keys)
 
 
 def sign_flip_p(hist: DataFrame, n_resamples: int, seed: int, alternative: str) -> DataFrame:
     """Permutation p-value of a mean difference of zero: random signs for every pair.
 
-    ``hist`` holds the absolute differences (dev) with their count n and signed sum.
+    ``hist`` holds the absolute differences (dev) with their count n and signed sum. Signs are
+    independent, so the leaves of the tree need nothing from above. If there are at most
+    ``n_resamples`` ways to set the signs, all are gone through and the p-value is exact.
     """
-    parts = F.pmod(F.xxhash64("dev"), F.lit(MAX_BLOCKS)).cast("int")
+    exact = F.pow(F.lit(2.0), F.col("n_total")) <= n_resamples
+    ranked = cumulate(hist.select("dev", "n"), "dev")
+    rows, _ = _tree_blocks(ranked, [], exact)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dev")
         dev, n = pdf["dev"].to_numpy(float), pdf["n"].to_numpy(np.int64)
-        rng = np.random.default_rng(_seed(seed, "signs", int(pdf["block"].iloc[0])))
-        out = []
-        for lo, hi in _chunks(n_resamples, len(dev)):
-            plus = rng.binomial(n, 0.5, size=(hi - lo, len(dev)))
-            out.append(pd.DataFrame({"rep": np.arange(lo, hi), "s": (2 * plus - n) @ dev}))
-        return pd.concat(out, ignore_index=True)
-
-    spread = hist.withColumn("block", parts).repartition(bucket_count(hist), "block")
-    reps = spread.groupBy("block").applyInPandas(run, "rep int, s double")
-    reps = reps.groupBy("rep").agg(F.sum("s").alias("s"))
-    reps = _attach_row(reps, hist.agg(F.sum("signed").alias("obs")))
-    eps = F.greatest(F.abs("obs") * 1e-12, F.lit(1e-12))
-    tails = reps.agg(
-        F.count_if(F.col("s") >= F.col("obs") - eps).alias("up"),
-        F.count_if(F.col("s") <= F.col("obs") + eps).alias("down"),
-        F.count(F.lit(1)).alias("b"),
-    )
-    up, down = (F.col("up") + 1) / (F.col("b") + 1), (F.col("down") + 1) / (F.col("b") + 1)
-    p = {"greater": up, "less": down}.get(alternative, F.least(F.lit(1.0), 2 * F.least(up, down)))
-    return tails.select(p.alias("p_perm"))
+        total = int(pdf["n_total"].iloc[0])
+        if total < 63 and 1 << total <= n_resamples:
+            signs = np.array(list(itertools.product((-1, 1), repeat=total)))
+            sums = signs @ np.repeat(dev, n)
+        else:
+            rng = np.random.default_rng(_seed(seed, "signs", int(pdf["block"].iloc[0])))
+            sums = np.concatenate([(2 * rng.binomial(n, 0.5, size=(hi - lo, len(dev))) - n) @ dev for lo, hi in _chunks(n_resamples, len(dev))])
+        return pd.DataFrame({"rep": np.arange(len(sums)), "s": sums})
+
+    reps = rows.groupBy("block").applyInPandas(run, "rep int, s double").groupBy("rep").agg(F.sum("s").alias("s"))
+    reps = _attach_row(reps, hist.agg(F.sum("signed").alias("obs"), F.sum("n").alias("n_total")))
+    return _tail_p(reps.withColumn("exact", exact), alternative, [])
 
 
 def fixed_size_sample(ranked: DataFrame, size: int, seed: int, keys: list[str]) -> DataFrame:
