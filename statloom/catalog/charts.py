@@ -280,6 +280,35 @@ query("v20_resample_median", _series("round(median(value), 4)"))(_resampled("med
 query("v20_resample_count", _series("CASE WHEN count(value) > 0 THEN count(value)::double END"))(_resampled("count"))
 
 
+def _periods(number: str, label: str) -> str:
+    """Sums per period of the events, by a period's number and its label."""
+    return f"""WITH e AS (SELECT event_type || CASE WHEN cast(ts AS date) = date '2024-01-10' THEN '*' ELSE '' END AS g, ts, value FROM events),
+    o AS (SELECT g, min(ts) AS first FROM e GROUP BY 1), n AS (SELECT e.g, first, {number} AS i, value FROM e JOIN o ON o.g = e.g),
+    s AS (SELECT g, first, unnest(range(min(i), max(i) + 1)) AS i FROM n GROUP BY 1, 2)
+    SELECT s.g AS "group", ({label})::timestamp AS period, round(sum(value), 4) AS value FROM s LEFT JOIN n ON n.g = s.g AND n.i = s.i GROUP BY 1, 2"""
+
+
+def _every(freq: str):
+    def run(spark, sf):
+        out = V.time_resample(_events(spark, sf), "ts", "value", freq, "sum", "event_type")
+        return rounded(out.withColumn("period", F.col("period").cast("timestamp")), 4)
+
+    return run
+
+
+query("v20_resample_90_minutes", _periods("floor(date_diff('second', date_trunc('day', first), ts) / 5400.0)::bigint", "date_trunc('day', s.first) + to_seconds(s.i * 5400)"))(_every("90min"))
+query(
+    "v20_resample_business_days",
+    _periods("(floor((date_diff('day', date '1970-01-01', ts::date) + 3) / 7.0) * 5 + least((date_diff('day', date '1970-01-01', ts::date) + 3) % 7, 4))::bigint", "date '1970-01-01' + (floor(s.i / 5.0) * 7 + s.i % 5 - 3)::int"),
+)(_every("B"))
+query(
+    "v20_resample_weeks_to_friday",
+    _periods("floor((date_diff('day', date '1970-01-01', ts::date) + 5) / 7.0)::bigint", "date '1970-01-01' + (s.i * 7 + 1)::int"),
+)(_every("W-FRI"))
+query("v20_resample_month_ends", _periods("(year(ts) * 12 + month(ts) - 1)::bigint", "last_day(make_date((s.i // 12)::bigint, (s.i % 12 + 1)::bigint, 1))"))(_every("ME"))
+query("v20_resample_three_days", _periods("floor(date_diff('day', first::date, ts::date) / 3.0)::bigint", "s.first::date + (s.i * 3)::int"))(_every("3D"))
+
+
 @query(
     "v21_rolling_mean",
     f"""SELECT "group", period, round(avg(v) OVER (PARTITION BY "group" ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS rolling FROM ({_series('avg(value)').replace(' AS value GROUP', ' AS v GROUP')

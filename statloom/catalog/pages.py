@@ -184,6 +184,93 @@ def h13(spark, sf):
     return out.select("page_id", "team_id", F.col("Season Year").alias("season_year"), F.col("Champion Name").alias("champion_name"))
 
 
+#: What stands before and after a cell's value: quotes of all forms, nested tags, links with decoration.
+_MARKUP = [
+    ("<td data-stat='{}'>", "</td>"), ('<td class="right" data-stat="{}"> <b>', "</b>\n</td>"),
+    ("<TD data-stat={}><div><div>", "</div></div></TD>"), ('<td data-stat="{}"><a href="/x/y.html">', "</a>*</td>"),
+]
+
+
+def _typed_html(kind: str):
+    """A page of one type: its table, with header rows, beside another table."""
+    spec = C.PAGE_TYPES[kind]
+    n = F.col("page_id").cast("string")
+    parts = [F.lit(f"<h1>no</h1><table id='other'><tr><td data-stat='age'>1</td></tr></table><div><table id=\"{spec.table}\"><thead><tr class='over_header'><th>x</th></tr><tr><th scope=col data-stat=age>Age</th></tr></thead><tr>")]
+    linked = {stat: name for name, (stat, _) in spec.ids.items()}
+    for i, stat in enumerate([*spec.columns, *[x for x in linked if x not in spec.columns]]):
+        if stat in linked:
+            before, after = f'<td data-stat="{stat}"><a href="/t/{stat}', "/2025.html?x=1\">" if spec.ids[linked[stat]][1] == -2 else '.html">'
+            parts += [F.lit(before), n, F.lit(after), F.lit(stat + " "), n, F.lit("</a> (3)</td>")]
+        else:
+            before, after = _MARKUP[i % 4]
+            parts += [F.lit(before.format(stat)), n, F.lit(after)]
+    return F.concat(*parts, F.lit("</tr><tr class='thead'><td data-stat='age'>Age</td></tr></table></div>"))
+
+
+def _routed(kind: str):
+    spec = C.PAGE_TYPES[kind]
+    columns = {**{name: f"'{stat}' || page_id" for name, (stat, _) in spec.ids.items()}}
+    linked = {stat for stat, _ in spec.ids.values()}
+    columns |= {name: f"'{stat} ' || page_id" if stat in linked else "cast(page_id AS varchar)" for stat, name in spec.columns.items()}
+    asked = ", ".join(f'{value} AS "{name}"' for name, value in columns.items())
+    sql = f"SELECT page_id, 0 AS row_no, {asked} FROM pages WHERE page_id % 2 = 0"
+
+    def run(spark, sf):
+        # Every second page is of this type, the others of one that has the same table under another name.
+        pages = _pages(spark, sf).withColumns({"html": F.concat(F.col("html"), _typed_html(kind)), "type": F.when(F.col("page_id") % 2 == 0, kind).otherwise("teams")})
+        return H.typed_records(H.route_pages(pages, "type"), kind)
+
+    return sql, run
+
+
+for _kind in ("player_stats", "advanced_stats", "mvp_candidates", "mvp_winners", "season_summaries", "team_season_rosters", "team_season_totals"):
+    _sql, _run = _routed(_kind)
+    query(f"h13_route_{_kind}", _sql)(_run)
+
+
+def _team_pages(spark, sf):
+    """Boxes of a club's season, or of a club, with playoff lines, numbers and labels in a row."""
+    n, host = F.col("page_id").cast("string"), F.regexp_extract("url", "^https?://([^/]+)", 1)
+    box = F.concat(
+        F.lit("<div id=info class=x><div id='meta'><h1><span>2024-25</span> <span>"), host, F.lit("</span><span>Roster</span></h1><p><strong>Record:</strong> "), n, F.lit("-3, Finished <a href='/x'>1st</a></p><p>"),
+        F.lit("<b><strong>Seasons:</strong> 80; 1946-47 to 2025-26;</b></p><p><strong>Games :</strong> 1,"), F.lpad(n, 3, "0"), F.lit("</p><p><strong>Team Name:</strong>\n"), host,
+        F.lit("</p><p><strong>NBA 2025 Playoffs:</strong> Won <strong>Finals</strong> 4-3</p></div></div>"),
+    )
+    kind = F.when(F.col("page_id") % 2 == 0, "team_seasons").otherwise("teams")
+    return _pages(spark, sf).withColumns({"html": F.concat("html", box), "type": kind})
+
+
+def _field(name: str):
+    return F.try_element_at("fields", F.lit(name)).alias(name)
+
+
+@query(
+    "h13_route_team_seasons",
+    f"SELECT page_id, '2024-25' AS season, {_HOST} AS team_full_name, page_id || '-3, Finished 1st' AS record, 4::bigint AS n_fields, CAST(NULL AS varchar) AS nba_2025_playoffs FROM pages WHERE page_id % 2 = 0",
+)
+def h13_team_seasons(spark, sf):
+    out = H.typed_records(H.route_pages(_team_pages(spark, sf), "type"), "team_seasons")
+    return out.select("page_id", "season", "team_full_name", _field("record"), F.size("fields").cast("long").alias("n_fields"), _field("nba_2025_playoffs"))
+
+
+@query(
+    "h13_route_teams",
+    f"SELECT page_id, '2024-25' AS team_full_name, {_HOST} AS team_names, 80 AS seasons_count, '1946-47 to 2025-26' AS seasons_range, '1,' || lpad(page_id::varchar, 3, '0') AS games FROM pages WHERE page_id % 2 = 1",
+)
+def h13_teams(spark, sf):
+    out = H.typed_records(H.route_pages(_team_pages(spark, sf), "type"), "teams")
+    return out.select("page_id", "team_full_name", _field("team_names"), "seasons_count", "seasons_range", _field("games"))
+
+
+@query(
+    "h02_meta_numbers",
+    f"SELECT page_id, CASE WHEN page_id < 1000 THEN 1000 + page_id END::bigint AS games, page_id || '-3, Finished 1st' AS record, '80; 1946-47 to 2025-26' AS seasons, {_HOST} AS team_name FROM pages WHERE page_id < 1000",
+)
+def h02_numbers(spark, sf):
+    out = H.meta_box(_team_pages(spark, sf).filter("page_id < 1000"))
+    return out.select("page_id", F.try_element_at("numbers", F.lit("games")).alias("games"), _field("record"), _field("seasons"), _field("team_name"))
+
+
 @query(
     "h14_challenge_pages",
     "SELECT page_id, " + " OR ".join(f"contains(html, '{m}')" for m in C.CHALLENGE_MARKERS) + " AS challenged FROM pages",

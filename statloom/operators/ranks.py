@@ -45,7 +45,7 @@ def bucket_count(df: DataFrame) -> int:
     return 2 ** math.ceil(math.log2(parts))
 
 
-def _with_bucket(hist: DataFrame, value: str, by: list[str], weights: list[str]) -> DataFrame:
+def with_bucket(hist: DataFrame, value: str, by: list[str], weights: list[str]) -> DataFrame:
     """Ordered bucket number of each (key, value) row, from deterministic cut points."""
     parts = bucket_count(hist)
     if parts == 1:
@@ -88,7 +88,7 @@ def cumulate(
     by, weights = list(by), list(weights)
     if write:
         hist = settle(hist)
-    rows = _with_bucket(hist, value, by, weights)
+    rows = with_bucket(hist, value, by, weights)
     sums = rows.groupBy(*by, "_bucket").agg(*[F.sum(w).alias(f"_{w}_sum") for w in weights])
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -179,7 +179,7 @@ def running_extreme(
     Like ``cumulate``: inside ordered buckets first, then over one row per bucket.
     """
     by = list(by)
-    placed = _with_bucket(rows, value, by, ["n"])
+    placed = with_bucket(rows, value, by, ["n"])
     agg = F.min if smallest_above else F.max
     frame = (Window.currentRow, Window.unboundedFollowing) if smallest_above else (Window.unboundedPreceding, Window.currentRow)
     rest = (1, Window.unboundedFollowing) if smallest_above else (Window.unboundedPreceding, -1)
@@ -194,7 +194,7 @@ def running_extreme(
 
 def smallest_gap(df: DataFrame, value: str) -> DataFrame:
     """(n_distinct, min_gap): distinct values and the smallest step between neighbours."""
-    rows = _with_bucket(histogram(df, value).withColumnRenamed(value, "value"), "value", [], ["n"])
+    rows = with_bucket(histogram(df, value).withColumnRenamed(value, "value"), "value", [], ["n"])
     inside = Window.partitionBy("_bucket").orderBy("value")
     gaps = rows.withColumn("gap", F.lead("value").over(inside) - F.col("value"))
     per = gaps.groupBy("_bucket").agg(

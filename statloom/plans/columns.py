@@ -4,6 +4,10 @@ They have to match the data being read and the tables being produced, so they ar
 as they are.
 """
 
+from __future__ import annotations
+
+from typing import NamedTuple
+
 # Raw header (lower case) -> cleaned column.
 PLAYER_STATS = {
     "year": "season", "rank": "rank", "player_id": "player_id", "age": "age", "team": "team_id",
@@ -183,6 +187,30 @@ PAGE_CAREER = {
     "eFG%": "Career Effective Field Goal Percentage", "PER": "Career Player Efficiency Rating",
     "WS": "Career Win Shares",
 }
+
+
+class PageType(NamedTuple):
+    """What a type of page holds: a table by id, or a box of labels under a heading."""
+
+    table: str | None
+    columns: dict[str, str]
+    ids: dict[str, tuple[str, int]] = {}  # column: (cell whose address has the id, path part from the end)
+    needs: str | None = None  # rows without this column are left out
+    headings: tuple[str, ...] = ()
+
+
+# The tables' ids on their pages.
+PAGE_TYPES = {
+    "player_stats": PageType("totals_stats", PAGE_PLAYER_STATS, {"Player_Id": ("name_display", -1)}),
+    "advanced_stats": PageType("advanced", PAGE_ADVANCED, {"Player_id": ("name_display", -1)}),
+    "mvp_candidates": PageType("mvp", PAGE_MVP_CANDIDATES, {"Player_Id": ("player", -1)}),
+    "mvp_winners": PageType("mvp_NBA", PAGE_MVP_WINNERS, {"Player_id": ("player", -1)}),
+    "season_summaries": PageType("stats", PAGE_SEASONS, needs="Champion Name"),
+    "team_season_rosters": PageType("roster", PAGE_ROSTER, {"Player_id": ("player", -1)}),
+    "team_season_totals": PageType("totals-team", PAGE_TEAM_TOTALS, {"TeamId": ("team", -2)}),
+    "team_seasons": PageType(None, {}, headings=("season", "team_full_name")),
+    "teams": PageType(None, {"seasons": "seasons"}, headings=("team_full_name",)),
+}
 CHALLENGE_MARKERS = [
     "Just a moment", "challenge-platform", "Enable JavaScript and cookies to continue",
 ]
