@@ -16,8 +16,11 @@ not enough, segments of common shingles are indexed too.
 Verification: sets that share a key form a group, which is compared exactly, in rounds. First its
 smallest id meets the others. Then whoever already hangs together through links need not meet
 again, and as the Jaccard distance is a metric, sets within 0.2 of the first one need not meet
-sets beyond 0.4 of it. Some sets outside the group's largest part meet the others and leave,
-round by round, until each group is one part. No pairs of a group are ever expanded at once.
+sets beyond 0.4 of it. While many still join, the sets outside a group's largest part meet one
+more of that part each round; then some sets outside it meet all others and leave, round by round,
+until each group is one part. No pairs of a group are ever expanded at once. Pairs first meet as
+bit maps of their shingles, a sixteenth of the sets: bits that only one side has prove a difference,
+and only pairs that it leaves open are compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm.components import components
@@ -44,6 +47,8 @@ COMMON_COUNT, COMMON_SHARE = 32, 1 / 4096
 BATCH_BYTES = 4 << 20
 #: Sets of a group that are compared with its others in one round; the rest follow in the next.
 LEADS = 32
+#: Rounds against one set of the main part go on while one of so many compared joins it.
+JOINING = 8
 #: Keys that a task holds before it hands them on, and keys in a bucket of the index.
 KEYS_AT_ONCE, BUCKET_KEYS = 4_000_000, 2_000_000
 _U = np.uint64
@@ -231,10 +236,32 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             text, value = _sets(run, hasher)
             ends = np.searchsorted(text, np.arange(len(run) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(run)), lists], ["id", "shingles"])
+            maps = [bit_maps(text, value, np.diff(ends), size) for size in (4, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(run)), lists, *maps], ["id", "shingles", "fine", "coarse"])
             at += len(run)
 
 
+def bit_maps(text: np.ndarray, value: np.ndarray, count: np.ndarray, bits: int) -> pa.ListArray:
+    """Which parts of the hash range each set has a shingle in: ``bits`` parts per size of its band.
+
+    A map of the next larger band with half as many bits has the same parts.
+    """
+    band = np.floor(np.log2(np.maximum(count, 1)) + 1e-12).astype(np.int64)
+    power = np.maximum(band + (2 if bits == 4 else 1), 6)
+    words = np.where(count > 0, (1 << power) // 64, 0)
+    first = np.concatenate([[0], np.cumsum(words)])
+    at = value >> (64 - power[text]).astype(_U)
+    out = np.zeros(first[-1], _U)
+    np.bitwise_or.at(out, first[text] + (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(out.view(np.int64)))
+
+
+def _only_in(a: Column, b: Column) -> Column:
+    """How many bits of map ``a`` are not in ``b``."""
+    apart = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(apart, F.lit(0), lambda t, x: t + x)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: ``key``, ``n_shingles`` and ``component_id``, the smallest linked key.
 
@@ -269,9 +296,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     # Texts of the candidates only; a repeated key with several texts brings several sets.
     candidates = postings.select("id").distinct()
-    size = {"id": F.col("id"), "shingles": F.col("shingles"), "n": F.size("shingles")}
-    found = docs.join(candidates, "id", "left_semi").mapInArrow(_shingle_sets, "id long, shingles array<long>")
-    found = stage.put(found.select(*[c.alias(k) for k, c in size.items()]).distinct(), "sets")
+    found = docs.join(candidates, "id", "left_semi").mapInArrow(_shingle_sets, "id long, shingles array<long>, fine array<long>, coarse array<long>")
+    found = found.withColumn("n", F.size("shingles")).dropDuplicates(["id", "shingles"])
+    found = stage.put(found.withColumn("set", F.xxhash64("shingles")), "sets")
     several = found.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id", F.lit(True).alias("several"))
     several = stage.put(several, "several")
 
@@ -279,12 +306,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     def compared(pairs: DataFrame, step: str) -> DataFrame:
         """``(lead, id, linked, near)`` of distinct pairs; the links are kept."""
-        sides = pairs.select("lead", "id").distinct().join(found, "id")
-        other = found.select(F.col("id").alias("lead"), F.col("shingles").alias("lead_shingles"), F.col("n").alias("lead_n"))
+        side = lambda who, *columns: found.select(F.col("id").alias(who), *[F.col(c).alias(f"{who}_{c}") for c in ("set", *columns)])
+        sides = pairs.select("lead", "id").distinct().join(side("id", "n", "fine", "coarse"), "id").join(side("lead", "n", "fine", "coarse"), "lead")
+        n, m = F.col("id_n"), F.col("lead_n")
         # Sizes too far apart already prove a distance beyond 0.4.
-        sides = sides.join(other, "lead").filter("10 * least(n, lead_n) >= 6 * greatest(n, lead_n)")
-        union = F.col("n") + F.col("lead_n") - F.col("both")
-        tested = sides.select("lead", "id", "n", "lead_n", F.size(F.array_intersect("shingles", "lead_shingles")).alias("both")).select(
+        sides = sides.filter(10 * F.least(n, m) >= 6 * F.greatest(n, m))
+        band, lead_band = F.floor(F.log2(n) + 1e-12), F.floor(F.log2(m) + 1e-12)
+        one = F.when(band > lead_band, F.col("id_coarse")).otherwise(F.col("id_fine"))
+        two = F.when(lead_band > band, F.col("lead_coarse")).otherwise(F.col("lead_fine"))
+        sides = sides.select("lead", "id", "lead_set", "id_set", n.alias("n"), m.alias("m"), F.least(n - _only_in(one, two), m - _only_in(two, one)).alias("most"))
+        open_pairs = sides.filter("10 * most >= 6 * (n + m - most)").drop("most")
+        whole = open_pairs.join(side("id", "shingles"), ["id", "id_set"]).join(side("lead", "shingles"), ["lead", "lead_set"])
+        union = F.col("n") + F.col("m") - F.col("both")
+        tested = whole.select("lead", "id", "n", "m", F.size(F.array_intersect("id_shingles", "lead_shingles")).alias("both")).select(
             "lead", "id", (F.col("both") * 100 >= union * 80).alias("linked"), (F.col("both") * 10 >= union * 6).alias("near")
         )
         tested = stage.put(tested.groupBy("lead", "id").agg(F.max("linked").alias("linked"), F.max("near").alias("near")), step)
@@ -299,28 +333,37 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     place = F.when(F.col("several").isNotNull() | (F.col("near") & ~F.col("linked")), "near").when(F.col("linked"), "linked").otherwise("far")
     postings = stage.put(rest.select("gid", "id", place.alias("place")), "postings-1")
 
-    turn = 0
+    turn, joining = 0, True
     while True:
         # What already hangs together need not be compared; nor sets within 0.2 and beyond 0.4 of the first.
         turn += 1
         known = components(reduce(DataFrame.unionByName, links), "lead", "id", stage, f"round-{turn}")
+        links[:] = [known.select(F.col("component").alias("lead"), F.col("node").alias("id")).filter("lead <> id")]
         here = postings.join(known.withColumnRenamed("node", "id"), "id", "left")
         here = stage.put(here.select("gid", "id", "place", F.coalesce("component", "id").alias("part")), f"here-{turn}")
         parts = here.groupBy("gid", "part").agg(F.count(F.lit(1)).alias("k"))
         parts = parts.groupBy("gid").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        here = here.join(parts.filter("parts > 1"), "gid")
+        here = stage.put(here.join(parts.filter("parts > 1"), "gid"), f"open-{turn}")
+        if here.isEmpty():
+            break
+        apart = F.array_sort(F.array("place", "lead_place")) == F.array(F.lit("far"), F.lit("linked"))
+        if joining:
+            # One set of the main part, another one each round, for all that are outside it.
+            main = here.filter("part = main").groupBy("gid").agg(F.min_by(F.struct("id", "place"), F.xxhash64("id", F.lit(turn))).alias("lead"))
+            pairs = here.filter("part <> main").join(main.select("gid", F.col("lead.id").alias("lead"), F.col("lead.place").alias("lead_place")), "gid").filter(~apart)
+            asked = pairs.select("lead", "id").distinct().count()
+            joining = compared(pairs, f"tested-{turn}").filter("linked").count() * JOINING >= max(asked, 1)
+            postings = here.select("gid", "id", "place")
+            continue
         first = Window.partitionBy("gid").orderBy("id")
         leads = here.filter("part <> main").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= LEADS)
         leads = stage.put(leads.select("gid", F.col("id").alias("lead"), F.col("part").alias("lead_part"), F.col("place").alias("lead_place"), "rank"), f"leads-{turn}")
-        if leads.isEmpty():
-            break
-        apart = F.array_sort(F.array("place", "lead_place")) == F.array(F.lit("far"), F.lit("linked"))
         ranks = leads.select("gid", F.col("lead").alias("id"), F.col("rank").alias("own_rank"))
         left = here.join(ranks, ["gid", "id"], "left")
         pairs = left.join(leads, "gid").filter((F.col("part") != F.col("lead_part")) & ~apart & (F.col("own_rank").isNull() | (F.col("own_rank") > F.col("rank"))))
         compared(pairs, f"tested-{turn}")
         postings = stage.put(left.filter("own_rank is null").select("gid", "id", "place"), f"postings-{turn + 1}")
-        stage.drop(f"here-{turn}", f"leads-{turn}", f"postings-{turn}")
+        stage.drop(f"here-{turn}", f"leads-{turn}")
     # A key with several texts stands in several classes.
     links.append(member.filter("id <> rep").join(several, "id", "left_semi").select(F.col("rep").alias("lead"), "id"))
     edges = reduce(DataFrame.unionByName, links)

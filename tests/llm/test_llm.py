@@ -141,6 +141,27 @@ def test_ngram_join(spark, docs):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), want[i]) for i in texts}
 
 
+def test_bit_maps_never_hide_a_pair():
+    """What the maps say two sets may share is at least what they share, in one band and in neighbouring ones."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.2, 0.8, 1.0])], rng.integers(0, 2**64, int(rng.integers(0, n)), dtype=np.uint64)]))
+        if 10 * min(len(a), len(b)) < 6 * max(len(a), len(b)):
+            continue
+        maps = {}
+        for bits in (4, 2):
+            text, value = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b])
+            maps[bits] = [np.array(x, np.int64).view(np.uint64) for x in ngram_join.bit_maps(text, value, np.array([len(a), len(b)]), bits).to_pylist()]
+        band = [len(x).bit_length() for x in (a, b)]
+        one, two = (maps[2 if band[i] > band[1 - i] else 4][i] for i in (0, 1))
+        assert len(one) == len(two)
+        only = [sum(int(x & ~y).bit_count() for x, y in zip(p, q)) for p, q in ((one, two), (two, one))]
+        both = len(np.intersect1d(a, b))
+        assert min(len(a) - only[0], len(b) - only[1]) >= both
+
+
 def test_ngram_join_keeps_every_link_in_its_keys():
     """Sets that differ by less than the threshold share a key whatever is held to be common."""
     rng = np.random.default_rng(1)
