@@ -261,3 +261,136 @@ def r15_teams(spark, sf):
     )
     used = orders.select(F.concat(F.lit("T"), (c("o_custkey") % 35).cast("string")).alias("team_id"))
     return B.teams(raw, used)
+
+
+def _raw_bios(spark, sf):
+    """Bio pages of four customers in five."""
+    c, k = F.col, F.col("c_custkey")
+    text = lambda x: x.cast("string")
+    cells = {
+        "Player_id": F.concat(F.lit(" C"), text(k)), "player_name": c("c_name"),
+        "Position": F.when(k % 3 == 0, "Point Guard").when(k % 3 == 1, "Center, Power Forward"), "Shoots": F.when(k % 2 == 0, "Shoots: Right").otherwise("Left"),
+        "Height": F.concat(F.lit("6-"), text(k % 12)), "Weight": text(180 + k % 50), "College": F.when(k % 4 == 0, "Colleges").otherwise(c("c_mktsegment")),
+        "Experience": F.when(k % 3 != 0, text(k % 20)), "NBA Debut": F.when(k % 2 == 0, "October 28, 2003").otherwise("soon"),
+        "Birthyear": text(1950 + k % 50), "Birthmonth": F.lit("March"), "Birthday": F.when(k % 6 == 0, "40").otherwise("4"),
+        "Draft": F.concat(text(1970 + k % 50), F.lit(" NBA Draft")), "Draft Team": F.concat(F.lit("Team "), text(k % 30)),
+        "Draf Pick": F.concat(F.lit("2nd round ("), text(k % 30), F.lit("th pick, "), text(k % 30 + 30), F.lit("th overall)")),
+    }
+    return table(spark, sf, "customer").filter(k % 5 != 0).select(*[v.alias(n) for n, v in cells.items()])
+
+
+def _raw_career(spark, sf):
+    """Career pages of two customers in three, some of them twice."""
+    k = F.col("c_custkey")
+    cells = {"Player_id": F.concat(F.lit("C"), k.cast("string")), "Experience": (k % 20 + k % 2).cast("string"), **{n.title(): F.lit("-") for n in B.C.CAREER}}
+    cells |= {"Career Games": (k % 900).cast("string"), "Career Points": F.when(k % 7 == 0, "-").otherwise("12.5")}
+    rows = table(spark, sf, "customer").filter(k % 3 != 1).select(*[v.alias(n) for n, v in cells.items()], F.struct(k, F.lit(0)).alias(R.SOURCE_ROW))
+    again = rows.filter(F.col(f"{R.SOURCE_ROW}.c_custkey") % 8 == 0).withColumns({"Career Games": F.lit("-1"), R.SOURCE_ROW: F.struct(F.col(f"{R.SOURCE_ROW}.c_custkey").alias("c_custkey"), F.lit(1))})
+    return rows.unionByName(again)
+
+
+def _player_names(spark, sf):
+    orders = table(spark, sf, "orders")
+    return orders.select(F.year("o_orderdate").alias("season"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("player_id"), F.concat(F.lit("Order "), F.col("o_custkey").cast("string")).alias("player_name"))
+
+
+@query(
+    "r15_players",
+    """WITH b AS (SELECT c_custkey AS k, c_name, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0), o AS (SELECT DISTINCT o_custkey AS k FROM orders), u AS (SELECT k FROM b UNION SELECT k FROM o)
+    SELECT 'c' || u.k AS player_id, coalesce(c_name, 'Order ' || o.k) AS player_name, b.k IS NOT NULL AS has_bio, CASE b.k % 3 WHEN 0 THEN 'PG' WHEN 1 THEN 'C' END AS primary_position,
+    CASE b.k % 2 WHEN 0 THEN 'right' WHEN 1 THEN 'left' END AS shoots, round(6 * 30.48 + b.k % 12 * 2.54, 1)::double AS height_cm, round((180 + b.k % 50) * 0.45359237, 1)::double AS weight_kg,
+    CASE WHEN b.k % 4 <> 0 THEN c_mktsegment END AS college, (CASE WHEN b.k % 3 <> 0 THEN b.k % 20 ELSE b.k % 20 + b.k % 2 END)::bigint AS experience_seasons,
+    CASE WHEN b.k % 2 = 0 THEN 2003 END AS nba_debut_year, CASE WHEN b.k % 6 <> 0 THEN make_date(1950 + b.k % 50, 3, 4) END AS birth_date, (1970 + b.k % 50)::int AS draft_year,
+    CASE WHEN b.k IS NOT NULL THEN 2 END AS draft_round, (b.k % 30 + 30)::int AS draft_overall_pick, CASE WHEN b.k % 3 <> 1 THEN (b.k % 900)::double END AS career_games,
+    CASE WHEN b.k % 3 <> 1 AND b.k % 7 <> 0 THEN 12.5::double END AS career_points FROM u LEFT JOIN b ON b.k = u.k LEFT JOIN o ON o.k = u.k""",
+)
+def r15_players(spark, sf):
+    names = _player_names(spark, sf)
+    out = B.players(_raw_bios(spark, sf), _raw_career(spark, sf), names.select("player_id"), names).select(
+        "player_id", "player_name", "has_bio", "primary_position", "shoots", "height_cm", "weight_kg", "college", F.col("experience_seasons").cast("long").alias("experience_seasons"),
+        "nba_debut_year", "birth_date", "draft_year", "draft_round", "draft_overall_pick", "career_games", "career_points",
+    )
+    return out
+
+
+@query(
+    "r15_player_conflicts",
+    """WITH c AS (SELECT c_custkey AS k, c_name, c_custkey % 5 <> 0 AS bio, c_custkey % 3 <> 1 AS career, o.k IS NOT NULL AS named FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON o.k = c_custkey),
+    v AS (SELECT *, CASE WHEN bio AND k % 3 <> 0 THEN k % 20 END AS x, CASE WHEN career THEN k % 20 + k % 2 END AS y, CASE WHEN bio THEN c_name END AS a, CASE WHEN named THEN 'Order ' || k END AS b FROM c)
+    SELECT 'c' || k AS player_id, coalesce(a, b) AS player_name, coalesce(x, y)::bigint AS experience_seasons, (bio::int + career::int + named::int)::bigint AS n_sources,
+    (coalesce(a <> b, false)::int + coalesce(x <> y, false)::int)::bigint AS n_conflicts FROM v WHERE bio OR career OR named""",
+)
+def r15_player_conflicts(spark, sf):
+    out = B.player_conflicts(_raw_bios(spark, sf), _raw_career(spark, sf), _player_names(spark, sf))
+    return longs(out)
+
+
+@query(
+    "r15_mvp_winners",
+    """SELECT year(o_orderdate)::int AS season, 'NBA' AS league, 'c' || o_custkey AS player_id, CASE WHEN o_orderstatus <> 'P' THEN 't' || o_custkey % 12 END AS team_id, (19 + o_custkey % 20)::bigint AS age,
+    CASE WHEN o_orderstatus = 'F' THEN 82 END::bigint AS games, round(o_totalprice / 1000, 2) AS win_shares FROM orders""",
+)
+def r15_winners(spark, sf):
+    c, year = F.col, F.year("o_orderdate")
+    one = F.lit("1")
+    cells = {
+        "Season": F.concat((year - 1).cast("string"), F.lit("-"), F.substring(year.cast("string"), -2, 2)), "League": F.lit(" nba"), "Player_id": F.concat(F.lit("C"), c("o_custkey").cast("string")),
+        "Age": (19 + c("o_custkey") % 20).cast("string"), "Team_id": F.when(c("o_orderstatus") != "P", F.concat(F.lit("T"), (c("o_custkey") % 12).cast("string"))).otherwise(" "),
+        "Game": F.when(c("o_orderstatus") == "F", "82").otherwise("none"), "Win Shares": F.round(c("o_totalprice") / 1000, 2).cast("string"),
+    }
+    rest = [n for n in B.C.MVP_WINNERS if n not in {k.lower() for k in cells}]
+    raw = table(spark, sf, "orders").select(*[v.alias(n) for n, v in cells.items()], *[one.alias(n) for n in rest])
+    out = B.mvp_winners(raw).select("season", "league", "player_id", "team_id", "age", "games", "win_shares")
+    return rounded(longs(out), 2).withColumn("season", c("season").cast("int"))
+
+
+def _award_rows(spark, sf):
+    """A summary per order year: the champion of even ones is a club of that year, of odd ones nobody known."""
+    c = F.col
+    years = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.max("o_custkey").alias("k"))
+    cells = {
+        "Season Year": F.concat((c("y") - 1).cast("string"), F.lit("-"), F.substring(c("y").cast("string"), -2, 2)), "League": F.lit("nba "),
+        "Champion Name": F.when(c("y") % 2 == 0, F.concat(F.lit("Team "), (c("k") % 30).cast("string"))).otherwise("Nobody"), "MVP": F.lit("x"),
+        "Rookie of the Year": F.lit("Jos\u00c3\u00a9"), "Most Points": F.concat(F.lit("P"), c("k").cast("string")), "Most Rebounds": F.lit(""), "Most Assists": F.lit("a"), "Most Winshares": F.lit("b"),
+    }
+    lookup = table(spark, sf, "orders").select(F.year("o_orderdate").alias("season"), (c("o_custkey") % 30).alias("t")).distinct()
+    lookup = lookup.select("season", F.concat(F.lit(" T"), c("t").cast("string")).alias("team_id"), F.concat(F.lit("Team "), c("t").cast("string")).alias("team_name"))
+    return B.season_awards(years.select(*[v.alias(n) for n, v in cells.items()]), lookup)
+
+
+@query(
+    "r15_season_awards",
+    """SELECT y::int AS season, 'NBA' AS league, CASE WHEN y % 2 = 0 THEN 't' || k % 30 END AS champion_team_id, 'José' AS rookie_of_the_year, 'P' || k AS most_points, CAST(NULL AS varchar) AS most_rebounds, 'a' AS most_assists, 'b' AS most_winshares
+    FROM (SELECT year(o_orderdate) AS y, max(o_custkey) AS k FROM orders GROUP BY 1)""",
+)
+def r15_awards(spark, sf):
+    return _award_rows(spark, sf).withColumn("season", F.col("season").cast("int"))
+
+
+@query(
+    "r15_seasons",
+    """WITH a AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), u AS (SELECT y FROM a UNION SELECT year(l_shipdate) FROM lineitem)
+    SELECT u.y::bigint AS season, (u.y - 1) || '-' || right(u.y::varchar, 2) AS season_label, (u.y - 1)::bigint AS start_year, a.y IS NOT NULL AS has_awards FROM u LEFT JOIN a ON a.y = u.y""",
+)
+def r15_seasons(spark, sf):
+    used = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("season"))
+    return longs(B.seasons(_award_rows(spark, sf), used))
+
+
+@query(
+    "r15_player_advanced_stats",
+    """WITH s AS (SELECT year(l_shipdate)::int AS season, 'p' || l_orderkey AS player_id, CASE WHEN l_linenumber = 7 THEN 'tot' ELSE 't' || l_suppkey END AS team_id, * FROM lineitem),
+    n AS (SELECT *, row_number() OVER (PARTITION BY season, player_id, team_id = 'tot' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn, bool_or(team_id = 'tot') OVER (PARTITION BY season, player_id) AS has FROM s)
+    SELECT season, player_id, CASE WHEN team_id = 'tot' THEN 0 ELSE rn END AS stint, team_id = 'tot' OR (NOT has AND rn = 1) AS is_primary, team_id, l_tax AS usage_percentage, CAST(NULL AS double) AS win_shares,
+    l_discount AS box_plus_minus FROM n""",
+)
+def r15_advanced(spark, sf):
+    c = F.col
+    team = F.when(c("l_linenumber") == 7, "3TM").otherwise(F.concat(F.lit("T"), c("l_suppkey").cast("string")))
+    value = {"usage_percentage": c("l_tax").cast("string"), "win_shares": F.lit(" "), "box_plus_minus": c("l_discount").cast("string")}
+    cells = {"Season": F.year("l_shipdate").cast("string"), "Player_Id": F.concat(F.lit(" P"), c("l_orderkey").cast("string")), "Team": team}
+    cells |= {m.title(): value.get(m, F.lit("1")) for m in B.C.ADVANCED_METRICS}
+    raw = table(spark, sf, "lineitem").select(*[v.alias(n) for n, v in cells.items()], F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias(R.SOURCE_ROW))
+    averages = raw.groupBy("Season").agg(F.lit(" ").alias("Player_Id"))
+    out = B.player_advanced_stats(raw.unionByName(averages, allowMissingColumns=True)).select("season", "player_id", "stint", "is_primary", "team_id", "usage_percentage", "win_shares", "box_plus_minus")
+    return longs(out).withColumn("season", c("season").cast("int"))

@@ -96,6 +96,24 @@ def fill_from_lookup(df: DataFrame, lookup: DataFrame, key: str, value: str) ->
     return df.join(other, key, "left").withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
 
 
+def merge_sources(sources: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One row per key out of several sources, column by column: the first source with a value gives it.
+
+    A source may lack columns; of several rows of one key in it the smallest value counts. Added are
+    ``n_sources``, how many know the key, and ``n_conflicts``, in how many columns values differ.
+    Rows without a whole key are left out. One aggregation, combined before the shuffle.
+    """
+    columns = list(dict.fromkeys(c for s in sources for c in s.columns if c not in keys))
+    parts = [
+        s.select(*keys, F.lit(i).alias("_source"), *[F.col(c).alias(c) for c in s.columns if c not in keys]) for i, s in enumerate(sources)
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).dropna(subset=keys)
+    first = {c: F.min(F.when(F.col(c).isNotNull(), F.struct("_source", F.col(c).alias("v")))).alias(c) for c in columns}
+    differ = [F.coalesce(F.min(c) < F.max(c), F.lit(False)).cast("int") for c in columns]
+    out = rows.groupBy(*keys).agg(*first.values(), F.size(F.collect_set("_source")).alias("n_sources"), reduce(Column.__add__, differ, F.lit(0)).alias("n_conflicts"))
+    return out.select(*keys, *[F.col(f"{c}.v").alias(c) for c in columns], "n_sources", "n_conflicts")
+
+
 def distinct_lookup(df: DataFrame, columns: list[str], required: list[str]) -> DataFrame:
     return df.select(*columns).dropna(subset=required).distinct()
 

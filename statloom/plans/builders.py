@@ -211,6 +211,20 @@ def players(
     return R.project_sorted(out, C.PLAYER_COLUMNS, ["player_id"])
 
 
+def player_conflicts(raw_bios: DataFrame, raw_career: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(player_id, player_name, experience_seasons, n_sources, n_conflicts): where the sources of a player disagree.
+
+    The bio page comes before the career page, and both before the rosters.
+    """
+    bios = _bio_rows(raw_bios).select("player_id", "player_name", X.to_int(F.col("experience")).alias("experience_seasons"))
+    career = career_stats(raw_career).select("player_id", F.col("career_experience_seasons").alias("experience_seasons"))
+    sources = [bios, career]
+    if names is not None:
+        order = [c for c in ("season", R.SOURCE_ROW) if c in names.columns]
+        sources.append(R.first_value(names, "player_id", order, "player_name"))
+    return R.merge_sources(sources, ["player_id"])
+
+
 def build_all(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All eleven cleaned tables; facts first, the dimensions from the keys the facts use."""
     out = {
