@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from statloom.catalog.registry import query, rounded, table
 from statloom.functions.numeric import safe_ratio
+from statloom.operators.ranks import settle
 from statloom.operators.rows import collect_keys
 from statloom.plans import columns as C
 from statloom.plans import marts as M
@@ -85,15 +86,6 @@ def cleaned(spark, sf) -> dict[str, DataFrame]:
         "points": F.sum(F.floor("l_extendedprice")), "total_rebounds": F.sum("l_linenumber"), "assists": F.sum(F.floor("l_quantity")),
         "turnovers": F.count_if(c("l_returnflag") == "R"),
     }
-    aggs = [value.get(x, F.lit(0)).cast("long").alias(x) for x in count] + [F.avg("l_discount").alias(x) for x in C.PERCENTAGES]
-    clubs = line.groupBy("season", c("o_custkey").alias("player_id"), c("l_suppkey").alias("team_id")).agg(*aggs)
-    both = clubs.withColumn("stint", F.lit(1)).withColumn("is_primary", F.lit(False)).unionByName(
-        line.groupBy("season", c("o_custkey").alias("player_id")).agg(*aggs)
-        .withColumns({"team_id": F.lit(-1).cast("long"), "stint": F.lit(0), "is_primary": F.lit(True)})
-    )
-    box = both.withColumns({"rank": F.lit(1), "age": (c("player_id") % 20 + 19).cast("int"), "position": F.lit("G")})
-    box = box.withColumn("stint", F.when(c("stint") == 0, 0).otherwise(c("team_id") + 1))
-    adv = box.select("season", "player_id", "stint", "is_primary", "team_id", *[(c("points") / c("games_played")).alias(m) for m in C.ADVANCED_METRICS])
     team_counts = [x for x in C.TEAM_SEASON_STATS[3:] if x not in C.PERCENTAGES]
     team_value = {
         "games": F.count_if(c("l_returnflag") != "N"), "minutes_played": F.sum("l_quantity").cast("long"), "points": F.sum(F.floor("l_extendedprice")),
@@ -102,9 +94,25 @@ def cleaned(spark, sf) -> dict[str, DataFrame]:
         "offensive_rebounds": F.count_if(c("l_returnflag") == "A"), "total_rebounds": F.count(F.lit(1)), "assists": F.sum("l_linenumber"),
         "turnovers": F.count_if(c("l_returnflag") == "R"),
     }
-    totals = line.groupBy("season", c("l_suppkey").alias("team_id")).agg(
-        F.lit(1).alias("rank"), *[team_value.get(x, F.lit(0)).cast("long").alias(x) for x in team_counts],
-        *[F.avg("l_discount").alias(x) for x in C.PERCENTAGES if x in C.TEAM_SEASON_STATS],
+    rates = [x for x in C.PERCENTAGES if x in C.TEAM_SEASON_STATS]
+    # One join and one aggregation for players, players at a club, and clubs, read from then on.
+    keys = ["season", "player_id", "team_id"]
+    line = line.withColumns({"player_id": c("o_custkey"), "team_id": c("l_suppkey")})
+    sums = [v.cast("long").alias(f"b_{x}") for x, v in value.items()] + [v.cast("long").alias(f"t_{x}") for x, v in team_value.items()]
+    grouped = line.groupingSets([keys, keys[:2], [keys[0], keys[2]]], *keys).agg(*sums, F.avg("l_discount").alias("rate"), F.grouping_id().alias("level"))
+    grouped = settle(grouped)
+    zero = F.lit(0).cast("long")
+    lines = [(c(f"b_{x}") if x in value else zero).alias(x) for x in count] + [c("rate").alias(x) for x in C.PERCENTAGES]
+    combined_line = c("level") == 1
+    both = grouped.filter("level < 2").select(
+        "season", "player_id", F.when(combined_line, -1).otherwise(c("team_id")).cast("long").alias("team_id"), *lines,
+        F.when(combined_line, 0).otherwise(1).alias("stint"), combined_line.alias("is_primary"),
+    )
+    box = both.withColumns({"rank": F.lit(1), "age": (c("player_id") % 20 + 19).cast("int"), "position": F.lit("G")})
+    box = box.withColumn("stint", F.when(c("stint") == 0, 0).otherwise(c("team_id") + 1))
+    adv = box.select("season", "player_id", "stint", "is_primary", "team_id", *[(c("points") / c("games_played")).alias(m) for m in C.ADVANCED_METRICS])
+    totals = grouped.filter("level = 2").select(
+        "season", "team_id", F.lit(1).alias("rank"), *[(c(f"t_{x}") if x in team_value else zero).alias(x) for x in team_counts], *[c("rate").alias(x) for x in rates]
     )
     # The champion of an even season is its best seller; odd seasons have none, like years without an award.
     best = totals.groupBy("season").agg(F.max_by("team_id", F.struct("points", "team_id")).alias("champion_team_id"))

@@ -325,3 +325,15 @@ def test_catalog_listings(spark):
     assert ("listed_orders", "TEMPORARY") in [tuple(r) for r in files.list_tables(spark).collect()]
     got = D.expected_tables(spark, ["orders", "customer"], ["customer", "refunds"])
     assert sorted(map(tuple, got.collect())) == [("orders", "unexpected"), ("refunds", "missing")]
+
+
+def test_sources_merge_column_by_column(spark):
+    """The first source with a value wins per column; conflicts and sources are counted; blank keys are left out."""
+    a = spark.createDataFrame([("p", None, 5), ("q", "Q", None), ("q", "A", None), (None, "no", 1)], "id string, name string, n int")
+    b = spark.createDataFrame([("p", "P", 6), ("r", "R", 7)], "id string, name string, n int")
+    c = spark.createDataFrame([("p", 1.5), ("q", None)], "id string, x double")
+    got = {r["id"]: tuple(r)[1:] for r in R.merge_sources([a, b, c], ["id"]).collect()}
+    # Two rows of one key in a source differ from each other as well.
+    assert got == {"p": ("P", 5, 1.5, 3, 1), "q": ("A", None, None, 2, 1), "r": ("R", 7, None, 1, 0)}
+    assert R.merge_sources([a.limit(0), b.limit(0)], ["id"]).columns == ["id", "name", "n", "n_sources", "n_conflicts"]
+    assert R.merge_sources([a.limit(0)], ["id"]).count() == 0
