@@ -163,12 +163,29 @@ def add_dense_rank(cells: DataFrame, value: str, out: str, by: list[str] = ()) -
 def row_place(df: DataFrame, order: list[Column], by: list[str] = (), out: str = "place") -> DataFrame:
     """1-based place of every row within its key, spread over ordered buckets; no two rows share one.
 
-    Rows tied in the order are placed by a hash of their values.
+    Rows tied in the order are placed by a hash of their values, which is part of what the buckets
+    are cut by: a tie of any length spreads like distinct values. Only rows alike in every column
+    stay together, and they are interchangeable.
     """
-    rows = df.withColumns({"_key": F.struct(*order), "_w": F.lit(1), "_tie": F.xxhash64(*df.columns)})
-    placed = cumulate(rows, "_key", ["_w"], by, unique=False, write=False)
-    among = F.row_number().over(Window.partitionBy(*by, "_key").orderBy("_tie"))
-    return placed.withColumn(out, F.col("_w_below") + among).drop("_key", "_tie", "_w", "_w_below", "_w_tied", "_w_total")
+    by = list(by)
+    rows = df.withColumns({"_key": F.struct(*order, F.xxhash64(*df.columns)), "_w": F.lit(1)})
+    rows = with_bucket(rows, "_key", by, ["_w"])
+    sizes = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = by_window(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_bucket").alias("_kb"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"),
+    )
+    match = F.col("_bucket") == F.col("_kb")
+    for i, k in enumerate(by):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_key")
+    placed = rows.withColumn("_at", F.row_number().over(inside)).join(offsets, match)
+    return placed.select(*df.columns, (F.col("_off") + F.col("_at")).alias(out))
+
+
+def by_window(by: list[str]) -> Window:
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
 
 def running_extreme(
