@@ -13,14 +13,13 @@ shingle keeps those, and adds the one-deletion neighbourhoods of the segments wi
 each counts double, as it also finds a segment that differs by one shingle. Only where that is
 not enough, segments of common shingles are indexed too.
 
-Verification: sets that share a key form a group, which is compared exactly, in rounds. First its
-smallest id meets the others. Then whoever already hangs together through links need not meet
-again, and as the Jaccard distance is a metric, sets within 0.2 of the first one need not meet
-sets beyond 0.4 of it. While many still join, the sets outside a group's largest part meet one
-more of that part each round; then some sets outside it meet all others and leave, round by round,
-until each group is one part. No pairs of a group are ever expanded at once. Pairs first meet as
-bit maps of their shingles, a sixteenth of the sets: bits that only one side has prove a difference,
-and only pairs that it leaves open are compared shingle by shingle.
+Verification: sets that share a key form a group, groups of the same smallest id one. First that
+id meets the others, which links most copies. Groups that then still hold several linked parts are met in blocks: whoever is
+outside a group's largest part meets all others of it as bit maps of the sets, an eighth of their
+size, inside a task; bits that only one side has prove a difference, and only pairs which the maps
+leave open come out of it. While many of these link, each row gives its likeliest few, as parts
+that have grown together need not meet again; the last round gives all that are left. Open pairs
+are compared shingle by shingle. No pairs of a group are ever rows before a map left them open.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.components import components
@@ -45,10 +44,12 @@ SEGMENTS = 0.35
 #: A shingle is common from this count or this share of documents on; it steers costs, never results.
 COMMON_COUNT, COMMON_SHARE = 32, 1 / 4096
 BATCH_BYTES = 4 << 20
-#: Sets of a group that are compared with its others in one round; the rest follow in the next.
-LEADS = 32
-#: Rounds against one set of the main part go on while one of so many compared joins it.
-JOINING = 8
+#: Rows and shingles of a block of a group; larger groups meet block by block.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 4 << 20
+#: Pairs whose maps a task compares in one step, and shingles of the rows that it receives at once.
+PAIRS_AT_ONCE, TASK_SHINGLES = 1 << 18, 16 << 20
+#: Partners that a row gives in a round before the last; such rounds go on while one pair of so many links.
+PARTNERS, JOINING = 8, 8
 #: Keys that a task holds before it hands them on, and keys in a bucket of the index.
 KEYS_AT_ONCE, BUCKET_KEYS = 4_000_000, 2_000_000
 _U = np.uint64
@@ -186,7 +187,8 @@ def _index(common: np.ndarray, buckets: int):
             for i in range(0, len(edges) + 1, 256):
                 a = [0, *edges.tolist()][i : i + 256]
                 b = [*edges.tolist(), len(ids)][i : i + 256]
-                rows = [(int(bucket[x]), keys[x:y].tobytes(), ids[x:y].tobytes()) for x, y in zip(a, b) if y > x]
+                # The upper half of a key tells enough within its bucket: a false match is only compared in vain.
+                rows = [(int(bucket[x]), (keys[x:y] >> _U(32)).astype(np.uint32).tobytes(), ids[x:y].tobytes()) for x, y in zip(a, b) if y > x]
                 if rows:
                     columns = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["bucket", "keys", "ids"])
@@ -211,7 +213,7 @@ def _index(common: np.ndarray, buckets: int):
 
 def _groups(table: pa.Table) -> pa.Table:
     """(group, id) of the ids that share a key of this bucket; equal groups once."""
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), _U)
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
     ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
@@ -236,8 +238,9 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             text, value = _sets(run, hasher)
             ends = np.searchsorted(text, np.arange(len(run) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))
-            maps = [bit_maps(text, value, np.diff(ends), size) for size in (4, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(run)), lists, *maps], ["id", "shingles", "fine", "coarse"])
+            maps = [bit_maps(text, value, np.diff(ends), size) for size in (8, 4)]
+            kept = [batch.column(c).slice(at, len(run)) for c in ("id", "again")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(ends)), lists, *maps], ["id", "again", "n", "shingles", "fine", "coarse"])
             at += len(run)
 
 
@@ -247,7 +250,7 @@ def bit_maps(text: np.ndarray, value: np.ndarray, count: np.ndarray, bits: int)
     A map of the next larger band with half as many bits has the same parts.
     """
     band = np.floor(np.log2(np.maximum(count, 1)) + 1e-12).astype(np.int64)
-    power = np.maximum(band + (2 if bits == 4 else 1), 6)
+    power = np.maximum(band + bits.bit_length() - 1, 6)
     words = np.where(count > 0, (1 << power) // 64, 0)
     first = np.concatenate([[0], np.cumsum(words)])
     at = value >> (64 - power[text]).astype(_U)
@@ -262,6 +265,69 @@ def _only_in(a: Column, b: Column) -> Column:
     return F.aggregate(apart, F.lit(0), lambda t, x: t + x)
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    lists = pa.concat_arrays(column.chunks)
+    return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(_U)
+
+
+def _meeting(partners: int):
+    """Pairs of a group's blocks that their maps leave open, the ``partners`` likeliest of a row, or all (0).
+
+    A row of nulls says that some were left for a later round.
+    """
+
+    def meet(table: pa.Table) -> pa.Table:
+        gid, unit, ids, part, n, asked, partner, outer = (
+            table.column(c).to_numpy() for c in ("gid", "unit", "id", "part", "n", "asked", "partner", "outer")
+        )
+        maps = [_lists(table.column(c)) for c in ("fine", "coarse")]
+        band = np.floor(np.log2(n) + 1e-12).astype(np.int64)
+        order = np.lexsort((unit, gid))
+        cuts = np.flatnonzero((np.diff(gid[order]) != 0) | (np.diff(unit[order]) != 0)) + 1
+        left, right, more = [], [], False
+
+        def matrix(rows: np.ndarray, coarse: bool) -> np.ndarray:
+            offsets, values = maps[int(coarse)]
+            return values[offsets[rows][:, None] + np.arange(offsets[rows[0] + 1] - offsets[rows[0]])]
+
+        def compare(x: np.ndarray, y: np.ndarray) -> None:
+            """Rows of one band against rows of the same or a neighbouring one."""
+            nonlocal more
+            a, b = matrix(x, band[x[0]] > band[y[0]]), matrix(y, band[y[0]] > band[x[0]])
+            spare_a, spare_b = n[x] - np.bitwise_count(a).sum(1, dtype=np.int64), n[y] - np.bitwise_count(b).sum(1, dtype=np.int64)
+            b = np.ascontiguousarray(b.T)
+            step = max(1, PAIRS_AT_ONCE // len(y))
+            for i in range(0, len(x), step):
+                rows, one = x[i : i + step], a[i : i + step]
+                most = np.minimum(spare_a[i : i + step, None], spare_b)
+                for w in range(b.shape[0]):
+                    most += np.bitwise_count(one[:, w, None] & b[w])
+                may = (9 * most >= 4 * (n[rows][:, None] + n[y])) & (part[rows][:, None] != part[y]) & (ids[rows][:, None] != ids[y])
+                if partners and len(y) > partners:
+                    more |= bool((may.sum(1) > partners).any())
+                    likely = np.where(may, most / (n[rows][:, None] + n[y]), -1.0)
+                    best = np.argpartition(-likely, partners, axis=1)[:, :partners]
+                    r, c = np.nonzero(np.take_along_axis(may, best, 1))
+                    c = best[r, c]
+                else:  # two outer rows meet twice, each in a block of the other
+                    r, c = np.nonzero(may & ~(outer[y] & (ids[y] < ids[rows][:, None])))
+                left.append(ids[rows][r])
+                right.append(ids[y][c])
+
+        for rows in np.split(order, cuts):
+            x, y = rows[asked[rows]], rows[partner[rows]]
+            for b in np.unique(band[x]):
+                for c in (b - 1, b, b + 1):
+                    if (there := y[band[y] == c]).size:
+                        compare(x[band[x] == b], there)
+        one, two = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
+        nothing = pa.nulls(int(more), pa.int64())
+        low, high = (pa.concat_arrays([pa.array(f(one, two), pa.int64()), nothing]) for f in (np.minimum, np.maximum))
+        return pa.table({"lead": low, "id": high})
+
+    return meet
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: ``key``, ``n_shingles`` and ``component_id``, the smallest linked key.
 
@@ -286,89 +352,89 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     named = sets.filter("n > 0 and id is not null")
     first = named.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     member = stage.put(named.join(first, ["n", "d1", "d2"]).select("id", "n", "rep"), "member")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_shingles * 0.4 / BUCKET_KEYS) + 1)
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parallel, int(n_shingles * 0.4 / BUCKET_KEYS) + 1)
     entries = docs.filter("id is not null").mapInArrow(_index(common, buckets), "bucket int, keys binary, ids binary")
     shared = stage.put(entries.groupBy("bucket").applyInArrow(_groups, "gid long, id long"), "shared")
-    postings = (
-        shared.distinct().join(member.select("id", "rep").distinct(), "id").select("gid", F.col("rep").alias("id")).distinct()
-    )
-    postings = stage.put(postings, "postings-0")
-
-    # Texts of the candidates only; a repeated key with several texts brings several sets.
-    candidates = postings.select("id").distinct()
-    found = docs.join(candidates, "id", "left_semi").mapInArrow(_shingle_sets, "id long, shingles array<long>, fine array<long>, coarse array<long>")
-    found = found.withColumn("n", F.size("shingles")).dropDuplicates(["id", "shingles"])
-    found = stage.put(found.withColumn("set", F.xxhash64("shingles")), "sets")
-    several = found.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id", F.lit(True).alias("several"))
-    several = stage.put(several, "several")
-
+    postings = shared.distinct().join(member.select("id", "rep", "n").distinct(), "id")
+    postings = stage.put(postings.groupBy("gid", F.col("rep").alias("id")).agg(F.max("n").alias("n")), "postings-0")
+    # Groups of one smallest id are met as one: their rows are mostly the same.
+    lead = postings.groupBy("gid").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("gid", "lead")
+    postings = stage.put(postings.join(lead, "gid").groupBy("lead", "id").agg(F.max("n").alias("n")), "postings")
+
+    # Sets and maps of the candidates only; a repeated key with several texts brings several sets.
+    repeated = member.groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("again"))
+    wanted = postings.select("id").distinct().join(repeated, "id", "left").select("id", F.coalesce("again", F.lit(False)).alias("again"))
+    wanted = stage.put(wanted, "wanted")
+    sketch = "id long, again boolean, n long, shingles array<long>, fine array<long>, coarse array<long>"
+    found = stage.put(docs.join(wanted, "id").mapInArrow(_shingle_sets, sketch).filter("n > 0"), "sets")
+    once = stage.put(found.filter("again").dropDuplicates(["id", "shingles"]), "sets-repeated")
+    found = found.filter("not again").unionByName(once).drop("again")
+    maps = found.select("id", "n", "fine", "coarse")
     links = []
 
-    def compared(pairs: DataFrame, step: str) -> DataFrame:
-        """``(lead, id, linked, near)`` of distinct pairs; the links are kept."""
-        side = lambda who, *columns: found.select(F.col("id").alias(who), *[F.col(c).alias(f"{who}_{c}") for c in ("set", *columns)])
-        sides = pairs.select("lead", "id").distinct().join(side("id", "n", "fine", "coarse"), "id").join(side("lead", "n", "fine", "coarse"), "lead")
-        n, m = F.col("id_n"), F.col("lead_n")
-        # Sizes too far apart already prove a distance beyond 0.4.
-        sides = sides.filter(10 * F.least(n, m) >= 6 * F.greatest(n, m))
-        band, lead_band = F.floor(F.log2(n) + 1e-12), F.floor(F.log2(m) + 1e-12)
-        one = F.when(band > lead_band, F.col("id_coarse")).otherwise(F.col("id_fine"))
-        two = F.when(lead_band > band, F.col("lead_coarse")).otherwise(F.col("lead_fine"))
-        sides = sides.select("lead", "id", "lead_set", "id_set", n.alias("n"), m.alias("m"), F.least(n - _only_in(one, two), m - _only_in(two, one)).alias("most"))
-        open_pairs = sides.filter("10 * most >= 6 * (n + m - most)").drop("most")
-        whole = open_pairs.join(side("id", "shingles"), ["id", "id_set"]).join(side("lead", "shingles"), ["lead", "lead_set"])
-        union = F.col("n") + F.col("m") - F.col("both")
-        tested = whole.select("lead", "id", "n", "m", F.size(F.array_intersect("id_shingles", "lead_shingles")).alias("both")).select(
-            "lead", "id", (F.col("both") * 100 >= union * 80).alias("linked"), (F.col("both") * 10 >= union * 6).alias("near")
-        )
-        tested = stage.put(tested.groupBy("lead", "id").agg(F.max("linked").alias("linked"), F.max("near").alias("near")), step)
-        links.append(tested.filter("linked").select("lead", "id"))
-        return tested
-
-    # First round: every group against its smallest id, which tells who is within 0.2 and 0.4 of it.
-    lead = postings.groupBy("gid").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    pairs = stage.put(postings.join(lead, "gid").filter("id <> lead").select("gid", "lead", "id"), "pairs")
-    tested = compared(pairs, "tested-0")
-    rest = pairs.join(tested, ["lead", "id"], "left").join(several, "id", "left")
-    place = F.when(F.col("several").isNotNull() | (F.col("near") & ~F.col("linked")), "near").when(F.col("linked"), "linked").otherwise("far")
-    postings = stage.put(rest.select("gid", "id", place.alias("place")), "postings-1")
-
-    turn, joining = 0, True
-    while True:
-        # What already hangs together need not be compared; nor sets within 0.2 and beyond 0.4 of the first.
+    def verified(pairs: DataFrame, step: str) -> DataFrame:
+        """The distinct pairs ``(lead, id)`` that do link, added to the links."""
+        leads = stage.put(pairs.select(F.col("lead").alias("id")).distinct(), f"{step}-leads")
+        one = pairs.join(found.select("id", "n", "shingles"), "id")
+        two = found.join(leads, "id", "left_semi").select(F.col("id").alias("lead"), F.col("n").alias("m"), F.col("shingles").alias("others"))
+        both = F.size(F.array_intersect("shingles", "others"))
+        linked = stage.put(one.join(two, "lead").filter(9 * both >= 4 * (F.col("n") + F.col("m"))).select("lead", "id").distinct(), step)
+        links.append(linked)
+        return linked
+
+    # First every group against its smallest id.
+    sides = postings.filter("id <> lead").select("lead", "id").join(maps, "id").join(maps.toDF("lead", "m", "lead_fine", "lead_coarse"), "lead")
+    n, m = F.col("n"), F.col("m")
+    sides = sides.filter(9 * F.least(n, m) >= 4 * (n + m))
+    band, lead_band = F.floor(F.log2(n) + 1e-12), F.floor(F.log2(m) + 1e-12)
+    one = F.when(band > lead_band, F.col("coarse")).otherwise(F.col("fine"))
+    two = F.when(lead_band > band, F.col("lead_coarse")).otherwise(F.col("lead_fine"))
+    sides = sides.select("lead", "id", n, m, F.least(n - _only_in(one, two), m - _only_in(two, one)).alias("most"))
+    verified(stage.put(sides.filter(9 * F.col("most") >= 4 * (n + m)).select("lead", "id").distinct(), "open-0"), "linked-0")
+
+    turn, partners, left = 0, PARTNERS, True
+    while left:
+        # What already hangs together need not be compared.
         turn += 1
         known = components(reduce(DataFrame.unionByName, links), "lead", "id", stage, f"round-{turn}")
         links[:] = [known.select(F.col("component").alias("lead"), F.col("node").alias("id")).filter("lead <> id")]
         here = postings.join(known.withColumnRenamed("node", "id"), "id", "left")
-        here = stage.put(here.select("gid", "id", "place", F.coalesce("component", "id").alias("part")), f"here-{turn}")
-        parts = here.groupBy("gid", "part").agg(F.count(F.lit(1)).alias("k"))
-        parts = parts.groupBy("gid").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        here = stage.put(here.join(parts.filter("parts > 1"), "gid"), f"open-{turn}")
-        if here.isEmpty():
+        here = stage.put(here.select(F.col("lead").alias("gid"), "id", "n", F.coalesce("component", "id").alias("part")), f"here-{turn}")
+        parts = here.groupBy("gid", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"))
+        largest = F.struct("k", "part")
+        parts = parts.groupBy("gid").agg(
+            F.max_by("part", largest).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.max("k").alias("k_main"),
+            F.sum("size").alias("size"), F.max_by("size", largest).alias("size_main"),
+        )
+        # A group of two has met in the first comparison.
+        blocks = lambda k, size: F.ceil(F.greatest(k / BLOCK_ROWS, size / BLOCK_SHINGLES))
+        parts = parts.filter("parts > 1 and k > 2").select(
+            "gid", "main", blocks(F.col("k") - F.col("k_main"), F.col("size") - F.col("size_main")).alias("blocks"), blocks(F.col("k"), F.col("size")).alias("pieces")
+        )
+        rows = stage.put(here.join(parts, "gid"), f"rows-{turn}")
+        size = rows.agg(F.sum(F.col("n") * (F.col("blocks") + F.col("pieces")))).first()[0]
+        if size is None:
             break
-        apart = F.array_sort(F.array("place", "lead_place")) == F.array(F.lit("far"), F.lit("linked"))
-        if joining:
-            # One set of the main part, another one each round, for all that are outside it.
-            main = here.filter("part = main").groupBy("gid").agg(F.min_by(F.struct("id", "place"), F.xxhash64("id", F.lit(turn))).alias("lead"))
-            pairs = here.filter("part <> main").join(main.select("gid", F.col("lead.id").alias("lead"), F.col("lead.place").alias("lead_place")), "gid").filter(~apart)
-            asked = pairs.select("lead", "id").distinct().count()
-            joining = compared(pairs, f"tested-{turn}").filter("linked").count() * JOINING >= max(asked, 1)
-            postings = here.select("gid", "id", "place")
-            continue
-        first = Window.partitionBy("gid").orderBy("id")
-        leads = here.filter("part <> main").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= LEADS)
-        leads = stage.put(leads.select("gid", F.col("id").alias("lead"), F.col("part").alias("lead_part"), F.col("place").alias("lead_place"), "rank"), f"leads-{turn}")
-        ranks = leads.select("gid", F.col("lead").alias("id"), F.col("rank").alias("own_rank"))
-        left = here.join(ranks, ["gid", "id"], "left")
-        pairs = left.join(leads, "gid").filter((F.col("part") != F.col("lead_part")) & ~apart & (F.col("own_rank").isNull() | (F.col("own_rank") > F.col("rank"))))
-        compared(pairs, f"tested-{turn}")
-        postings = stage.put(left.filter("own_rank is null").select("gid", "id", "place"), f"postings-{turn + 1}")
-        stage.drop(f"here-{turn}", f"leads-{turn}")
-    # A key with several texts stands in several classes.
-    links.append(member.filter("id <> rep").join(several, "id", "left_semi").select(F.col("rep").alias("lead"), "id"))
+        outer, block, piece = F.col("part") != F.col("main"), F.expr("pmod(xxhash64(id, 1), blocks)"), F.expr("pmod(xxhash64(id, 2), pieces)")
+        as_partner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b * F.col("pieces") + piece)
+        as_asked = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda p: block * F.col("pieces") + p)
+        units = rows.drop("n").join(maps, "id").withColumn("unit", F.explode(F.when(outer, F.array_union(as_asked, as_partner)).otherwise(as_partner)))
+        units = units.select(
+            F.pmod(F.xxhash64("gid", "unit"), F.lit(max(parallel, int(size // TASK_SHINGLES) + 1))).alias("cell"), "gid", "unit", "id", "part", "n", "fine", "coarse",
+            (outer & (F.expr("unit div pieces") == block)).alias("asked"), (F.expr("unit % pieces") == piece).alias("partner"), outer.alias("outer"),
+        )
+        met = stage.put(units.groupBy("cell").applyInArrow(_meeting(partners), "lead long, id long").distinct(), f"open-{turn}")
+        left = partners > 0 and not met.filter("id is null").isEmpty()
+        met = met.filter("id is not null")
+        linked = verified(met, f"linked-{turn}")
+        if left and linked.count() * JOINING < met.count():
+            partners = 0
+        stage.drop(f"here-{turn}", f"rows-{turn}")
+    # All texts of one key stand in one class.
+    several = member.groupBy("id").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead <> last").drop("last")
+    links.append(member.join(several, "id").filter("rep <> lead").select("lead", F.col("rep").alias("id")))
     edges = reduce(DataFrame.unionByName, links)
-    spread = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
-    edges = edges.unionByName(spread.select(F.col("a").alias("lead"), F.col("b").alias("id")))
     labels = components(edges, "lead", "id", stage)
     labels = stage.put(labels.withColumnRenamed("node", "rep"), "labels")
     joined = member.join(labels, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))

@@ -141,6 +141,38 @@ def test_ngram_join(spark, docs):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), want[i]) for i in texts}
 
 
+def test_ngram_join_in_blocks(spark, monkeypatch):
+    """Groups over many blocks: copies at all distances, a dense family beside its lead, a key of three texts."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 2)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(70)]
+    rows = [(1, " ".join(base))]
+
+    def edited(text, n):
+        text = list(text)
+        for _ in range(n):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        return text
+
+    for i in range(120):
+        rows.append((10 + i, " ".join(edited(base, rng.randint(1, 6)))))
+    beside = edited(base, 5)
+    rows += [(200 + i, " ".join(edited(beside, rng.choice([0, 1])))) for i in range(40)]
+    rows += [(300 + i, " ".join(base[:20] + [rng.choice(words) for _ in range(rng.randint(40, 60))])) for i in range(60)]
+    apart = [[f"{c}{i}" for i in range(30)] for c in "xyz"]
+    rows += [(400 + k, " ".join(a)) for k, a in enumerate(apart)] + [(410, " ".join(a)) for a in apart]
+    sets, links = near(dict(enumerate(t for _, t in rows)))
+    assert len(links) > 300
+    joined = {(rows[a][0], rows[b][0]) for a, b in links}
+    want = groups(joined, {i for i, _ in rows})
+    assert len(set(want.values())) > 60
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_bit_maps_never_hide_a_pair():
     """What the maps say two sets may share is at least what they share, in one band and in neighbouring ones."""
     rng = np.random.default_rng(3)
@@ -151,11 +183,11 @@ def test_bit_maps_never_hide_a_pair():
         if 10 * min(len(a), len(b)) < 6 * max(len(a), len(b)):
             continue
         maps = {}
-        for bits in (4, 2):
+        for bits in (8, 4):
             text, value = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b])
             maps[bits] = [np.array(x, np.int64).view(np.uint64) for x in ngram_join.bit_maps(text, value, np.array([len(a), len(b)]), bits).to_pylist()]
         band = [len(x).bit_length() for x in (a, b)]
-        one, two = (maps[2 if band[i] > band[1 - i] else 4][i] for i in (0, 1))
+        one, two = (maps[4 if band[i] > band[1 - i] else 8][i] for i in (0, 1))
         assert len(one) == len(two)
         only = [sum(int(x & ~y).bit_count() for x, y in zip(p, q)) for p, q in ((one, two), (two, one))]
         both = len(np.intersect1d(a, b))
