@@ -76,7 +76,7 @@ def t04(spark, sf):
 
 @query(
     "t05_size_flags",
-    """SELECT o_custkey, n, CASE WHEN n < 8 THEN 'tiny group (n=' || n || '): very low power, result is indicative' WHEN n < 20 THEN 'small group (n=' || n || ')' END AS flag
+    """SELECT o_custkey, n, CASE WHEN n < 8 THEN 'smallest group has ' || n || ' values: only strong effects can show' WHEN n < 20 THEN 'smallest group has ' || n || ' values' END AS flag
     FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)""",
 )
 def t05(spark, sf):
@@ -371,7 +371,7 @@ query(
 @query(
     "t29_compare_groups",
     """SELECT o_orderstatus, n_groups, group_sizes, 'anova' AS test, flags FROM (SELECT o_orderstatus, count(*) AS n_groups, string_agg(o_orderpriority || '=' || n, '; ' ORDER BY o_orderpriority) AS group_sizes,
-    'omnibus test: significance means ''at least one group differs'' — use pairwise_comparisons to locate it' AS flags
+    'says that groups differ, not which: see pairwise_comparisons' AS flags
     FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1)""",
 )
 def t29(spark, sf):

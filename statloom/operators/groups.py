@@ -48,7 +48,7 @@ def group_levels(rows: DataFrame, min_group_n: int, order: list[str] | None = No
         F.max(F.when(~low, F.col("n"))).alias("n_max"),
         F.array_join(names(~low, F.format_string("%s=%d", "grp", "n")), "; ").alias("group_sizes"),
         F.array_join(names(~low, F.col("grp")), " | ").alias("comparison"),
-        F.when(F.size(dropped) > 0, F.concat(F.lit("dropped below min_group_n: "), F.array_join(dropped, ", "))).alias("dropped"),
+        F.when(F.size(dropped) > 0, F.concat(F.lit("groups left out as too small: "), F.array_join(dropped, ", "))).alias("dropped"),
     )
     levels = stats.filter(~low).withColumn("pos", F.row_number().over(by_key(stats, by).orderBy("p"))).drop("p")
     return levels, summary
@@ -170,19 +170,19 @@ def variance_test(
     )
     ratio = F.col("max_var_ratio")
     enough = F.when(F.col("n_groups") >= 2, F.col("n_groups")).otherwise(
-        F.raise_error(F.lit(f"Need at least 2 groups with n ≥ {min_group_n}."))
+        F.raise_error(F.lit(f"two groups or more must have {min_group_n} values"))
     )
     note = {
-        "bartlett": F.lit("Bartlett assumes normality — verify it or use Levene"),
-        "levene": F.lit(f"center='{center}' trades robustness for power") if center != "median" else F.lit(None),
+        "bartlett": F.lit("Bartlett takes long tails for spread; Levene does not"),
+        "levene": F.lit(f"deviations from the {center}: sharper, but outliers weigh more") if center != "median" else F.lit(None),
     }.get(method, F.lit(None))
     flags = join_flags(
         F.col("dropped"),
         note.cast("string"),
-        say(ratio > 4, "variance ratio %.1f× — prefer Welch-type tests", ratio),
+        say(ratio > 4, "largest variance is %.1f times the smallest: compare by welch or welch_anova", ratio),
         say(
             (F.col("n_max") / F.col("n_min") > 1.5) & (ratio > 2),
-            "unequal n with unequal variance: the case that breaks ANOVA",
+            "groups differ in size and in spread: plain anova misjudges its p here",
         ),
         size_flag(F.col("n_min")),
     )

@@ -114,23 +114,23 @@ def normality_test(
     usable = (n >= 3) & ~flat
     critical = F.lit(None).cast("double")
     notes: list[Column] = [
-        say(n < 3, "n < 3: normality is untestable"),
-        say((n >= 3) & flat, "zero variance: constant column"),
+        say(n < 3, "fewer than 3 values: no test"),
+        say((n >= 3) & flat, "all values are equal: no test"),
     ]
     if method == "shapiro":
         out = m.join(shapiro_by(long, "value", ["column"], max_n, random_state), "column", "left")
         out = out.withColumn("n_used", F.coalesce(F.when(usable, F.col("n_used")), n))
-        notes.append(say(F.col("n_used") < n, f"subsampled to n={max_n} (seed={random_state})"))
+        notes.append(say(F.col("n_used") < n, f"tested on {max_n} sampled values, seed {random_state}"))
         stat, p = F.col("statistic"), F.col("p_value")
     elif method == "dagostino":
         out = m.withColumn("statistic", F.when(n >= 8, _dagostino(n, F.col("g1"), F.col("g2"))))
         stat, p = F.col("statistic"), dist.chi2_tail(F.col("statistic"), F.lit(2))
-        notes += [say(usable & (n < 8), "D'Agostino needs n ≥ 8")]
-        notes += [say(usable & (n >= 8) & (n < 20), "n < 20: D'Agostino p-value is approximate")]
+        notes += [say(usable & (n < 8), "fewer than 8 values: no D'Agostino test")]
+        notes += [say(usable & (n >= 8) & (n < 20), "fewer than 20 values: p is rough")]
     elif method == "jarque_bera":
         out = m.withColumn("statistic", n / 6 * (F.col("g1") ** 2 + F.col("g2") ** 2 / 4))
         stat, p = F.col("statistic"), dist.chi2_tail(F.col("statistic"), F.lit(2))
-        notes.append(say(usable & (n < 2000), "Jarque-Bera is asymptotic; unreliable below n≈2000"))
+        notes.append(say(usable & (n < 2000), "fewer than 2000 values: the chi-square law of Jarque-Bera is rough"))
     else:
         out = m.join(_anderson(long, m.filter("std > 0")), "column", "left")
         stat, p = F.col("statistic"), dist.column_function(dist.anderson_p)(F.col("statistic"), n)
@@ -146,8 +146,8 @@ def normality_test(
         .otherwise("")
     )
     notes += [
-        say(n > 5000, "large n: trivial deviations become 'significant'"),
-        say((n > 0) & (n < 20), "small n: low power to detect non-normality"),
+        say(n > 5000, "many values: even harmless deviations are found"),
+        say((n > 0) & (n < 20), "few values: only gross deviations are found"),
     ]
     skew, kurt = skew_kurtosis(n, F.col("g1"), F.col("g2"))
     return out.select(

@@ -457,7 +457,7 @@ def bootstrap_ci(
     named = isinstance(statistic, str)
     parts = isinstance(statistic, Mergeable)
     if named and statistic not in STATISTICS:
-        raise ValueError(f"statistic must be a callable or one of {STATISTICS}, got '{statistic}'.")
+        raise ValueError(f"unknown statistic '{statistic}'; give a Mergeable, a function or one of {STATISTICS}")
     group = F.col(group_col).cast("string") if group_col else F.lit("all")
     rows = df.select(group.alias("group"), finite(value_col).alias("value"))
     rows = rows.filter(F.col("group").isNotNull() & F.col("value").isNotNull())
@@ -477,9 +477,9 @@ def bootstrap_ci(
         out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ci_low", "ci_high")})
     ok = F.col("n") >= 2
     flags = join_flags(
-        say(~ok, "n < 2: no interval"),
+        say(~ok, "one value: no interval"),
         say(ok & (F.col("ci_low").isNull() | F.col("ci_high").isNull()), f"{method} {DEGENERATE_CI}"),
-        say(ok & (F.col("n") < 20), "small n (%d): interval is optimistic", F.col("n")),
+        say(ok & (F.col("n") < 20), "%d values only: the true interval is wider", F.col("n")),
     )
     return out.select(
         "group",
