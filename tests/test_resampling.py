@@ -180,7 +180,7 @@ def test_absorbed_controls(spark):
 
 def test_absorbing_leaves_nothing(spark):
     df = spark.createDataFrame([(f"f{i % 4}", float(i % 4), float(i)) for i in range(40)], "f string, x double, y double")
-    with pytest.raises(ValueError, match="explain one of the columns"):
+    with pytest.raises(ValueError, match="follows from the controls alone"):
         R.partial_correlation(df, "x", "y", ["f"])
 
 
@@ -205,5 +205,5 @@ def test_sparse_tables(spark):
         assert full.count() == o.size and full.filter("observed = 0").count() == (o == 0).sum()
         assert K.contingency_residuals(df, "a", "b", "contribution").agg(F.sum("residual")).first()[0] == pytest.approx(100)
     flat = spark.createDataFrame([("a", "x")] * 3, "a string, b string")
-    with pytest.raises(Exception, match="at least 2 levels"):
+    with pytest.raises(Exception, match="two levels or more"):
         K.association_test(flat, "a", "b").collect()
