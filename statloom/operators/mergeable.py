@@ -124,11 +124,11 @@ def _around(statistic: Mergeable, states: np.ndarray, outside: np.ndarray | None
 def _block_states(statistic: Mergeable, n_resamples: int, seed: int, keys: list[str], depth: int) -> Callable:
     """States of one block: replicate -1 is the sample itself."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
         values, counts = pdf["value"].to_numpy(float), pdf["n"].to_numpy(np.int64)
         label, block = [str(pdf[k].iloc[0]) for k in keys], int(pdf["block"].iloc[0])
-        mine, _ = resample._leaf_counts(pdf, depth, n_resamples, seed, label)
+        mine, _ = resample._leaf_counts(path, depth, n_resamples, seed, label)
         own = np.random.default_rng(resample._seed(seed, *label, "block", block))
         states = [statistic.partial(values, counts[None])]
         for lo, hi in resample._chunks(n_resamples, max(len(values), int(mine.max(initial=0)))):
@@ -162,19 +162,20 @@ def _leave_children(statistic: Mergeable, keys: list[str]) -> Callable:
 
 
 def _leave_values(statistic: Mergeable, keys: list[str]) -> Callable:
-    """(n, without): the statistic without one copy of each value of a block."""
+    """(n, mean, m2, m3) of a block's delete-one values: moments instead of a row per value."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
         values, counts = pdf["value"].to_numpy(float), pdf["n"].to_numpy(np.int64)
-        outside = pdf["outside"].iloc[0]
+        outside = others["outside"].iloc[0]
         runs = [slice(i, i + _RUN) for i in range(0, len(values), _RUN)]
         states = np.concatenate([statistic.partial(values[r], counts[r][None]) for r in runs])
         without = []
         for r, rest in zip(runs, _around(statistic, states, None if outside is None else np.asarray(outside, float))):
             left = statistic.partial(values[r], counts[r] - np.eye(len(values[r]), dtype=np.int64))
             without.append(statistic.finish(left if rest is None else statistic.merge(left, np.broadcast_to(rest, left.shape))))
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, "n": counts, "n_total": pdf["n_total"], "without": np.concatenate(without)})
+        n, mean, m2, m3 = _moments(np.concatenate(without), counts[None])[0]
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "n": n, "n_total": pdf["n_total"].iloc[0], "mean": mean, "m2": m2, "m3": m3}])
 
     return run
 
@@ -188,10 +189,9 @@ def estimates_and_replicates(
     """
     types = {f.name: f.dataType.simpleString() for f in ranked.schema}
     key = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    rows, depth = resample._tree_blocks(ranked, keys)
-    rows = settle(rows)
+    rows, paths, depth = resample._tree_blocks(ranked.select(*keys, "value", "n", "n_below", "n_total"), keys)
     schema = f"{key}, block long, rep long, state array<double>"
-    levels = [settle(rows.groupBy(*keys, "block").applyInPandas(_block_states(statistic, n_resamples, seed, keys, depth), schema))]
+    levels = [settle(resample.per_block(rows, paths, keys, _block_states(statistic, n_resamples, seed, keys, depth), schema))]
     for _ in range(depth):
         up = levels[-1].withColumns({"parent": F.expr(f"block div {resample.MAX_BLOCKS}"), "_reps": F.expr("rep div 100")})
         levels.append(settle(up.groupBy(*keys, "parent", "_reps").applyInPandas(_merge_children(statistic, keys), schema)))
@@ -206,12 +206,15 @@ def estimates_and_replicates(
         down = level.filter("rep = -1").withColumn("parent", F.expr(f"block div {resample.MAX_BLOCKS}"))
         down = down.join(outside.withColumnRenamed("block", "parent"), [*keys, "parent"])
         outside = down.groupBy(*keys, "parent").applyInPandas(_leave_children(statistic, keys), f"{key}, block long, outside array<double>")
-    left = rows.select(*keys, "block", "value", "n", "n_total").join(outside, [*keys, "block"])
-    left = left.groupBy(*keys, "block").applyInPandas(_leave_values(statistic, keys), f"{key}, n long, n_total long, without double")
-    left = settle(left)
+    moments = f"{key}, n double, n_total long, mean double, m2 double, m3 double"
+    left = settle(resample.per_block(rows, outside, keys, _leave_values(statistic, keys), moments))
     n, total = F.col("n"), F.col("n_total").cast("double")
-    middle = left.groupBy(*keys).agg((F.sum(n * F.col("without")) / F.sum("n")).alias("middle"))
-    d = (total - 1) * (F.col("middle") - F.col("without")) / total
-    bent = left.join(middle, keys).groupBy(*keys).agg(F.max("n_total").alias("n"), F.sum(n * d**2).alias("u2"), F.sum(n * d**3).alias("u3"))
+    middle = left.groupBy(*keys).agg((F.sum(n * F.col("mean")) / F.sum(n)).alias("middle"))
+    off = F.col("mean") - F.col("middle")
+    # The sums are taken around each block's mean and moved to the mean of all.
+    square = F.col("m2") + n * off**2
+    cube = F.col("m3") + 3 * off * F.col("m2") + n * off**3
+    share = (total - 1) / total
+    bent = left.join(middle, keys).groupBy(*keys).agg(F.max("n_total").alias("n"), F.sum(share**2 * square).alias("u2"), F.sum(-(share**3) * cube).alias("u3"))
     found = thetas.filter("rep = -1").select(*keys, F.col("theta").alias("theta_hat"))
     return bent.join(found, keys), thetas.filter("rep >= 0")

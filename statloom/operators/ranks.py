@@ -20,6 +20,9 @@ from statloom.operators.stage import shared_folder
 
 MAX_BUCKETS = 1024
 SAMPLE_PER_BUCKET = 64
+#: Rows of a per-key frame up to which each task gets all of it, and the parts of a key beyond.
+SENT_ALONG = 50_000
+PARTS_OF_KEY = 16
 
 
 def histogram(df: DataFrame, value: str, by: list[str] = (), **counts: Column) -> DataFrame:
@@ -40,6 +43,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def attach(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a settled frame of one row per key to rows of which one key may hold most.
+
+    A join by key would sort a key's rows in one task, and adaptive execution keeps to it where few
+    partitions hold rows. A small frame is sent to every task instead; beside a larger one the rows
+    of a key are spread by their hash over parts that each meet a copy of the key's row.
+    """
+    if few.limit(SENT_ALONG + 1).count() <= SENT_ALONG:
+        return rows.join(F.broadcast(few), keys, how)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS_OF_KEY - 1))).alias("_part")
+    spread = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS_OF_KEY)).cast("int"))
+    return spread.join(few.select("*", parts), [*keys, "_part"], how).drop("_part")
+
+
 def bucket_count(df: DataFrame) -> int:
     parts = max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return 2 ** math.ceil(math.log2(parts))

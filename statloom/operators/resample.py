@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from statloom.functions import dist
 from statloom.functions.labels import DEGENERATE_CI, check_confidence, join_flags, say
 from statloom.functions.numeric import finite
-from statloom.operators.ranks import bucket_count, cumulate, histogram, quantile_at, settle
+from statloom.operators.ranks import attach, bucket_count, cumulate, histogram, quantile_at, settle
 
 # Observations per leaf block, and the branches of the tree of blocks above them.
 BLOCK_ROWS = 20_000
@@ -71,12 +71,12 @@ def _order_indexes(statistic: str, n: int) -> list[int]:
     return sorted({(n - 1) // 2, n // 2})
 
 
-def _tree_blocks(ranked: DataFrame, keys: list[str], whole: Column | None = None) -> tuple[DataFrame, int]:
+def _tree_blocks(ranked: DataFrame, keys: list[str], whole: Column | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Blocks of about BLOCK_ROWS observations as leaves of a tree with MAX_BLOCKS branches.
 
-    Every row gets its leaf and, per level, the sizes of the branches it was chosen from:
-    enough to repeat the draws that lead to the leaf. Keys that are ``whole`` get one block.
-    Returns the rows and the depth.
+    Returns the rows with their leaf, the path of every leaf and the depth. A path, one row per
+    leaf, holds for each level the sizes of the branches that were chosen from: enough to repeat
+    the draws that lead to the leaf. Keys that are ``whole`` get one block.
     """
     largest = ranked.agg(F.max("n_total")).first()[0] or 1
     depth = 1
@@ -86,17 +86,25 @@ def _tree_blocks(ranked: DataFrame, keys: list[str], whole: Column | None = None
     parts = parts if whole is None else F.when(whole, 1).otherwise(parts)
     leaf = F.floor(F.col("n_below").cast("decimal(38,0)") * parts / F.col("n_total")).cast("long")
     rows = ranked.withColumn("block", leaf)
-    sizes = rows.groupBy(*keys, "block").agg(F.sum("n").alias("m"))
+    sizes = settle(rows.groupBy(*keys, "block").agg(F.sum("n").alias("m")))
+    paths = sizes.drop("m")
     for level in range(depth):
         branch = (F.col("block") / MAX_BLOCKS ** (depth - 1 - level)).cast("long")
         parent = (F.col("block") / MAX_BLOCKS ** (depth - level)).cast("long") if level else F.lit(0).cast("long")
         at = sizes.select(*keys, parent.alias("_parent"), branch.alias("branch"), "m")
         at = at.groupBy(*keys, "_parent", "branch").agg(F.sum("m").alias("m"))
         at = at.groupBy(*keys, "_parent").agg(F.sort_array(F.collect_list(F.struct("branch", "m"))).alias(f"sizes{level}"))
-        rows = rows.withColumn("_parent", parent).join(at, [*keys, "_parent"]).drop("_parent")
+        paths = paths.withColumn("_parent", parent).join(at, [*keys, "_parent"]).drop("_parent")
     # A fixed partition count: the blocks are heavy to draw from but small in bytes, and would
     # otherwise be coalesced into one task.
-    return rows.repartition(bucket_count(rows), *keys, "block"), depth
+    tasks = bucket_count(rows)
+    return rows.repartition(tasks, *keys, "block"), paths.repartition(tasks, *keys, "block"), depth
+
+
+def per_block(rows: DataFrame, paths: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
+    """``run(rows of a block, its path)`` for every block: sizes of branches travel once a block, not with every row."""
+    # New names of the same columns, as both sides may come from one frame.
+    return rows.groupBy(*keys, "block").cogroup(paths.toDF(*paths.columns).groupBy(*keys, "block")).applyInPandas(run, schema)
 
 
 def _with_replacement(rng: np.random.Generator, sizes: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -168,17 +176,17 @@ def _log_rise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _leaf_counts(
-    pdf: pd.DataFrame, depth: int, n_resamples: int, seed: int, label: list[str], draws: int | None = None,
+    path: pd.DataFrame, depth: int, n_resamples: int, seed: int, label: list[str], draws: int | None = None,
     split: Callable = _with_replacement, name: str = "level",
 ) -> tuple[np.ndarray, np.ndarray]:
     """(draws that fall into this leaf, draws that fall before it) for every replicate.
 
     ``draws`` observations are drawn per replicate, by default as many as there are.
     """
-    leaf = int(pdf["block"].iloc[0])
+    leaf = int(path["block"].iloc[0])
     mine = before = None
     for level in range(depth):
-        sizes = [(s["branch"], s["m"]) for s in pdf[f"sizes{level}"].iloc[0]]
+        sizes = [(s["branch"], s["m"]) for s in path[f"sizes{level}"].iloc[0]]
         weights = np.array([m for _, m in sizes], np.int64)
         branch = leaf // MAX_BLOCKS ** (depth - 1 - level)
         me = [b for b, _ in sizes].index(branch)
@@ -192,13 +200,13 @@ def _leaf_counts(
 
 
 def _bootstrap_block(statistic: str, n_resamples: int, seed: int, keys: list[str], depth: int) -> Callable:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
         values = pdf["value"].to_numpy(float)
         counts = pdf["n"].to_numpy(np.int64)
         n = int(pdf["n_total"].iloc[0])
         label = [str(pdf[k].iloc[0]) for k in keys]
-        mine, before = _leaf_counts(pdf, depth, n_resamples, seed, label)
+        mine, before = _leaf_counts(path, depth, n_resamples, seed, label)
         own = np.random.default_rng(_seed(seed, *label, "block", int(pdf["block"].iloc[0])))
         out = []
         for lo, hi in _chunks(n_resamples, max(len(values), int(mine.max(initial=0)))):
@@ -236,16 +244,16 @@ def bootstrap_replicates(
     keys = list(keys)
     # Sums of squares are taken around the key's mean, or large offsets would cancel.
     centre = ranked.groupBy(*keys).agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("c"))
-    ranked = ranked.join(centre, keys) if keys else ranked.withColumn("c", centre.scalar())
-    rows, depth = _tree_blocks(ranked, keys)
+    if keys:
+        centre = settle(centre)
+    ranked = attach(ranked, centre, keys) if keys else ranked.withColumn("c", centre.scalar())
+    rows, paths, depth = _tree_blocks(ranked, keys)
     linear = statistic in ("mean", "sum", "var", "std")
     if linear:
         rows = rows.withColumn("value", F.col("value") - F.col("c"))
     types = {f.name: f.dataType.simpleString() for f in ranked.schema}
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["rep int, idx long, w double, s1 double, s2 double"])
-    parts = rows.groupBy(*keys, "block").applyInPandas(
-        _bootstrap_block(statistic, n_resamples, seed, keys, depth), schema
-    )
+    parts = per_block(rows, paths, keys, _bootstrap_block(statistic, n_resamples, seed, keys, depth), schema)
     if not linear:
         return parts.groupBy(*keys, "rep").agg(F.avg("s1").alias("theta"))
     sums = parts.groupBy(*keys, "rep").agg(F.sum("w").alias("w"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
@@ -289,11 +297,11 @@ def estimates_and_jackknife(ranked: DataFrame, statistic: str, keys: list[str] =
         _value_at(F.lit(1)).alias("lo2"),
         _value_at(total - 2).alias("hi2"),
     )
-    rows = ranked.join(base, keys) if keys else _attach_row(ranked, base)
+    rows = attach(ranked, settle(base), keys) if keys else _attach_row(ranked, base)
     c = v - F.col("m")
     spread = F.sum(n * c * c)
     ss = rows.groupBy(*keys).agg(spread.alias("ss"))
-    rows = rows.join(ss, keys) if keys else _attach_row(rows, ss)
+    rows = attach(rows, settle(ss), keys) if keys else _attach_row(rows, ss)
     nn, med = F.col("nn"), F.col("med")
     # Rows at the middle position count as deletions from within; copies of one value are alike.
     even = F.pmod(nn, F.lit(2)) == 0
@@ -316,7 +324,7 @@ def estimates_and_jackknife(ranked: DataFrame, statistic: str, keys: list[str] =
     }[statistic]
     rows = rows.withColumn("theta_i", without)
     mid = rows.groupBy(*keys).agg((F.sum(n * F.col("theta_i")) / F.sum("n")).alias("mid"))
-    rows = rows.join(mid, keys) if keys else _attach_row(rows, mid)
+    rows = attach(rows, settle(mid), keys) if keys else _attach_row(rows, mid)
     d = (nn - 1) * (F.col("mid") - F.col("theta_i"))
     theta = {
         "mean": F.first("m"),
@@ -347,7 +355,7 @@ def intervals(
 ) -> DataFrame:
     """(keys…, theta_hat, n, ci_low, ci_high, se) from replicates and (u2, u3) of the estimate."""
     keys = list(keys)
-    joined = reps.join(estimates, keys) if keys else _attach_row(reps, estimates)
+    joined = attach(reps, settle(estimates), keys) if keys else _attach_row(reps, estimates)
     alpha = (1 - confidence) / 2
     share = F.avg(
         F.when(F.col("theta") < F.col("theta_hat"), 1.0).when(F.col("theta") == F.col("theta_hat"), 0.5).otherwise(0.0)
@@ -531,7 +539,7 @@ def difference_ci(
 
 
 def _shuffle_block(n_resamples: int, seed: int, keys: list[str], depth: int) -> Callable:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
         values = pdf["value"].to_numpy(float)
         counts = pdf["n"].to_numpy(np.int64)
@@ -542,7 +550,7 @@ def _shuffle_block(n_resamples: int, seed: int, keys: list[str], depth: int) ->
             sums = np.array([every[list(c)].sum() for c in itertools.combinations(range(total), n_draw)])
         else:
             label = [str(pdf[k].iloc[0]) for k in keys]
-            mine, _ = _leaf_counts(pdf, depth, n_resamples, seed, label, n_draw, _without_replacement, "shuffle")
+            mine, _ = _leaf_counts(path, depth, n_resamples, seed, label, n_draw, _without_replacement, "shuffle")
             own = np.random.default_rng(_seed(seed, *label, "shuffle", "block", int(pdf["block"].iloc[0])))
             if total <= 8 * len(counts):
                 # Few copies per value: picking observations is cheaper than one draw per value.
@@ -597,12 +605,13 @@ def permutation_p(
         (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("c"), F.sum("n").alias("nn"),
     )
     shape = shape.withColumn("ways", _ways(F.col("nn"), F.col("n_draw")))
-    rows = pooled.join(shape.select(*keys, "n_draw", "c", "ways"), keys)
+    shape = settle(shape)
+    rows = attach(pooled, shape.select(*keys, "n_draw", "c", "ways"), keys)
     exact = F.col("ways") <= n_resamples
-    rows, depth = _tree_blocks(rows.withColumn("value", F.col("value") - F.col("c")), keys, exact)
+    rows, paths, depth = _tree_blocks(rows.withColumn("value", F.col("value") - F.col("c")), keys, exact)
     types = {f.name: f.dataType.simpleString() for f in pooled.schema}
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["rep int, s double"])
-    parts = rows.groupBy(*keys, "block").applyInPandas(_shuffle_block(n_resamples, seed, keys, depth), schema)
+    parts = per_block(rows, paths, keys, _shuffle_block(n_resamples, seed, keys, depth), schema)
     reps = parts.groupBy(*keys, "rep").agg(F.sum("s").alias("s"))
     shape = shape.withColumns({"obs": F.col("s_obs") - F.col("n_draw") * F.col("c"), "exact": exact})
     return _tail_p(reps.join(shape.select(*keys, "obs", "exact"), keys), alternative, keys)
@@ -617,7 +626,7 @@ def sign_flip_p(hist: DataFrame, n_resamples: int, seed: int, alternative: str)
     """
     exact = F.pow(F.lit(2.0), F.col("n_total")) <= n_resamples
     ranked = cumulate(hist.select("dev", "n"), "dev")
-    rows, _ = _tree_blocks(ranked, [], exact)
+    rows, _, _ = _tree_blocks(ranked, [], exact)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dev")

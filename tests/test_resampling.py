@@ -12,6 +12,7 @@ from statloom.operators import categorical as K
 from statloom.operators import compare as C
 from statloom.operators import correlation as R
 from statloom.operators import mergeable as M
+from statloom.operators import ranks
 from statloom.operators import resample as B
 
 
@@ -207,3 +208,27 @@ def test_sparse_tables(spark):
     flat = spark.createDataFrame([("a", "x")] * 3, "a string, b string")
     with pytest.raises(Exception, match="two levels or more"):
         K.association_test(flat, "a", "b").collect()
+
+
+def test_sizes_of_branches_travel_once_a_block(spark, monkeypatch):
+    """Rows of a block carry no lists of sizes; there is one path for each leaf, of at most MAX_BLOCKS a level."""
+    small_tree(monkeypatch)
+    v = np.round(np.random.default_rng(13).gamma(1.5, size=900), 2)
+    ranked = B.settle(B.cumulate(B.histogram(spark.createDataFrame(pd.DataFrame({"g": "a", "value": v})), "value", ["g"]), "value", by=["g"]))
+    rows, paths, depth = B._tree_blocks(ranked, ["g"])
+    assert not [f.name for f in rows.schema if f.dataType.typeName() == "array"] and depth == 3
+    found = paths.toPandas()
+    assert len(found) == found["block"].nunique() == rows.select("block").distinct().count() > 25
+    assert max(len(x) for level in range(depth) for x in found[f"sizes{level}"]) <= 5
+
+
+@pytest.mark.parametrize("sent", [50_000, 1])
+def test_attach_keeps_a_key_that_holds_most_spread(spark, monkeypatch, sent):
+    monkeypatch.setattr(ranks, "SENT_ALONG", sent)
+    rows = spark.range(2000).select(F.when(F.col("id") < 1900, "a").when(F.col("id") < 1990, "b").otherwise("c").alias("k"), "id").repartition(8)
+    few = spark.createDataFrame([("a", 1), ("b", 2), ("d", 4)], "k string, m long")
+    got = ranks.attach(rows, few, ["k"])
+    assert sorted(map(tuple, got.collect())) == sorted([("a", i, 1) for i in range(1900)] + [("b", i, 2) for i in range(1900, 1990)])
+    assert sorted(r.id for r in ranks.attach(rows, few.select("k"), ["k"], "left_semi").collect()) == list(range(1990))
+    if sent > 1:
+        assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1000
