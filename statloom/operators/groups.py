@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statloom.functions import dist
 from statloom.functions.labels import decision, join_flags, say, size_flag
 from statloom.functions.numeric import finite, require_columns
-from statloom.operators.ranks import cumulate, histogram, quantile_at, settle
+from statloom.operators.ranks import attach, cumulate, histogram, quantile_at, settle
 
 
 def by_key(df: DataFrame, by: list[str]) -> Window:
@@ -55,7 +55,7 @@ def group_levels(rows: DataFrame, min_group_n: int, order: list[str] | None = No
 
 
 def keep_groups(rows: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame:
-    return rows.join(levels.select(*by, "grp"), [*by, "grp"], "left_semi")
+    return attach(rows, levels.select(*by, "grp"), [*by, "grp"], "left_semi")
 
 
 def trim_weight(share: float) -> Column:
@@ -70,14 +70,14 @@ def centred_deviations(rows: DataFrame, center: str, by: list[str] = ()) -> Data
     keys = [*by, "grp"]
     hist = histogram(rows, "value", keys)
     if center == "mean":
-        ranked = hist.withColumn("w", F.col("n"))
+        ranked = settle(hist).withColumn("w", F.col("n"))
     else:
         ranked = settle(cumulate(hist, "value", by=keys))
         # Trimmed centring cuts 5 % off both tails of the sample itself.
         ranked = ranked.withColumn("w", trim_weight(0.05) if center == "trimmed" else F.col("n"))
     mid = quantile_at(0.5, "value") if center == "median" else F.sum(F.col("w") * F.col("value")) / F.sum("w")
-    centres = ranked.groupBy(*keys).agg(mid.alias("centre"))
-    out = ranked.join(centres, keys).withColumn("dev", F.abs(F.col("value") - F.col("centre")))
+    centres = settle(ranked.groupBy(*keys).agg(mid.alias("centre")))
+    out = attach(ranked, centres, keys).withColumn("dev", F.abs(F.col("value") - F.col("centre")))
     return out.filter("w > 0").select(*keys, "dev", "w")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from statloom.functions import dist
 from statloom.functions.labels import KEEP, REJECT, decision, join_flags, say
 from statloom.functions.numeric import melt, numeric_columns
-from statloom.operators.ranks import cumulate, histogram, settle
+from statloom.operators.ranks import attach, cumulate, histogram, settle
 from statloom.operators.resample import fixed_size_sample
 
 # Fixed value: most observations the Shapiro-Wilk approximation is defined for.
@@ -75,7 +75,7 @@ def _anderson(long: DataFrame, moments: DataFrame) -> DataFrame:
     contributes its log terms with the summed weights Σ(2i-1) over i = b+1 … b+t.
     """
     ranked = cumulate(histogram(long, "value", ["column"]), "value", by=["column"])
-    rows = ranked.join(moments.select("column", "mean", "std"), "column")
+    rows = attach(ranked, settle(moments.select("column", "mean", "std")), ["column"])
     z = (F.col("value") - F.col("mean")) / F.col("std")
     phi, upper = dist.normal_cdf(z), dist.normal_tail(z)
     b, t, n = (F.col(c).cast("double") for c in ("n_below", "n_tied", "n_total"))

@@ -15,7 +15,7 @@ from statloom.functions import dist
 from statloom.functions.calendar import frequency
 from statloom.functions.numeric import correlation, finite, melt, numeric_columns
 from statloom.operators import resample
-from statloom.operators.ranks import cumulate, histogram, quantile_at, settle
+from statloom.operators.ranks import attach, cumulate, histogram, quantile_at, settle
 from statloom.operators.resample import _attach_row
 
 
@@ -158,7 +158,7 @@ def box_stats(df: DataFrame, value: str, group: str | None = None, whis: float =
         quantile_at(0.25, "value").alias("q1"), quantile_at(0.5, "value").alias("median"), quantile_at(0.75, "value").alias("q3"),
     )
     reach = whis * (F.col("q3") - F.col("q1"))
-    joined = ranked.select("group", "value", "n").join(q, "group")
+    joined = attach(ranked.select("group", "value", "n"), settle(q), ["group"])
     low, high = v >= F.col("q1") - reach, v <= F.col("q3") + reach
     out = joined.groupBy("group").agg(
         F.first("n_rows").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
