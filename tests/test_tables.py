@@ -337,3 +337,16 @@ def test_sources_merge_column_by_column(spark):
     assert got == {"p": ("P", 5, 1.5, 3, 1), "q": ("A", None, None, 2, 1), "r": ("R", 7, None, 1, 0)}
     assert R.merge_sources([a.limit(0), b.limit(0)], ["id"]).columns == ["id", "name", "n", "n_sources", "n_conflicts"]
     assert R.merge_sources([a.limit(0)], ["id"]).count() == 0
+
+
+def test_pages_become_objects_a_few_at_a_time(spark, monkeypatch):
+    """Results do not depend on where an Arrow batch is cut, and no part holds more pages than asked for."""
+    from statloom.sources import pages as P
+
+    monkeypatch.setattr(P, "PAGES_AT_A_TIME", 3)
+    html = "<table id='t'><tr><td data-stat='a'>{0}</td><td data-stat='b'></td></tr></table>"
+    df = spark.createDataFrame([(i, html.format(i)) for i in range(10)] + [(10, None), (11, "")], "page_id long, html string").coalesce(1)
+    rows = {(r.page_id, r.row_no): dict(r.cells) for r in P.stat_table_rows(df, "t").collect()}
+    assert rows == {(i, 0): {"a": str(i), "b": None} for i in range(10)}
+    scanned = P.scan_pages(df, ["t"]).collect()
+    assert len(scanned) == 12 and all(r.bio is None and dict(r.career) == {} for r in scanned)
