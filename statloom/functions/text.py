@@ -29,11 +29,13 @@ TOTAL_TEAM_ID = "tot"
 
 # Java's \s is ASCII only unless (?U) is set; the control separators are added by hand.
 _SPACE = r"(?U)[\s\x1c-\x1f]"
+#: The same characters one by one: trimming a set looks at the ends only, a pattern at every character.
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
@@ -46,7 +48,8 @@ def to_int(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    return strip(c.cast("string")).try_cast("double")
+    # An empty cell is left out by itself: reading it as a number costs an exception.
+    return F.nullif(strip(c.cast("string")), F.lit("")).try_cast("double")
 
 
 def clean_text(c: Column) -> Column:
@@ -76,9 +79,8 @@ def normalize_ids(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def to_team_id(c: Column) -> Column:
     """Read a missing team, 'TOT' and '2TM', '3TM', … all as the combined line 'tot'."""
-    ident = clean_id(c)
-    combined = ident.isNull() | (ident == TOTAL_TEAM_ID) | ident.rlike(r"^\d+tm$")
-    return F.when(combined, F.lit(TOTAL_TEAM_ID)).otherwise(ident)
+    # One expression, so that the id is cleaned once.
+    return F.coalesce(F.regexp_replace(clean_id(c), r"^\d+tm$", TOTAL_TEAM_ID), F.lit(TOTAL_TEAM_ID))
 
 
 def _repair_text(text: str, max_passes: int) -> str:

@@ -23,6 +23,10 @@ SAMPLE_PER_BUCKET = 64
 #: Rows of a per-key frame up to which each task gets all of it, and the parts of a key beyond.
 SENT_ALONG = 50_000
 PARTS_OF_KEY = 16
+#: Keys are counted by so many parts of their hash; a part with more rows than this, and than twice
+#: the usual beside, is busy. Which parts are busy changes no result.
+KEY_PARTS = 16_384
+BUSY_ROWS = 100_000
 
 
 def histogram(df: DataFrame, value: str, by: list[str] = (), **counts: Column) -> DataFrame:
@@ -57,6 +61,22 @@ def attach(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner")
     return spread.join(few.select("*", parts), [*keys, "_part"], how).drop("_part")
 
 
+def split_busy(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose keys one task can sort, rows of parts of the key hash that hold too many or None).
+
+    Only the counts per part are shuffled, so a table without a large key is read once more and no
+    wide row moves for it.
+    """
+    part = F.pmod(F.xxhash64(*by), F.lit(KEY_PARTS)).cast("int")
+    sizes = rows.groupBy(part.alias("part")).count().agg(F.sum("count").alias("n"), F.collect_list(F.struct("part", "count")).alias("all"))
+    limit = BUSY_ROWS + 2 * F.col("n") / KEY_PARTS
+    large = sizes.select(F.filter("all", lambda x: x["count"] > limit)["part"].alias("large")).first()["large"]
+    if not large:
+        return rows, None
+    busy = part.isin(large)
+    return rows.filter(~busy), rows.filter(busy)
+
+
 def bucket_count(df: DataFrame) -> int:
     parts = max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return 2 ** math.ceil(math.log2(parts))

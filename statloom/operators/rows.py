@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.text import TOTAL_TEAM_ID, clean_id, position_code, split_positions, strip
-from statloom.operators.ranks import row_place
+from statloom.operators.ranks import row_place, split_busy
 
 SOURCE_ROW = "_src_row"
 
@@ -37,23 +37,36 @@ def drop_league_average_rows(df: DataFrame, player_id: str) -> tuple[DataFrame,
     return drop_blank_key(df, player_id), dropped
 
 
-def add_stint_columns(df: DataFrame, season: str, player: str, team: str, source_row: list[str] = (SOURCE_ROW,)) -> DataFrame:
+def add_stint_columns(
+    df: DataFrame, season: str, player: str, team: str, source_row: list[str] = (SOURCE_ROW,), tie: str | None = None
+) -> DataFrame:
     """Number a player's clubs within a season and mark one row per player-season as primary.
 
     The combined line (team 'tot') gets stint 0 and is primary where it exists; otherwise the
     first club is. ``source_row`` gives the order the source lists the rows in; rows tied in it are
-    ordered by a hash of their values, so that every club has a stint of its own.
+    ordered by a hash of their values (or by the column ``tie``), so that every club has a stint of its own.
     """
     rows = df.withColumn("_combined", F.coalesce(F.col(team) == TOTAL_TEAM_ID, F.lit(False)))
-    # Ordered buckets over (key, order) spread a key of any size; tied rows get places of their own.
+    usual, busy = split_busy(rows, [season, player])
+    # The combined line comes first, so running values know of it on every row: one exchange, one sort,
+    # which compares players first as they differ more than seasons.
+    order = [F.desc("_combined"), *[F.col(c) for c in source_row], F.col(tie) if tie else F.xxhash64(*rows.columns)]
+    upto = Window.partitionBy(player, season).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = usual.withColumns({"_has": F.max("_combined").over(upto), "_place": F.sum((~F.col("_combined")).cast("int")).over(upto)})
+    if busy is not None:
+        placed = placed.unionByName(_placed_in_buckets(busy, season, player, [*source_row, *([tie] if tie else [])]))
+    out = placed.withColumn("stint", F.when(F.col("_combined"), F.lit(0)).otherwise(F.col("_place").cast("int")))
+    primary = F.col("_combined") | (~F.col("_has") & (F.col("stint") == 1))
+    return out.withColumn("is_primary", primary).drop("_combined", "_has", "_place")
+
+
+def _placed_in_buckets(rows: DataFrame, season: str, player: str, source_row: list[str]) -> DataFrame:
+    """Rows of keys of any size with ``_has`` and ``_place``: ordered buckets over (key, order) spread them."""
     order = [F.col(c).alias(f"o{i}") for i, c in enumerate(source_row)]
     placed = row_place(rows, order, [season, player, "_combined"], "_place")
     has = rows.groupBy(F.col(season).alias("_s"), F.col(player).alias("_p")).agg(F.max("_combined").alias("_has"))
     same = F.col(season).eqNullSafe(F.col("_s")) & F.col(player).eqNullSafe(F.col("_p"))
-    out = placed.join(has, same).drop("_s", "_p")
-    out = out.withColumn("stint", F.when(F.col("_combined"), F.lit(0)).otherwise(F.col("_place").cast("int")))
-    primary = F.col("_combined") | (~F.col("_has") & (F.col("stint") == 1))
-    return out.withColumn("is_primary", primary).drop("_combined", "_has", "_place")
+    return placed.join(has, same).drop("_s", "_p")
 
 
 def collect_keys(tables: list[DataFrame], key: str, out: str | None = None) -> DataFrame:

@@ -17,27 +17,32 @@ def _prepared(raw: DataFrame, renames: dict[str, str], season: str = "season") -
     return df.withColumn(season, X.to_season_end_year(F.col(season)))
 
 
-def _with_stints(raw: DataFrame, renames: dict[str, str], extra_text: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Common part of the per-season player tables: ids, folded team codes, stints."""
+def _with_stints(raw: DataFrame, renames: dict[str, str], extra_text: list[str], numbers: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Common part of the per-season player tables: ids, folded team codes, numbers, stints.
+
+    Cells are read before the rows are numbered: what follows the exchange may run twice, as a sort
+    looks at its input first. Ties are told apart by the cells as they came.
+    """
     if R.SOURCE_ROW not in raw.columns:
         raw = R.with_source_row(raw)
-    df = _prepared(raw, renames)
+    df = _prepared(raw.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])), renames)
     df, dropped = R.drop_league_average_rows(df, "player_id")
     df = X.normalize_text(df, ["player_id", "team_id", *extra_text])
     df = df.withColumns({"player_id": X.clean_id(F.col("player_id")), "team_id": X.to_team_id(F.col("team_id"))})
-    return R.add_stint_columns(df, "season", "player_id", "team_id"), dropped
+    for dtype in dict.fromkeys(numbers.values()):
+        df = X.coerce_numbers(df, [c for c, kind in numbers.items() if kind == dtype], dtype)
+    return R.add_stint_columns(df, "season", "player_id", "team_id", tie="_tie").drop("_tie"), dropped
 
 
 def player_season_stats(raw: DataFrame) -> DataFrame:
-    df, _ = _with_stints(raw, C.PLAYER_STATS, ["position"])
     counts = [c for c in C.PLAYER_SEASON_STATS[5:] if c not in (*C.PERCENTAGES, "position")]
-    df = X.coerce_numbers(X.coerce_numbers(df, counts), C.PERCENTAGES, "double")
+    numbers = dict.fromkeys(counts, "int") | dict.fromkeys(C.PERCENTAGES, "double")
+    df, _ = _with_stints(raw, C.PLAYER_STATS, ["position"], numbers)
     return R.project_sorted(df, C.PLAYER_SEASON_STATS, ["season", "rank", "player_id", "stint"])
 
 
 def player_advanced_stats(raw: DataFrame) -> DataFrame:
-    df, _ = _with_stints(raw, {"team": "team_id"}, [])
-    df = X.coerce_numbers(df, C.ADVANCED_METRICS, "double")
+    df, _ = _with_stints(raw, {"team": "team_id"}, [], dict.fromkeys(C.ADVANCED_METRICS, "double"))
     columns = ["season", "player_id", "stint", "is_primary", "team_id", *C.ADVANCED_METRICS]
     return R.project_sorted(df, columns, ["season", "player_id", "stint"])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.operators import quality as D
+from statloom.operators import ranks
 from statloom.operators import rows as R
 from statloom.plans import builders as B
 from statloom.plans import marts as M
@@ -49,6 +50,27 @@ def test_stints_of_one_huge_key(spark):
     assert [(r["stint"], r["is_primary"]) for r in rest] == [(0, True), (1, False), (1, True)]
 
 
+def test_stints_of_busy_keys_by_buckets(spark, monkeypatch):
+    df = spark.range(600).select(
+        (F.col("id") % 2).cast("int").alias("s"), F.when(F.col("id") < 500, "p").otherwise(F.concat(F.lit("q"), F.col("id") % 7)).alias("p"),
+        F.when(F.col("id") % 90 == 1, "tot").otherwise("t").alias("t"), (F.col("id") * 7919 % 601).alias("_src_row"),
+    )
+    values = lambda: sorted(map(tuple, R.add_stint_columns(df, "s", "p", "t").collect()))
+    want = values()
+    monkeypatch.setattr(ranks, "BUSY_ROWS", 40)
+    assert ranks.split_busy(df, ["s", "p"])[1].select("p").distinct().count() == 1
+    assert values() == want
+
+
+def test_stint_tables_move_rows_once_and_join_nothing(spark):
+    box = [("2024", "1", " P1", "30", "2TM", "G"), ("2024", "2", "P1", "30", "AAA", "G")]
+    raw = strings(spark, ["Year", "Rank", "Player_Id", "Age", "Team", "Position", *sorted({*B.C.PLAYER_SEASON_STATS[8:]})], [r + ("1",) * len({*B.C.PLAYER_SEASON_STATS[8:]}) for r in box])
+    out = B.player_season_stats(raw)
+    assert [(r["stint"], r["team_id"], r["is_primary"], r["points"]) for r in out.collect()] == [(0, "tot", True, 1), (1, "aaa", False, 1)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Window [") == 1
+
+
 def test_dimension_and_audit(spark):
     detail = spark.createDataFrame([("a", "Alpha")], "id string, name string")
     used = spark.createDataFrame([("b",), (None,), ("a",)], "id string")

@@ -85,3 +85,14 @@ def test_cleaning_twice_changes_nothing(spark, values):
             # Three passes may stop before a text mangled four times is clean.
             continue
         assert apply(spark, fn, once) == once
+
+
+def test_strip_and_team_ids_like_their_patterns(spark):
+    codes = [c for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, f"{chr(c)} {chr(c)}x{chr(c)}y{chr(c)}") for c in codes], "c int, t string")
+    pattern = F.regexp_replace("t", r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")
+    assert df.filter(X.strip(F.col("t")) != pattern).count() == 0
+    teams = spark.createDataFrame([(" TOT",), ("12tm ",), (None,), ("tm",), ("2TMs",), ("",), ("Aaa",)], "t string")
+    assert [r[0] for r in teams.select(X.to_team_id(F.col("t"))).collect()] == ["tot", "tot", "tot", "tm", "2tms", "", "aaa"]
+    plan = teams.select(X.to_team_id(F.col("t")).alias("id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
