@@ -71,6 +71,15 @@ def test_stint_tables_move_rows_once_and_join_nothing(spark):
     assert "Join" not in plan and plan.count("Window [") == 1
 
 
+def test_advanced_stats_read_blank_cells_and_join_nothing(spark):
+    names = ["Season", "Player_Id", "Team", *[m.title() for m in B.C.ADVANCED_METRICS]]
+    raw = strings(spark, names, [("2023-24", p, t, *[x] * len(B.C.ADVANCED_METRICS)) for p, t, x in (("P1", "AAA", " "), ("P1", "BBB", "x"), ("P2", "3TM", " 1.5"), (" ", None, "2"))])
+    out = B.player_advanced_stats(raw)
+    assert [(r["season"], r["player_id"], r["stint"], r["is_primary"], r["win_shares"]) for r in out.collect()] == [
+        (2024, "p1", 1, True, None), (2024, "p1", 2, False, None), (2024, "p2", 0, True, 1.5)]
+    assert "Join" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_dimension_and_audit(spark):
     detail = spark.createDataFrame([("a", "Alpha")], "id string, name string")
     used = spark.createDataFrame([("b",), (None,), ("a",)], "id string")
