@@ -121,18 +121,17 @@ def encoded(text: Column | str, path: str) -> Column:
     return F.arrow_udf(ids, "array<int>")(text)
 
 
+def names_alone(library) -> list[str] | None:
+    """The tokens' names where decoding joins them by spaces and needs no more than that."""
+    if library.decoder is not None:
+        return None
+    return [library.id_to_token(i) for i in range(library.get_vocab_size(with_added_tokens=True))]
+
+
 def decoded(ids: Column | str, path: str, skip_special_tokens: bool = False) -> Column:
     """The text of an array of ids as the library decodes it; null is empty, unknown ids are left out."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
     ids = F.col(ids) if isinstance(ids, str) else ids
-    library = Tokenizer.from_file(path)
-    if library.decoder is None and not skip_special_tokens:
-        # The library then joins the tokens by spaces, which needs no more than their names.
-        names = json.dumps([library.id_to_token(i) for i in range(library.get_vocab_size(with_added_tokens=True))])
-        names = F.from_json(F.lit(names), "array<string>")
-        return F.coalesce(F.array_join(F.transform(ids, lambda i: F.when(i >= 0, F.get(names, i))), " "), F.lit(""))
 
     def texts(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -192,4 +191,15 @@ def encode(
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All rows and columns with the text that the library makes of ``ids``, special tokens kept."""
-    return unpacked(packed(df, ids=F.col(ids)), df, **{text: decoded("ids", path)})
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    names = names_alone(Tokenizer.from_file(path))
+    if names is None:
+        return unpacked(packed(df, ids=F.col(ids)), df, **{text: decoded("ids", path)})
+    # The names are the value of a subquery: as a literal, each description of the plan that the
+    # driver keeps would spell them all out.
+    table = df.sparkSession.createDataFrame(pa.table({"names": pa.array([names])}))
+    rows = packed(df, ids=F.col(ids), names=table.scalar())
+    found = F.transform("ids", lambda i: F.when(i >= 0, F.get("names", i)))
+    return unpacked(rows, df, **{text: F.coalesce(F.array_join(found, " "), F.lit(""))})

@@ -186,7 +186,11 @@ def learn(
     vectors = [vectors[i] for i in order]
     label_values = rows.column("label").to_numpy()[order]
     owner = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
-    return fit(owner, np.concatenate(vectors).astype(np.float64), label_values, seed)
+    x = np.concatenate(vectors).astype(np.float64)
+    del rows, vectors
+    model = fit(owner, x, label_values, seed)
+    pa.default_memory_pool().release_unused()  # the driver's process goes on
+    return model
 
 
 def classify(df: DataFrame, model: dict | None, text: str = "text", threshold: float = 0.3) -> DataFrame:

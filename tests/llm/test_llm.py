@@ -58,6 +58,15 @@ def test_bpe_round(spark, docs, odd):
             assert r.decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_decoding_keeps_the_vocabulary_out_of_the_plan(spark):
+    df = spark.createDataFrame([([5, 7, -1, 10**9],), (None,), ([],)], "ids array<int>")
+    out = bpe.decode(df, WORD)
+    library = Tokenizer.from_file(WORD)
+    assert [r.decoded for r in out.collect()] == [f"{library.id_to_token(5)} {library.id_to_token(7)}", "", ""]
+    assert len(out._jdf.queryExecution().toString()) < 20_000
+
+
+
 def test_words_are_cut_where_their_lower_case_still_ends_in_a_letter():
     coder, library = bpe.Encoder(WORD), Tokenizer.from_file(WORD)
     rng = random.Random(8)
