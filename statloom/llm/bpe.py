@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.cuts import pieces, plain, runs
-from statloom.llm.rows import packed, unpacked
+from statloom.llm.rows import giving_back, packed, unpacked
 
 LEAF_CHARS = 32_768
 FIRST_WINDOW = 64
 #: Bytes of distinct words and their ids remembered in one task before the memory is emptied; it
 #: changes no result. Each word takes some bytes beside its characters.
-REMEMBERED, BESIDE = 96 << 20, 200
+REMEMBERED, BESIDE = 48 << 20, 200
 #: Rows that are decoded at a time.
 ROWS_AT_ONCE = 500
 ENCODED_AT_ONCE = 4096
@@ -108,17 +108,21 @@ def packed_lists(ids: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-def encoded(text: Column | str, path: str) -> Column:
-    """``array<int>`` of the ids of a text, encoded in one piece; null is empty."""
-
+def _encoder(path: str):
+    @giving_back
     def ids(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path)
         for array in arrays:
-            out = [packed_lists(encoder.encode(run.to_pylist())) for run in runs(pc.fill_null(array, ""), BATCH_BYTES)]
-            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
-        encoder.forget()  # the worker may stay for other stages
+            # Run by run, so that neither side holds the ids of a whole batch.
+            for run in runs(pc.fill_null(array, ""), BATCH_BYTES):
+                yield packed_lists(encoder.encode(run.to_pylist()))
+
+    return ids
 
-    return F.arrow_udf(ids, "array<int>")(text)
+
+def encoded(text: Column | str, path: str) -> Column:
+    """``array<int>`` of the ids of a text, encoded in one piece; null is empty."""
+    return F.arrow_udf(_encoder(path), "array<int>")(text)
 
 
 def names_alone(library) -> list[str] | None:

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from statloom.llm.components import components
 from statloom.llm.cuts import runs
 from statloom.llm.hashing import WordHasher, mix, shingles
+from statloom.llm.rows import giving_back
 from statloom.operators.stage import Stage
 
 SHINGLE = 5
@@ -43,7 +44,7 @@ SHINGLE = 5
 SEGMENTS = 0.35
 #: A shingle is common from this count or this share of documents on; it steers costs, never results.
 COMMON_COUNT, COMMON_SHARE = 32, 1 / 4096
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Rows and shingles of a block of a group; larger groups meet block by block.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 4 << 20
 #: Pairs whose maps a task compares in one step, and shingles of the rows that it receives at once.
@@ -51,7 +52,7 @@ PAIRS_AT_ONCE, TASK_SHINGLES = 1 << 18, 16 << 20
 #: Partners that a row gives in a round before the last; such rounds go on while one pair of so many links.
 PARTNERS, JOINING = 8, 8
 #: Keys that a task holds before it hands them on, and keys in a bucket of the index.
-KEYS_AT_ONCE, BUCKET_KEYS = 4_000_000, 2_000_000
+KEYS_AT_ONCE, BUCKET_KEYS = 1_000_000, 500_000
 _U = np.uint64
 
 
@@ -78,6 +79,7 @@ def _digests(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return np.stack([_sums(mix(value + _U(k)), text, n) for k in (1, 2)])
 
 
+@giving_back
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document - id, set size, digests - and rows of shingles seen in two texts of a task."""
     hasher, held, seen = WordHasher(), [], set()
@@ -173,6 +175,7 @@ def _band_keys(doc, value, rare, count, band):
 
 
 def _index(common: np.ndarray, buckets: int):
+    @giving_back
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, ids_held, keys_held = WordHasher(), set(), [], []
 
@@ -230,6 +233,7 @@ def _groups(table: pa.Table) -> pa.Table:
     return pa.table({"gid": pa.array(np.repeat(group, size)[rows].view(np.int64)), "id": pa.array(ids[rows])})
 
 
+@giving_back
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for batch in batches:

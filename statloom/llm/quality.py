@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from statloom.llm.cuts import runs
 from statloom.llm.hashing import WordHasher, mix, shingles
-from statloom.llm.rows import packed, unpacked
+from statloom.llm.rows import give_back, giving_back, packed, unpacked
 
 PASSAGE = 64
 HIDDEN, GATE = 24, 12
 #: The model is fitted on so many labelled documents at most, those with the smallest hashes of their ids.
 FIT_DOCUMENTS = 6_000
 EPOCHS, BATCH, RATE, DECAY = 40, 128, 0.01, 1e-4
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 512 << 10
 _CLASSES = 7  # white space, lower case, upper case, digit, other ASCII, beyond ASCII, line break
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[[9, 11, 12, 13, 32]], _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:], _CLASS[10] = 0, 1, 2, 3, 5, 6
@@ -133,6 +133,7 @@ def fit(owner: np.ndarray, x: np.ndarray, label: np.ndarray, seed: int = 0) -> d
 def score(model: dict | None, text: Column | str) -> Column:
     """Probability of label 1 for each text; 0.5 where nothing was there to learn from."""
 
+    @giving_back
     def scores(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = WordHasher()
         for array in arrays:
@@ -164,6 +165,7 @@ def learn(
         .orderBy(F.xxhash64("key"), "key").limit(fit_documents)
     )
 
+    @giving_back
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
@@ -189,7 +191,7 @@ def learn(
     x = np.concatenate(vectors).astype(np.float64)
     del rows, vectors
     model = fit(owner, x, label_values, seed)
-    pa.default_memory_pool().release_unused()  # the driver's process goes on
+    give_back()  # the driver's process goes on
     return model
 
 

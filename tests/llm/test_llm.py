@@ -9,12 +9,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from statloom.llm import bpe, embeddings, imatch, mixing, ngram_join, pii, quality, token_counts, url_lm, warc
+from statloom.llm import bpe, embeddings, imatch, mixing, ngram_join, pii, quality, rows, token_counts, url_lm, warc
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -86,6 +87,17 @@ def test_bpe_forgets_by_bytes(monkeypatch):
     assert not coder.known and coder.held == 0
 
 
+def test_bpe_hands_ids_on_run_by_run_and_gives_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(rows, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 1000)
+    texts = [f"some words {i} " * (i % 40) for i in range(300)] + [None, ""]
+    got = list(bpe._encoder(WORD)(iter([pa.array(texts, pa.string()), pa.array([], pa.string())])))
+    library = Tokenizer.from_file(WORD)
+    assert [x for a in got for x in a.to_pylist()] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(got) > 50 and len(calls) == 2
+
+
 def test_bpe_joins_anywhere():
     rng, coder = random.Random(5), bpe.Encoder(WORD)
     alphabet = list("abAB12 é́Σ's漢.!\n") + ["<|endoftext|>", "<|startoftext|>", "  "]
